@@ -23,8 +23,34 @@ def op1_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, with_ids=False)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.media import store_payloads
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    return store_payloads(docs, keep_media=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_uniform_shards": op1_uniform_shards}
+    return {
+        "op1_uniform_shards": op1_uniform_shards,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_mix_sources": op7_mix_sources,
+        "op10_flac_media": op10_flac_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
