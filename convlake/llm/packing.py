@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,7 +18,8 @@ from convlake.llm.common import clear, settle, with_offsets
 from convlake.llm.textkit import segments
 
 CAPACITY = 2048
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+MARK = re.compile(rb"([a-z])([.,])(?![^ \t\n\r\x0b\f])")
 _tokenizers: dict[str, object] = {}
 _known: dict[str, dict[bytes, bytes]] = {}
 
@@ -43,8 +45,9 @@ def word_ids(path: str, found: set[bytes]) -> dict[bytes, bytes]:
 
 def document_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
     """The ids of each text and the closing id 0, as bytes. The vocabulary's pieces never cross ASCII white space, which it drops,
-    so a text's ids are its words' ids in a row; each distinct word is encoded once."""
-    split = [t.split() for t in texts]
+    so a text's ids are its words' ids in a row; each distinct word is encoded once. As it also lower-cases letters and parts a
+    full stop or comma from the letter before it, doing both first leaves the ids and makes fewer distinct words."""
+    split = [(t if b"<|" in t else MARK.sub(rb"\1 \2", t.lower())).split() for t in texts]
     ids = word_ids(path, set().union(*split)) if split else {}
     for words in split:
         yield b"".join(map(ids.__getitem__, words)) + b"\0\0\0\0"

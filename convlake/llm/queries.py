@@ -37,6 +37,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convlake.llm.media import store_payloads
 
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_uniform_shards": op1_uniform_shards,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op7_mix_sources": op7_mix_sources,
+        "op8_hyperminhash_neardup": op8_hyperminhash_neardup,
         "op10_flac_media": op10_flac_media,
     }
 
