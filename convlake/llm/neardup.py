@@ -17,8 +17,9 @@ BUCKETS_LOG = 7
 BUCKETS = 1 << BUCKETS_LOG
 MANTISSA = 10
 EMPTY = 0xFFFF
-ROWS = 4  # registers in a band: 32 bands miss a pair of similarity 0.8 once in 2e7
+ROWS = 4  # registers in a band: with the witnesses below, 32 bands miss a pair of similarity 0.8 three times in 1e7
 LEADERS = 32
+WITNESSES, MATCHES = 16, 11  # of 16 further registers 11 must agree: at similarity 0.8 so they do 92 times in 100, in each band anew
 SKETCH = "n_shingles long, sign_a long, sign_b long, registers binary"
 
 
@@ -127,17 +128,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = classes.select("node", F.col("n_shingles").alias("n"), "registers", "sign_a", "sign_b")
     part = f"substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})"
     bands = f"filter(transform(sequence(0, {BUCKETS // ROWS - 1}), b -> struct(b, {part} as r)), x -> x.r <> unhex('{'FF' * 2 * ROWS}'))"
-    member = nodes.select("node", "n", F.explode(F.expr(f"transform({bands}, x -> xxhash64(x.b, x.r))")).alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-    member = settle(member.join(shared, "band").withColumn("rank", F.expr("shiftrightunsigned(xxhash64(11, node), 11) / 9007199254740992D")))
+    member = nodes.select("node", F.expr(f"inline(transform({bands}, x -> struct(x.b, xxhash64(x.b, x.r) as band)))"))
+    shared = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    # the registers that follow a band's own go with its members: a pair must agree in MATCHES of these WITNESSES as well
+    witness = F.expr(f"substring(concat(registers, substring(registers, 1, {2 * (ROWS + WITNESSES)})), b * {2 * ROWS} + {2 * ROWS + 1}, {2 * WITNESSES})")
+    member = member.join(shared, "band").join(nodes, "node").select("node", "n", "band", "size", witness.alias("w"))
+    member = settle(member)
+    least = member.groupBy("band").agg(F.min(F.struct("node", "n", "w")).alias("least"))
+    member = settle(member.join(least, "band").withColumn("rank", F.expr("shiftrightunsigned(xxhash64(11, node), 11) / 9007199254740992D")))
     by_key = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
     label = None
     turn = 0
     while True:
         now = member.withColumn("component", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        close = "100 * least(x.n, y.n) >= {0} * greatest(x.n, y.n)".format(percent)
+        close = "100 * least({0}.n, {1}.n) >= %d * greatest({0}.n, {1}.n) and aggregate(sequence(0, %d), 0, (s, i) -> s + if(substring({0}.w, 2 * i + 1, 2) = substring({1}.w, 2 * i + 1, 2), 1, 0)) >= %d" % (percent, WITNESSES - 1, MATCHES)
         if turn == 0:
-            pairs = now.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+            pairs = now.alias("y").where("y.node <> least.node and " + close.format("least", "y")).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
             low, high = (turn - 1) * LEADERS, turn * LEADERS
             open_ = now.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("size").alias("s")).where(f"p <> q and s > {low}").select("band")
@@ -145,7 +151,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             if not now.limit(1).count():
                 break
             leaders = now.where(f"rank * size >= {low} and rank * size < {high}").alias("x")
-            pairs = leaders.join(now.alias("y"), F.expr(f"x.band = y.band and x.component <> y.component and (x.rank, x.node) < (y.rank, y.node) and {close}"))
+            pairs = leaders.join(now.alias("y"), F.expr(f"x.band = y.band and x.component <> y.component and x.node <> x.least.node and y.node <> y.least.node and (x.rank, x.node) < (y.rank, y.node) and {close.format('x', 'y')}"))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         r = nodes.select("node", "n", "registers")
         pairs = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b")

@@ -30,6 +30,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, with_ids=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+
+
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(held_out, F.lit(False))
+    return toxicity.score(docs, model, with_spans=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convlake.llm.mixing import mix_sources
 
@@ -54,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_uniform_shards": op1_uniform_shards,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op9_crf_toxicity": op9_crf_toxicity,
         "op7_mix_sources": op7_mix_sources,
         "op8_hyperminhash_neardup": op8_hyperminhash_neardup,
         "op10_flac_media": op10_flac_media,
