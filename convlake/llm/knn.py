@@ -117,7 +117,7 @@ def top_inner(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
                 mid = q @ widen(pivots[number], width).T
                 slack = 1e-6 * (1 + np.abs(mid).max(initial=0) + norm.max(initial=0))
                 # a score that k other rows reach at least: the k + 1st best promise, one of which may be the query itself
-                promise = (mid[:, :, None] - norm[:, None, None] * nearest).reshape(len(q), -1)
+                promise = np.where(np.isinf(nearest), -np.inf, mid[:, :, None] - norm[:, None, None] * np.where(np.isinf(nearest), 0, nearest)).reshape(len(q), -1)
                 floor = (np.partition(promise, -(k + 1), axis=1)[:, -(k + 1)] if promise.shape[1] > k else np.full(len(q), -np.inf)) - slack
                 row, cell = np.nonzero(mid + norm[:, None] * radius + slack >= floor[:, None])
                 each = tiles[cell]

@@ -30,6 +30,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, with_ids=False)
 
 
+def op5_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.knn import top_inner
+
+    return top_inner(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), TRUE)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convlake.llm.suffixes import remove_repeats
 
@@ -70,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_uniform_shards": op1_uniform_shards,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_voronoi_topk": op5_voronoi_topk,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op9_crf_toxicity": op9_crf_toxicity,
         "op7_mix_sources": op7_mix_sources,
@@ -79,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_voronoi_topk": OP5_SQL}
