@@ -18,8 +18,13 @@ BUCKETS = 1 << BUCKETS_LOG
 MANTISSA = 10
 EMPTY = 0xFFFF
 ROWS = 4  # registers in a band: with the witnesses below, 32 bands miss a pair of similarity 0.8 three times in 1e7
-LEADERS = 32
-WITNESSES, MATCHES = 16, 11  # of 16 further registers 11 must agree: at similarity 0.8 so they do 92 times in 100, in each band anew
+LEADERS = 128
+WITNESSES = 16  # at similarity 0.8 a pair passes CLOSE 92 times in 100, in each band anew
+NEARBY = 1_000_000  # keys that may be broadcast
+#: sizes must allow the similarity, and of the witness registers that either has filled five in sixteen may differ
+CLOSE = f"""100 * least(X.n, Y.n) >= % * greatest(X.n, Y.n) and
+    aggregate(transform(sequence(0, {WITNESSES - 1}), i -> named_struct('a', substring(X.w, 2 * i + 1, 2), 'b', substring(Y.w, 2 * i + 1, 2))), 0,
+      (s, p) -> s + if(p.a <> p.b, 16, 0) - if(p.a <> unhex('FFFF') or p.b <> unhex('FFFF'), 5, 0)) < 16"""
 SKETCH = "n_shingles long, sign_a long, sign_b long, registers binary"
 
 
@@ -107,6 +112,12 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
+def among(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose node is in pairs; the pairs' nodes are broadcast if they are few, so that the rows needn't be shuffled whole."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return rows.join(F.broadcast(keys) if pairs.count() * 2 <= NEARBY else keys, "node", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept): the components of documents linked by 100 * intersection >= percent * union.
 
@@ -116,7 +127,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     all kept if they have the component's own key. An empty table gives an empty result. The key is a long.
 
     Equal sets are one class from the start, so exact copies are never paired. Classes meet in bands of registers. A bucket of
-    classes is worked off in rounds: first all against its smallest key, then all against further leaders (32 or so a round, by a
+    classes is worked off in rounds: first all against its smallest key, then all against further leaders (128 or so a round, by a
     hashed rank), only pairs whose components still differ, until every bucket is one component or every member has led. So a group
     of thousands of near copies costs a few comparisons each, and no pair is left out: no bucket is capped.
     """
@@ -130,7 +141,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     bands = f"filter(transform(sequence(0, {BUCKETS // ROWS - 1}), b -> struct(b, {part} as r)), x -> x.r <> unhex('{'FF' * 2 * ROWS}'))"
     member = nodes.select("node", F.expr(f"inline(transform({bands}, x -> struct(x.b, xxhash64(x.b, x.r) as band)))"))
     shared = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    # the registers that follow a band's own go with its members: a pair must agree in MATCHES of these WITNESSES as well
+    # the registers that follow a band's own go with its members: a pair must agree in most of these as well
     witness = F.expr(f"substring(concat(registers, substring(registers, 1, {2 * (ROWS + WITNESSES)})), b * {2 * ROWS} + {2 * ROWS + 1}, {2 * WITNESSES})")
     member = member.join(shared, "band").join(nodes, "node").select("node", "n", "band", "size", witness.alias("w"))
     member = settle(member)
@@ -141,9 +152,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     turn = 0
     while True:
         now = member.withColumn("component", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        close = "100 * least({0}.n, {1}.n) >= %d * greatest({0}.n, {1}.n) and aggregate(sequence(0, %d), 0, (s, i) -> s + if(substring({0}.w, 2 * i + 1, 2) = substring({1}.w, 2 * i + 1, 2), 1, 0)) >= %d" % (percent, WITNESSES - 1, MATCHES)
+        close = CLOSE.replace("%", str(percent))
         if turn == 0:
-            pairs = now.alias("y").where("y.node <> least.node and " + close.format("least", "y")).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+            pairs = now.alias("y").where("y.node <> least.node and " + close.replace("X", "least").replace("Y", "y")).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
             low, high = (turn - 1) * LEADERS, turn * LEADERS
             open_ = now.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("size").alias("s")).where(f"p <> q and s > {low}").select("band")
@@ -151,12 +162,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             if not now.limit(1).count():
                 break
             leaders = now.where(f"rank * size >= {low} and rank * size < {high}").alias("x")
-            pairs = leaders.join(now.alias("y"), F.expr(f"x.band = y.band and x.component <> y.component and x.node <> x.least.node and y.node <> y.least.node and (x.rank, x.node) < (y.rank, y.node) and {close.format('x', 'y')}"))
+            pairs = leaders.join(now.alias("y"), F.expr(f"x.band = y.band and x.component <> y.component and x.node <> x.least.node and y.node <> y.least.node and (x.rank, x.node) < (y.rank, y.node) and {close.replace('X', 'x').replace('Y', 'y')}"))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        r = nodes.select("node", "n", "registers")
+        pairs = settle(pairs)
+        r = among(nodes.select("node", "n", "registers"), pairs)
         pairs = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b")
         pairs = settle(likely(pairs, percent))
-        texts = by_key.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        texts = among(by_key, pairs)
         full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", F.coalesce("ta", F.lit("")).alias("ta"), F.coalesce("tb", F.lit("")).alias("tb"))
         links = settle(confirmed(full, size, percent).distinct())
         if links.limit(1).count():
