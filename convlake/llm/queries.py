@@ -23,6 +23,18 @@ def op1_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.lm import score_corpus
+
+    return score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convlake.llm.packing import pack_documents
 
@@ -89,6 +101,8 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_uniform_shards": op1_uniform_shards,
+        "op2_maxent_lm": op2_maxent_lm,
+        "op3_language_fusion": op3_language_fusion,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_voronoi_topk": op5_voronoi_topk,
         "op6_suffix_dedup": op6_suffix_dedup,
