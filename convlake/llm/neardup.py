@@ -3,95 +3,123 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlake.llm.common import clear, components, settle
 from convlake.llm.textkit import U, mix, segments, shingles, span_hashes, words
 
-BUCKETS_LOG = 7
+BUCKETS_LOG = 8
 BUCKETS = 1 << BUCKETS_LOG
 MANTISSA = 10
 EMPTY = 0xFFFF
-ROWS = 4  # registers in a band: with the witnesses below, 32 bands miss a pair of similarity 0.8 three times in 1e7
-LEADERS = 128
-WITNESSES = 16  # at similarity 0.8 a pair passes CLOSE 92 times in 100, in each band anew
+ROWS = 6  # registers in a band: 42 bands miss a pair of similarity 0.8 once in 1e5, witnesses included
+BANDS = BUCKETS // ROWS
+LANES, LANE_BITS = 5, 12  # hashed registers in a witness word
+WORDS = BANDS * ROWS // LANES
+WITNESS = 4  # witness words that go with a band
+TRIES = 24
+ROUNDS = 4  # rounds in which a node meets one leader; then all that is still apart
 NEARBY = 1_000_000  # keys that may be broadcast
-#: sizes must allow the similarity, and of the witness registers that either has filled five in sixteen may differ
-CLOSE = f"""100 * least(X.n, Y.n) >= % * greatest(X.n, Y.n) and
-    aggregate(transform(sequence(0, {WITNESSES - 1}), i -> named_struct('a', substring(X.w, 2 * i + 1, 2), 'b', substring(Y.w, 2 * i + 1, 2))), 0,
-      (s, p) -> s + if(p.a <> p.b, 16, 0) - if(p.a <> unhex('FFFF') or p.b <> unhex('FFFF'), 5, 0)) < 16"""
-SKETCH = "n_shingles long, sign_a long, sign_b long, registers binary"
+SKETCH = "n_shingles long, sign_a long, sign_b long, registers binary, lanes array<long>"
+_FROM = (mix(np.arange(1, TRIES * BUCKETS + 1, dtype=np.uint64)) >> U(64 - BUCKETS_LOG)).astype(np.int64).reshape(TRIES, BUCKETS)
 
 
-def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, sorted within each, and where each text's begin (one more entry than texts)."""
     begin, end, text = words(data, offsets)
     hashes, owner = shingles(span_hashes(data, begin, end), text, size)
-    cuts = np.searchsorted(owner, np.arange(len(offsets)))
-    for i in range(len(offsets) - 1):
-        own = np.sort(hashes[cuts[i] : cuts[i + 1]])
-        yield own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
-
-
-def registers(own: np.ndarray) -> np.ndarray:
-    """HyperMinHash of a sorted set: in each bucket (first bits) the least hash, as its leading zeros and MANTISSA further bits."""
-    out = np.full(BUCKETS, EMPTY, np.uint16)
-    bucket = (own >> U(64 - BUCKETS_LOG)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(own) else np.empty(0, np.int64)
-    rest = own[first] << U(BUCKETS_LOG)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])] if len(hashes) else np.empty(0, bool)
+    hashes, owner = hashes[new], owner[new]
+    return hashes, np.searchsorted(owner, np.arange(len(offsets)))
+
+
+def registers(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """HyperMinHash of each sorted set (a row): in each bucket (first bits) the least hash, as its leading zeros and MANTISSA
+    further bits. An empty bucket takes over the register of a filled one: the first that a fixed sequence of its own names, else
+    the next to the right. So registers of small sets agree as often as those of large ones, and a band is as choosy."""
+    n = len(cuts) - 1
+    out = np.full((n, BUCKETS), EMPTY, np.uint16)
+    owner = np.repeat(np.arange(n), np.diff(cuts))
+    place = owner * BUCKETS + (hashes >> U(64 - BUCKETS_LOG)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, np.int64)
+    rest = hashes[first] << U(BUCKETS_LOG)
     zeros = np.minimum(62, 53 - np.frexp((rest >> U(11)).astype(float))[1]).astype(np.uint64)
-    mantissa = (rest << (zeros + U(1))) >> U(64 - MANTISSA)
-    out[bucket[first]] = (zeros << U(MANTISSA) | mantissa).astype(np.uint16)
+    flat = out.ravel()
+    flat[place[first]] = (zeros << U(MANTISSA) | (rest << (zeros + U(1))) >> U(64 - MANTISSA)).astype(np.uint16)
+    filled = flat != EMPTY
+    open_ = np.flatnonzero(~filled & np.repeat(np.diff(cuts) > 0, BUCKETS))
+    for row in _FROM:
+        source = open_ - open_ % BUCKETS + row[open_ % BUCKETS]
+        has = filled[source]
+        flat[open_[has]] = flat[source[has]]
+        open_ = open_[~has]
+        if not len(open_):
+            break
+    if len(open_):  # a text has a filled bucket, so the next to the right, going round, is its own
+        at = place[first]
+        i = np.searchsorted(at, open_)
+        low = np.searchsorted(at, open_ - open_ % BUCKETS)
+        i = np.where((i < len(at)) & (at[np.minimum(i, len(at) - 1)] // BUCKETS == open_ // BUCKETS), i, low)
+        flat[open_] = flat[at[i]]
     return out
 
 
+def lanes(rows: np.ndarray) -> np.ndarray:
+    """Registers hashed to LANE_BITS bits each, LANES of them in a long."""
+    h = mix(rows[:, : WORDS * LANES].astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1)) >> U(64 - LANE_BITS)
+    h = h.reshape(len(rows), WORDS, LANES) << (np.arange(LANES, dtype=np.uint64) * U(LANE_BITS))
+    return h.sum(2, dtype=np.uint64).view(np.int64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of pairs of register rows with set sizes n and m, less what chance agreements add, and the buckets used."""
-    filled = (a != EMPTY) | (b != EMPTY)
-    used = np.maximum(1, filled.sum(1))
+    """Jaccard estimates of pairs of register rows with set sizes n and m, less what chance agreements add, and how many
+    independent registers they rest on."""
+    used = np.maximum(1, BUCKETS * -np.expm1(-np.maximum(n, m) / BUCKETS))
     x = np.minimum(n, m) / np.maximum(np.maximum(n, m), 1)
     chance = 0.169919487 * 2.0**-MANTISSA * 4 * x / (1 + x) ** 2
-    agree = ((a == b) & filled).sum(1) / used
-    return np.clip((agree - chance) / (1 - chance), 0, 1), used
+    return np.clip(((a == b).mean(1) - chance) / (1 - chance), 0, 1), used
 
 
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n_shingles, sign_a, sign_b, registers): the signs are two sums over the set, equal for equal sets."""
-    names = [key, "n_shingles", "sign_a", "sign_b", "registers"]
+    """(key, n_shingles, sign_a, sign_b, registers, lanes): the signs are two sums over the set, equal for equal sets."""
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(SKETCH).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in segments(batch.column(1)):
-                n, a, b, rows = [], [], [], []
-                for own in sets(data, offsets, size):
-                    n.append(len(own))
-                    a.append(int(own.sum(dtype=np.uint64).view(np.int64)))
-                    b.append(int(mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                    rows.append(registers(own).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(rows, pa.binary())], names=names)
+                hashes, cuts = sets(data, offsets, size)
+                total = lambda x: np.diff(np.r_[U(0), np.cumsum(x, dtype=np.uint64)][cuts]).view(np.int64)  # noqa: E731, B023
+                rows = registers(hashes, cuts)
+                words_ = lanes(rows)
+                columns = [
+                    batch.column(0).slice(low, high - low), pa.array(np.diff(cuts)), pa.array(total(hashes)), pa.array(total(mix(hashes ^ U(0x5851F42D4C957F2D)))),
+                    pa.array([r.tobytes() for r in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WORDS), pa.array(words_.ravel())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose registers don't rule them out: six deviations below the threshold."""
+    """The pairs whose registers don't rule them out: five deviations below the threshold."""
     schema = T.StructType.fromDDL("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
             rows = [np.frombuffer(b"".join(get(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb")]
-            n, m = get("na").to_numpy(), get("nb").to_numpy()
-            j, used = estimate(*rows, n, m)
+            j, used = estimate(*rows, get("na").to_numpy(), get("nb").to_numpy())
             floor = percent / 100
-            keep = (j >= floor - 6 * np.sqrt(floor * (1 - floor) / used) - 0.02) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([get("a").filter(pa.array(keep)), get("b").filter(pa.array(keep))], names=["a", "b"])
+            keep = pa.array(j >= floor - 5 * np.sqrt(floor * (1 - floor) / used))
+            yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep)], names=["a", "b"])
 
     return pairs.mapInArrow(run, schema)
 
@@ -104,9 +132,10 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(segments(batch.column(2), 1), segments(batch.column(3), 1), strict=True):
-                own, other = next(sets(*x[2:], size)), next(sets(*y[2:], size))
-                both = len(own) + len(other) - len(np.union1d(own, other))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+                own, other = sets(*x[2:], size)[0], sets(*y[2:], size)[0]
+                both = np.sort(np.r_[own, other])
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(len(both) > 0 and 100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
@@ -118,6 +147,38 @@ def among(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if pairs.count() * 2 <= NEARBY else keys, "node", "left_semi")
 
 
+def apart(x: str, y: str) -> Column:
+    """In how many witness lanes two rows differ: carries of each lane's lower bits show that it isn't zero."""
+    seven, eight = (sum(v << (LANE_BITS * i) for i in range(LANES)) for v in ((1 << (LANE_BITS - 1)) - 1, 1 << (LANE_BITS - 1)))
+    return F.expr(" + ".join(f"bit_count((((({x}.w{i} ^ {y}.w{i}) & {seven}L) + {seven}L) | ({x}.w{i} ^ {y}.w{i})) & {eight}L)" for i in range(WITNESS)))
+
+
+def slack(percent: int) -> int:
+    """How many witness lanes may differ, so that a pair at the threshold passes 19 times in 20, in each band anew."""
+    t, n, sum_ = percent / 100, LANES * WITNESS, 0.0
+    for k in range(n + 1):
+        sum_ += comb(n, k) * (1 - t) ** k * t ** (n - k)
+        if sum_ >= 0.95:
+            return k
+    return n
+
+
+def close(x: str, y: str, percent: int) -> Column:
+    """Sizes allow the similarity, and the witnesses speak for it."""
+    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)") & (apart(x, y) <= slack(percent))
+
+
+def members(nodes: DataFrame) -> DataFrame:
+    """(node, n, band, w0, ...) of the bands that two nodes or more share; a band's witnesses are hashed registers that follow it."""
+    part = f"substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})"
+    long = f"concat(lanes, slice(lanes, 1, {WITNESS + 2}))"
+    at = f"cast(b * {ROWS} div {LANES} + 3 as int)"
+    every = nodes.select("node", F.expr(f"inline(transform(sequence(0, {BANDS - 1}), b -> struct(b, xxhash64(b, {part}) as band)))"))
+    shared = every.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    rows = every.join(shared, "band").join(nodes.select("node", "n", F.expr(f"{long} as __l")), "node")
+    return rows.select("node", "n", "band", *[F.expr(f"element_at(__l, {at} + {i}) as w{i}") for i in range(WITNESS)])
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept): the components of documents linked by 100 * intersection >= percent * union.
 
@@ -126,62 +187,58 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     be reached. A null key gets its class's component if others have one, and is never kept; repeated rows all get their row, and are
     all kept if they have the component's own key. An empty table gives an empty result. The key is a long.
 
-    Equal sets are one class from the start, so exact copies are never paired. Classes meet in bands of registers. A bucket of
-    classes is worked off in rounds: first all against its smallest key, then all against further leaders (128 or so a round, by a
-    hashed rank), only pairs whose components still differ, until every bucket is one component or every member has led. So a group
-    of thousands of near copies costs a few comparisons each, and no pair is left out: no bucket is capped.
+    Equal sets are one class from the start, so exact copies are never paired. Classes meet in bands of registers. In each of the
+    first ROUNDS rounds a node is compared with one leader, the closest of its bands', and components grow; in the last, what is
+    still apart from its bucket's largest component is compared with all others of the bucket. So a group of thousands of near
+    copies costs a few comparisons each, and no pair is left out: no bucket is capped.
     """
     docs = clear(docs, *(set(docs.columns) - {key, text}))
     made = settle(sketch(docs, key, text, size).withColumnRenamed(key, "doc"))
     sign = ["n_shingles", "sign_a", "sign_b"]
-    classes = settle(made.where("n_shingles > 0").groupBy(*sign).agg(F.min("doc").alias("node"), F.first("registers").alias("registers")).where("node is not null"))
+    full = ["registers", "lanes"]
+    classes = settle(made.where("n_shingles > 0 and doc is not null").groupBy(*sign).agg(F.min("doc").alias("node"), *[F.first(c).alias(c) for c in full]))
     # a key that stands for two classes (repeated keys with other texts) ties them: one document, one component
-    nodes = classes.select("node", F.col("n_shingles").alias("n"), "registers", "sign_a", "sign_b")
-    part = f"substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})"
-    bands = f"filter(transform(sequence(0, {BUCKETS // ROWS - 1}), b -> struct(b, {part} as r)), x -> x.r <> unhex('{'FF' * 2 * ROWS}'))"
-    member = nodes.select("node", F.expr(f"inline(transform({bands}, x -> struct(x.b, xxhash64(x.b, x.r) as band)))"))
-    shared = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    # the registers that follow a band's own go with its members: a pair must agree in most of these as well
-    witness = F.expr(f"substring(concat(registers, substring(registers, 1, {2 * (ROWS + WITNESSES)})), b * {2 * ROWS} + {2 * ROWS + 1}, {2 * WITNESSES})")
-    member = member.join(shared, "band").join(nodes, "node").select("node", "n", "band", "size", witness.alias("w"))
-    member = settle(member)
-    least = member.groupBy("band").agg(F.min(F.struct("node", "n", "w")).alias("least"))
-    member = settle(member.join(least, "band").withColumn("rank", F.expr("shiftrightunsigned(xxhash64(11, node), 11) / 9007199254740992D")))
+    nodes = classes.select("node", F.col("n_shingles").alias("n"), *full)
+    member = settle(members(nodes))
+    w = [f"w{i}" for i in range(WITNESS)]
     by_key = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
     label = None
-    turn = 0
-    while True:
-        now = member.withColumn("component", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        close = CLOSE.replace("%", str(percent))
-        if turn == 0:
-            pairs = now.alias("y").where("y.node <> least.node and " + close.replace("X", "least").replace("Y", "y")).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            low, high = (turn - 1) * LEADERS, turn * LEADERS
-            open_ = now.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("size").alias("s")).where(f"p <> q and s > {low}").select("band")
-            now = settle(now.join(open_, "band"))
+    for turn in range(ROUNDS + 1):
+        now = member.withColumn("component", F.col("node"))
+        if label is not None:
+            now = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if turn:
+            # what is left are the buckets whose members are still apart
+            sums = now.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("k"))
+            now = settle(now.join(sums.where("k > 1").select("band", "most"), "band"))
             if not now.limit(1).count():
                 break
-            leaders = now.where(f"rank * size >= {low} and rank * size < {high}").alias("x")
-            pairs = leaders.join(now.alias("y"), F.expr(f"x.band = y.band and x.component <> y.component and x.node <> x.least.node and y.node <> y.least.node and (x.rank, x.node) < (y.rank, y.node) and {close.replace('X', 'x').replace('Y', 'y')}"))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        if turn < ROUNDS:
+            mixed = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
+            leader = now.groupBy("band").agg(F.min(F.struct(mixed.alias("h"), "node", "n", "component", *w)).alias("x"))
+            met = now.join(leader, "band").select("x", F.struct("node", "n", "component", *w).alias("y")).where("x.component <> y.component")
+            met = met.where(close("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), apart("x", "y").alias("d"))
+            pairs = met.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+        else:
+            x, y = now.where("component <> most").alias("x"), now.alias("y")
+            met = x.join(y, F.expr("x.band = y.band and x.component <> y.component") & close("x", "y", percent))
+            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = settle(pairs)
         r = among(nodes.select("node", "n", "registers"), pairs)
-        pairs = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b")
-        pairs = settle(likely(pairs, percent))
+        pairs = settle(likely(pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b"), percent))
         texts = among(by_key, pairs)
-        full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", F.coalesce("ta", F.lit("")).alias("ta"), F.coalesce("tb", F.lit("")).alias("tb"))
-        links = settle(confirmed(full, size, percent).distinct())
-        if links.limit(1).count():
-            if label is not None:
-                old = label
-                links = links.join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = components(links).withColumnRenamed("component", "to")
-            if label is None:
-                label = settle(merged.withColumnRenamed("to", "component"))
-            else:
-                moved = label.join(merged.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-                label = settle(moved.unionByName(merged.join(label.select("node"), "node", "left_anti").withColumnRenamed("to", "component")))
-        turn += 1
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", F.coalesce("ta", F.lit("")).alias("ta"), F.coalesce("tb", F.lit("")).alias("tb"))
+        links = settle(confirmed(both, size, percent).distinct())
+        if not links.limit(1).count():
+            continue
+        if label is None:
+            label = settle(components(links))
+            continue
+        old = label
+        links = links.join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = components(links).withColumnRenamed("component", "to")
+        moved = label.join(merged.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        label = settle(moved.unionByName(merged.join(label.select("node"), "node", "left_anti").withColumnRenamed("to", "component")))
     home = classes.select(*sign, F.col("node"))
     home = home.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")) if label is not None else home.withColumn("component", F.col("node"))
     out = made.join(home.select(*sign, "component"), sign, "left").withColumn("component_id", F.coalesce("component", "doc"))

@@ -440,7 +440,8 @@ def spans_of(block: Block, members: bytes | None, found: list[bytes]) -> tuple[n
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_kept: bool = True) -> DataFrame:
-    """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, `spans` (array of begin, end) and `kept` (binary).
+    """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, `spans` (array of begin, end), `kept`
+    (binary), `kept_text` (without what a cut leaves of a character) and text_sha256 of the input.
 
     Removed is each byte covered by a string of `length` bytes (at least 17, at most 255) that also starts in a document with a
     smaller key; strings are judged on the input, overlaps count, and none crosses documents. A null text is empty; rows with equal
@@ -465,7 +466,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kind = dict((f.name, f.dataType) for f in docs.schema.fields)[key]
     fields = [T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_kept:
-        fields += T.StructType.fromDDL("spans array<struct<begin: long, end: long>>, kept binary").fields
+        fields += T.StructType.fromDDL("spans array<struct<begin: long, end: long>>, kept binary, kept_text string, text_sha256 string").fields
     schema = T.StructType(fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -484,10 +485,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     last = e
                 kept = b"".join([*parts, raw[last:b]])
                 values = [None if null else key_, b - a, b - a - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()]
-                values += [[{"begin": s - a, "end": e - a} for s, e in cuts], kept] * with_kept
+                if with_kept:
+                    values += [[{"begin": s - a, "end": e - a} for s, e in cuts], kept, kept.decode("utf-8", "ignore"), hashlib.sha256(raw[a:b]).hexdigest()]
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string(), pa.string()]
         made = [pa.array(c, t) for c, t in zip(out, types, strict=False)]
         made[0] = made[0].cast(pa.int32()) if isinstance(kind, T.IntegerType) else made[0]
         return pa.table(made, names=schema.names)
