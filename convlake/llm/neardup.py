@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlake.llm.common import clear, components, settle
-from convlake.llm.textkit import U, mix, segments, shingles, span_hashes, words
+from convlake.llm.textkit import SEGMENT, U, mix, segments, shingles, span_hashes, text_bytes, words
 
 BUCKETS_LOG = 8
 BUCKETS = 1 << BUCKETS_LOG
-MANTISSA = 10
-EMPTY = 0xFFFF
-ROWS = 6  # registers in a band: 42 bands miss a pair of similarity 0.8 once in 1e5, witnesses included
+MANTISSA = 4
+BITS = 6 + MANTISSA  # a register: leading zeros and mantissa
+EMPTY = (1 << BITS) - 1
+ROWS = 6  # registers in a long, which is a band: 42 bands miss a pair of similarity 0.8 once in 1e5, witnesses included
 BANDS = BUCKETS // ROWS
-LANES, LANE_BITS = 5, 12  # hashed registers in a witness word
-WORDS = BANDS * ROWS // LANES
-WITNESS = 4  # witness words that go with a band
+WITNESS = 4  # following longs that go with a band
 TRIES = 24
 ROUNDS = 4  # rounds in which a node meets one leader; then all that is still apart
+SURE = 4.5  # deviations below the threshold from which on registers rule a pair out
 NEARBY = 1_000_000  # keys that may be broadcast
-SKETCH = "n_shingles long, sign_a long, sign_b long, registers binary, lanes array<long>"
+NEARBY_BYTES = 1 << 25  # and bytes of what goes with them
+SKETCH = "n_shingles long, sign_a long, sign_b long, raw array<long>, dense array<long>"
 _FROM = (mix(np.arange(1, TRIES * BUCKETS + 1, dtype=np.uint64)) >> U(64 - BUCKETS_LOG)).astype(np.int64).reshape(TRIES, BUCKETS)
+_SHIFT = np.arange(ROWS) * BITS
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,19 +43,22 @@ def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
     return hashes, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-def registers(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """HyperMinHash of each sorted set (a row): in each bucket (first bits) the least hash, as its leading zeros and MANTISSA
-    further bits. An empty bucket takes over the register of a filled one: the first that a fixed sequence of its own names, else
-    the next to the right. So registers of small sets agree as often as those of large ones, and a band is as choosy."""
+    further bits; and the same rows made dense: an empty bucket takes over the register of a filled one, the first that a fixed
+    sequence of its own names, else the next to the right. So dense registers of small sets agree as often as those of large
+    ones, and a band is as choosy."""
     n = len(cuts) - 1
-    out = np.full((n, BUCKETS), EMPTY, np.uint16)
+    raw = np.full((n, BUCKETS), EMPTY, np.uint16)
     owner = np.repeat(np.arange(n), np.diff(cuts))
     place = owner * BUCKETS + (hashes >> U(64 - BUCKETS_LOG)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, np.int64)
     rest = hashes[first] << U(BUCKETS_LOG)
     zeros = np.minimum(62, 53 - np.frexp((rest >> U(11)).astype(float))[1]).astype(np.uint64)
-    flat = out.ravel()
-    flat[place[first]] = (zeros << U(MANTISSA) | (rest << (zeros + U(1))) >> U(64 - MANTISSA)).astype(np.uint16)
+    at = place[first]
+    raw.ravel()[at] = (zeros << U(MANTISSA) | (rest << (zeros + U(1))) >> U(64 - MANTISSA)).astype(np.uint16)
+    dense = raw.copy()
+    flat = dense.ravel()
     filled = flat != EMPTY
     open_ = np.flatnonzero(~filled & np.repeat(np.diff(cuts) > 0, BUCKETS))
     for row in _FROM:
@@ -61,35 +66,38 @@ def registers(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         has = filled[source]
         flat[open_[has]] = flat[source[has]]
         open_ = open_[~has]
-        if not len(open_):
-            break
     if len(open_):  # a text has a filled bucket, so the next to the right, going round, is its own
-        at = place[first]
-        i = np.searchsorted(at, open_)
-        low = np.searchsorted(at, open_ - open_ % BUCKETS)
+        i, low = np.searchsorted(at, open_), np.searchsorted(at, open_ - open_ % BUCKETS)
         i = np.where((i < len(at)) & (at[np.minimum(i, len(at) - 1)] // BUCKETS == open_ // BUCKETS), i, low)
         flat[open_] = flat[at[i]]
-    return out
+    return raw, dense
 
 
-def lanes(rows: np.ndarray) -> np.ndarray:
-    """Registers hashed to LANE_BITS bits each, LANES of them in a long."""
-    h = mix(rows[:, : WORDS * LANES].astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1)) >> U(64 - LANE_BITS)
-    h = h.reshape(len(rows), WORDS, LANES) << (np.arange(LANES, dtype=np.uint64) * U(LANE_BITS))
-    return h.sum(2, dtype=np.uint64).view(np.int64)
+def pack(rows: np.ndarray) -> pa.Array:
+    """Rows of registers, ROWS of them in a long."""
+    longs = (rows[:, : BANDS * ROWS].astype(np.int64).reshape(len(rows), BANDS, ROWS) << _SHIFT).sum(2)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(longs.ravel()))
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of pairs of register rows with set sizes n and m, less what chance agreements add, and how many
-    independent registers they rest on."""
-    used = np.maximum(1, BUCKETS * -np.expm1(-np.maximum(n, m) / BUCKETS))
+def unpack(column: pa.Array) -> np.ndarray:
+    longs = column.flatten().to_numpy().reshape(-1, BANDS, 1)
+    return ((longs >> _SHIFT) & EMPTY).reshape(-1, BANDS * ROWS)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, at: float) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of pairs of register rows with set sizes n and m, less what chance agreements add; and their standard
+    deviation for pairs of similarity `at`. Buckets are a sample of the union without replacement."""
+    filled = (a != EMPTY) | (b != EMPTY)
+    used = np.maximum(1, filled.sum(1))
     x = np.minimum(n, m) / np.maximum(np.maximum(n, m), 1)
     chance = 0.169919487 * 2.0**-MANTISSA * 4 * x / (1 + x) ** 2
-    return np.clip(((a == b).mean(1) - chance) / (1 - chance), 0, 1), used
+    agree = ((a == b) & filled).sum(1) / used
+    left = np.maximum(0.05, 1 - used * (1 + at) / np.maximum(n + m, 1))
+    return np.clip((agree - chance) / (1 - chance), 0, 1), np.sqrt(at * (1 - at) / used * left) + 0.3 / used
 
 
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n_shingles, sign_a, sign_b, registers, lanes): the signs are two sums over the set, equal for equal sets."""
+    """(key, n_shingles, sign_a, sign_b, raw and dense registers): the signs are two sums over the set, equal for equal sets."""
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(SKETCH).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,28 +105,21 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             for low, high, data, offsets in segments(batch.column(1)):
                 hashes, cuts = sets(data, offsets, size)
                 total = lambda x: np.diff(np.r_[U(0), np.cumsum(x, dtype=np.uint64)][cuts]).view(np.int64)  # noqa: E731, B023
-                rows = registers(hashes, cuts)
-                words_ = lanes(rows)
-                columns = [
-                    batch.column(0).slice(low, high - low), pa.array(np.diff(cuts)), pa.array(total(hashes)), pa.array(total(mix(hashes ^ U(0x5851F42D4C957F2D)))),
-                    pa.array([r.tobytes() for r in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * WORDS), pa.array(words_.ravel())),
-                ]
+                columns = [batch.column(0).slice(low, high - low), pa.array(np.diff(cuts)), pa.array(total(hashes)), pa.array(total(mix(hashes ^ U(0x5851F42D4C957F2D)))), *map(pack, registers(hashes, cuts))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose registers don't rule them out: five deviations below the threshold."""
+    """The pairs whose registers don't rule them out."""
     schema = T.StructType.fromDDL("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            rows = [np.frombuffer(b"".join(get(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb")]
-            j, used = estimate(*rows, get("na").to_numpy(), get("nb").to_numpy())
-            floor = percent / 100
-            keep = pa.array(j >= floor - 5 * np.sqrt(floor * (1 - floor) / used))
+            j, deviation = estimate(unpack(get("ra")), unpack(get("rb")), get("na").to_numpy(), get("nb").to_numpy(), percent / 100)
+            keep = pa.array(j >= percent / 100 - SURE * deviation)
             yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep)], names=["a", "b"])
 
     return pairs.mapInArrow(run, schema)
@@ -131,12 +132,22 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(segments(batch.column(2), 1), segments(batch.column(3), 1), strict=True):
-                own, other = sets(*x[2:], size)[0], sets(*y[2:], size)[0]
-                both = np.sort(np.r_[own, other])
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(len(both) > 0 and 100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+            bytes_ = np.cumsum(sum(np.diff(text_bytes(batch.column(i))[1]) for i in (2, 3)))
+            row = 0
+            while row < batch.num_rows:
+                end = max(row + 1, int(np.searchsorted(bytes_, (bytes_[row - 1] if row else 0) + SEGMENT, "right")))
+                parts = [sets(*text_bytes(batch.column(i).slice(row, end - row)), size) for i in (2, 3)]
+                n = end - row
+                hashes = np.concatenate([h for h, _ in parts])
+                owner = np.concatenate([np.repeat(np.arange(n), np.diff(c)) for _, c in parts])
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                twice = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+                common, total = np.bincount(owner[1:][twice], minlength=n), np.bincount(owner, minlength=n)
+                keep.append((total > 0) & (100 * common >= percent * (total - common)))
+                row = end
+            kept = pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(kept) for i in (0, 1)], names=["a", "b"])
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
@@ -147,15 +158,33 @@ def among(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if pairs.count() * 2 <= NEARBY else keys, "node", "left_semi")
 
 
+def beside(pairs: DataFrame, rows: DataFrame, size: Column, names: tuple[str, ...]) -> DataFrame:
+    """Pairs with the columns of rows (node, ...) for both ends, named name + "a" and name + "b". If the rows are few bytes, they are
+    broadcast and the pairs only dealt out evenly; else both are shuffled."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    small = total <= NEARBY_BYTES
+    if small:
+        pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    for end in "ab":
+        own = rows.toDF(end, *[n + end for n in names])
+        pairs = pairs.join(F.broadcast(own) if small else own, end)
+    return pairs
+
+
+def differ(x: str, y: str) -> str:
+    """SQL: in how many registers two longs differ; carries out of a register's lower bits show that the difference isn't zero."""
+    low, high = (sum(v << (BITS * i) for i in range(ROWS)) for v in ((1 << (BITS - 1)) - 1, 1 << (BITS - 1)))
+    return f"bit_count(((((({x}) ^ ({y})) & {low}L) + {low}L) | (({x}) ^ ({y}))) & {high}L)"
+
+
 def apart(x: str, y: str) -> Column:
-    """In how many witness lanes two rows differ: carries of each lane's lower bits show that it isn't zero."""
-    seven, eight = (sum(v << (LANE_BITS * i) for i in range(LANES)) for v in ((1 << (LANE_BITS - 1)) - 1, 1 << (LANE_BITS - 1)))
-    return F.expr(" + ".join(f"bit_count((((({x}.w{i} ^ {y}.w{i}) & {seven}L) + {seven}L) | ({x}.w{i} ^ {y}.w{i})) & {eight}L)" for i in range(WITNESS)))
+    """In how many witness registers two rows differ."""
+    return F.expr(" + ".join(differ(f"{x}.w{i}", f"{y}.w{i}") for i in range(WITNESS)))
 
 
 def slack(percent: int) -> int:
-    """How many witness lanes may differ, so that a pair at the threshold passes 19 times in 20, in each band anew."""
-    t, n, sum_ = percent / 100, LANES * WITNESS, 0.0
+    """How many witnesses may differ, so that a pair at the threshold passes 19 times in 20, in each band anew."""
+    t, n, sum_ = percent / 100, ROWS * WITNESS, 0.0
     for k in range(n + 1):
         sum_ += comb(n, k) * (1 - t) ** k * t ** (n - k)
         if sum_ >= 0.95:
@@ -168,15 +197,21 @@ def close(x: str, y: str, percent: int) -> Column:
     return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)") & (apart(x, y) <= slack(percent))
 
 
+def agree(x: str, y: str, percent: int) -> Column:
+    """All raw registers of two rows differ in no more places than the threshold lets expect, and SURE deviations."""
+    t = percent / 100
+    union = f"(({x}.n + {y}.n) / {1 + t}D)"
+    used = f"({BANDS * ROWS}D * (1D - exp(-{union} / {BUCKETS}D)))"
+    most = f"{1 - t}D * {used} + 1D + {SURE}D * sqrt({t * (1 - t)}D * {used} * greatest(0.05D, 1D - {used} / {union}) + {16 * (1 - t) ** 2}D)"
+    return F.expr(f"aggregate(zip_with({x}.raw, {y}.raw, (p, q) -> {differ('p', 'q')}), 0, (s, v) -> s + v) <= {most}")
+
+
 def members(nodes: DataFrame) -> DataFrame:
-    """(node, n, band, w0, ...) of the bands that two nodes or more share; a band's witnesses are hashed registers that follow it."""
-    part = f"substring(registers, b * {2 * ROWS} + 1, {2 * ROWS})"
-    long = f"concat(lanes, slice(lanes, 1, {WITNESS + 2}))"
-    at = f"cast(b * {ROWS} div {LANES} + 3 as int)"
-    every = nodes.select("node", F.expr(f"inline(transform(sequence(0, {BANDS - 1}), b -> struct(b, xxhash64(b, {part}) as band)))"))
+    """(node, n, band, w0, ...) of the bands that two nodes or more share; a band's witnesses are the longs that follow it."""
+    every = nodes.select("node", F.expr("inline(transform(dense, (d, b) -> struct(cast(b as int) as b, xxhash64(b, d) as band)))"))
     shared = every.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
-    rows = every.join(shared, "band").join(nodes.select("node", "n", F.expr(f"{long} as __l")), "node")
-    return rows.select("node", "n", "band", *[F.expr(f"element_at(__l, {at} + {i}) as w{i}") for i in range(WITNESS)])
+    rows = every.join(shared, "band").join(nodes.select("node", "n", F.expr(f"concat(dense, slice(dense, 1, {WITNESS}))").alias("__d")), "node")
+    return rows.select("node", "n", "band", *[F.expr(f"element_at(__d, b + {i + 2}) as w{i}") for i in range(WITNESS)])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -195,7 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = clear(docs, *(set(docs.columns) - {key, text}))
     made = settle(sketch(docs, key, text, size).withColumnRenamed(key, "doc"))
     sign = ["n_shingles", "sign_a", "sign_b"]
-    full = ["registers", "lanes"]
+    full = ["raw", "dense"]
     classes = settle(made.where("n_shingles > 0 and doc is not null").groupBy(*sign).agg(F.min("doc").alias("node"), *[F.first(c).alias(c) for c in full]))
     # a key that stands for two classes (repeated keys with other texts) ties them: one document, one component
     nodes = classes.select("node", F.col("n_shingles").alias("n"), *full)
@@ -220,14 +255,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             met = met.where(close("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), apart("x", "y").alias("d"))
             pairs = met.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
         else:
+            now = now.join(nodes.select("node", "raw"), "node")
             x, y = now.where("component <> most").alias("x"), now.alias("y")
-            met = x.join(y, F.expr("x.band = y.band and x.component <> y.component") & close("x", "y", percent))
+            met = x.join(y, F.expr("x.band = y.band and x.component <> y.component") & close("x", "y", percent) & agree("x", "y", percent))
             pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = settle(pairs)
-        r = among(nodes.select("node", "n", "registers"), pairs)
-        pairs = settle(likely(pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b"), percent))
-        texts = among(by_key, pairs)
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", F.coalesce("ta", F.lit("")).alias("ta"), F.coalesce("tb", F.lit("")).alias("tb"))
+        pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), pairs)), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
+        texts = settle(among(by_key, pairs).withColumn("text", F.coalesce("text", F.lit(""))))
+        both = beside(pairs, texts, F.octet_length("text") + 16, ("t",))
         links = settle(confirmed(both, size, percent).distinct())
         if not links.limit(1).count():
             continue
