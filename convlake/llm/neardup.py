@@ -23,8 +23,8 @@ ROWS = 6  # registers in a long, which is a band: 42 bands miss a pair of simila
 BANDS = BUCKETS // ROWS
 WITNESS = 4  # following longs that go with a band
 TRIES = 24
-ROUNDS = 4  # rounds in which a node meets one leader; then all that is still apart
-SURE = 4.5  # deviations below the threshold from which on registers rule a pair out
+ROUNDS = 2  # rounds in which a node meets one leader; then all that is still apart
+SURE = 4.0  # deviations below the threshold from which on registers rule a pair out
 NEARBY = 1_000_000  # keys that may be broadcast
 NEARBY_BYTES = 1 << 25  # and bytes of what goes with them
 SKETCH = "n_shingles long, sign_a long, sign_b long, raw array<long>, dense array<long>"
@@ -192,26 +192,35 @@ def slack(percent: int) -> int:
     return n
 
 
+def sized(x: str, y: str, percent: int) -> Column:
+    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)")
+
+
 def close(x: str, y: str, percent: int) -> Column:
     """Sizes allow the similarity, and the witnesses speak for it."""
-    return F.expr(f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)") & (apart(x, y) <= slack(percent))
+    return sized(x, y, percent) & (apart(x, y) <= slack(percent))
 
 
 def agree(x: str, y: str, percent: int) -> Column:
     """All raw registers of two rows differ in no more places than the threshold lets expect, and SURE deviations."""
-    t = percent / 100
-    union = f"(({x}.n + {y}.n) / {1 + t}D)"
-    used = f"({BANDS * ROWS}D * (1D - exp(-{union} / {BUCKETS}D)))"
-    most = f"{1 - t}D * {used} + 1D + {SURE}D * sqrt({t * (1 - t)}D * {used} * greatest(0.05D, 1D - {used} / {union}) + {16 * (1 - t) ** 2}D)"
-    return F.expr(f"aggregate(zip_with({x}.raw, {y}.raw, (p, q) -> {differ('p', 'q')}), 0, (s, v) -> s + v) <= {most}")
+    t, full = percent / 100, sum(EMPTY << (BITS * i) for i in range(ROWS))
+    total = lambda each: f"aggregate(zip_with({x}.raw, {y}.raw, (p, q) -> {each}), 0, (s, v) -> s + v)"
+    used = f"(1D * {total(differ('p & q', f'{full}L'))})"
+    left = f"greatest(0.05D, 1D - {used} * {1 + t}D / ({x}.n + {y}.n))"
+    return F.expr(f"{total(differ('p', 'q'))} <= {1 - t}D * {used} + 0.3D * {SURE}D + {SURE}D * sqrt({t * (1 - t)}D * {used} * {left})")
+
+
+def first_met(x: str, y: str) -> Column:
+    """Is this the first band that two rows share?"""
+    return F.expr(f"array_position(zip_with({x}.dense, {y}.dense, (p, q) -> p = q), true) = {x}.b + 1")
 
 
 def members(nodes: DataFrame) -> DataFrame:
     """(node, n, band, w0, ...) of the bands that two nodes or more share; a band's witnesses are the longs that follow it."""
-    every = nodes.select("node", F.expr("inline(transform(dense, (d, b) -> struct(cast(b as int) as b, xxhash64(b, d) as band)))"))
+    every = nodes.select("node", F.expr("inline(transform(dense, (d, b) -> struct(b, xxhash64(b, d) as band)))"))
     shared = every.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     rows = every.join(shared, "band").join(nodes.select("node", "n", F.expr(f"concat(dense, slice(dense, 1, {WITNESS}))").alias("__d")), "node")
-    return rows.select("node", "n", "band", *[F.expr(f"element_at(__d, b + {i + 2}) as w{i}") for i in range(WITNESS)])
+    return rows.select("node", "n", "b", "band", *[F.expr(f"element_at(__d, b + {i + 2}) as w{i}") for i in range(WITNESS)])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -255,10 +264,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             met = met.where(close("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), apart("x", "y").alias("d"))
             pairs = met.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
         else:
-            now = now.join(nodes.select("node", "raw"), "node")
+            now = now.join(nodes.select("node", "raw", "dense"), "node")
             x, y = now.where("component <> most").alias("x"), now.alias("y")
-            met = x.join(y, F.expr("x.band = y.band and x.component <> y.component") & close("x", "y", percent) & agree("x", "y", percent))
-            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            one = F.expr("x.band = y.band and x.component <> y.component and (y.component = y.most or x.node < y.node)")
+            met = x.join(y, one & sized("x", "y", percent) & first_met("x", "y") & agree("x", "y", percent))
+            pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = settle(pairs)
         pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), pairs)), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
         texts = settle(among(by_key, pairs).withColumn("text", F.coalesce("text", F.lit(""))))

@@ -56,3 +56,15 @@ def test_odd_tables(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept int"))
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 1, 1, False), (None, 0, None, False)], key=str)
+
+
+def test_components_both_ways(spark, monkeypatch):
+    from convlake.llm import common
+
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(80), 100 + r.randrange(80)) for _ in range(50)] + [(500, 400 + i) for i in range(30)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    small = sorted(map(tuple, common.components(table).collect()))
+    monkeypatch.setattr(common, "FEW", 0)
+    large = {n: c for n, c in map(tuple, common.components(table).collect())}
+    assert {n: c for n, c in small if n != c} == large
