@@ -120,14 +120,15 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
     joined, in order, by single spaces. Documents without words are kept as they are. n_chars, where present, follows the text.
     Rows are tied to their text by the key and a row number, so repeated rows stay apart.
     """
-    own = settle(clear(docs, "__row").withColumn("__row", F.monotonically_increasing_id()))
+    own = settle(clear(docs, "__row", "__runs", "__whole").withColumn("__row", F.monotonically_increasing_id()))
     thin = settle(own.select(key, "source", word_count(F.col("text")).alias("size"), "__row"))
     opts = {"block": 64, "shards": 16, "share": 1.5, "limit": 2.0, "weights": WEIGHTS, "seed": 7} | options
     sized, cuts, _ = mix_sizes(thin, key, **opts)
     runs = cuts.groupBy("__row", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first")).alias("got"))
     plan = runs.join(sized.select("__row", "size"), "__row").unionByName(sized.where("size = 0").select("__row", F.lit(0).alias("epoch"), F.expr("cast(null as array<struct<first: bigint, last: bigint>>)").alias("runs"), F.lit(0).cast("long").alias("got"), "size"))
-    cut = F.expr(rf"array_join(flatten(transform(array(regexp_extract_all(text, '{WORDS}', 0)), w -> flatten(transform(runs, r -> slice(w, cast(r.first + 1 as int), cast(r.last - r.first as int)))))), ' ')".replace("\\", "\\\\"))
-    out = own.join(plan, "__row").withColumn("text", F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(cut))
+    cut = F.expr(rf"array_join(flatten(transform(array(regexp_extract_all(text, '{WORDS}', 0)), w -> flatten(transform(__runs, r -> slice(w, cast(r.first + 1 as int), cast(r.last - r.first as int)))))), ' ')".replace("\\", "\\\\"))
+    plan = plan.select("__row", F.col("runs").alias("__runs"), (F.col("got") == F.col("size")).alias("__whole"))
+    out = own.join(plan, "__row").withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("got") == F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
