@@ -310,7 +310,7 @@ def keyterms(x: Column, terms: int = 100, tokens: int = 500, words_each: int = 8
 
     def step(s: Column, t: Column) -> Column:
         n = s.n + F.size(F.split(t, " "))
-        over = s.over | (F.size(s.got) >= terms) | (n > tokens)
+        over = s["over"] | (F.size(s.got) >= terms) | (n > tokens)
         return F.struct(F.when(over, s.got).otherwise(F.concat(s.got, F.array(t))).alias("got"), F.when(over, s.n).otherwise(n).alias("n"), over.alias("over"))
 
     return F.aggregate(once, start, step, lambda s: s.got)
