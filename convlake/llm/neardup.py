@@ -202,12 +202,13 @@ def close(x: str, y: str, percent: int) -> Column:
 
 
 def agree(x: str, y: str, percent: int) -> Column:
-    """All raw registers of two rows differ in no more places than the threshold lets expect, and SURE deviations."""
+    """Do all raw registers of two rows speak for the threshold? The same test as in likely(), collisions taken out, within a join."""
     t, full = percent / 100, sum(EMPTY << (BITS * i) for i in range(ROWS))
     total = lambda each: f"aggregate(zip_with({x}.raw, {y}.raw, (p, q) -> {each}), 0, (s, v) -> s + v)"
     used = f"(1D * {total(differ('p & q', f'{full}L'))})"
     left = f"greatest(0.05D, 1D - {used} * {1 + t}D / ({x}.n + {y}.n))"
-    return F.expr(f"{total(differ('p', 'q'))} <= {1 - t}D * {used} + 0.3D * {SURE}D + {SURE}D * sqrt({t * (1 - t)}D * {used} * {left})")
+    chance = f"({0.169919487 * 2.0**-MANTISSA * 4}D * {x}.n * {y}.n / (({x}.n + {y}.n) * 1D * ({x}.n + {y}.n)))"
+    return F.expr(f"{total(differ('p', 'q'))} <= (1D - {chance}) * ({1 - t}D * {used} + 0.3D * {SURE}D + {SURE}D * sqrt({t * (1 - t)}D * {used} * {left}))")
 
 
 def first_met(x: str, y: str) -> Column:
@@ -270,7 +271,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             met = x.join(y, one & sized("x", "y", percent) & first_met("x", "y") & agree("x", "y", percent))
             pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = settle(pairs)
-        pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), pairs)), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
+        if turn < ROUNDS:  # the last round's join has made this test
+            pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), pairs)), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
         texts = settle(among(by_key, pairs).withColumn("text", F.coalesce("text", F.lit(""))))
         both = beside(pairs, texts, F.octet_length("text") + 16, ("t",))
         links = settle(confirmed(both, size, percent).distinct())
