@@ -320,6 +320,6 @@ def fit_ladder(lengths: Column, limit: Column | int, ladder: tuple[int, ...] = (
     """The first content limit of the ladder at which texts of these lengths stay within `limit` rough tokens, else its last."""
     out = F.lit(ladder[-1])
     for k in reversed(ladder[:-1]):
-        total = F.aggregate(lengths, F.lit(0), lambda s, n, k=k: s + F.least(n.cast("int"), F.lit(k)))
+        total = F.aggregate(F.transform(lengths, lambda n: F.least(n.cast("int"), F.lit(k))), F.lit(0), lambda s, n: s + n)  # noqa: B023
         out = F.when(F.floor(total / 4) <= limit, k).otherwise(out)
     return out
