@@ -152,6 +152,16 @@ def token_tags(x: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarra
     return (sign > 2) & (sign >= np.minimum(best[owner], SURE))
 
 
+def pieces(first: np.ndarray, size: int = 1 << 17) -> list[tuple[int, int]]:
+    """Stretches of whole chains of about `size` tokens, so that a fit's working memory doesn't grow with its sample."""
+    starts, out, low = np.r_[np.flatnonzero(first), len(first)], [], 0
+    while low < len(first):
+        high = int(starts[max(np.searchsorted(starts, low + size, "right") - 1, np.searchsorted(starts, low, "right"))])
+        out.append((low, high))
+        low = high
+    return out
+
+
 def fit(texts: list[str], toxic: list[bool], rounds: int = ROUNDS) -> Model:
     """Fit the field by gradient ascent on the tags' likelihood (Adam on all tokens), then the logistic of the document score."""
     label = np.array(toxic, bool)
@@ -164,20 +174,32 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = ROUNDS) -> Model:
     state = (2 * tag[:-1] + tag[1:]).astype(int)
     seen_steps = np.bincount(state[inner], minlength=4)[:4]
     seen_start = np.bincount(tag[first].astype(int), minlength=2)
-    n = 1 << BITS
-    flat = x.ravel()
-    seen = np.bincount(flat, np.repeat(tag, x.shape[1]), n)
-    total = np.bincount(flat, minlength=n) + 1.0
+    n, parts = 1 << BITS, pieces(first)
+    seen, total = np.zeros(n), np.ones(n)
+    for low, high in parts:
+        flat = x[low:high].ravel()
+        seen += np.bincount(flat, np.repeat(tag[low:high], x.shape[1]), n)
+        total += np.bincount(flat, minlength=n)
     theta, one, two = np.zeros(n + 6), np.zeros(n + 6), np.zeros(n + 6)
+
+    def expected() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's marginal, and the expected counts of features, and of transitions and starts; a piece at a time."""
+        p, made, steps = np.empty(len(x)), np.zeros(n), np.zeros(6)
+        for low, high in parts:
+            own, steps_ = marginals(theta[x[low:high]].sum(1), first[low:high], theta[n : n + 4], theta[n + 4 :])
+            p[low:high] = own
+            made += np.bincount(x[low:high].ravel(), np.repeat(own, x.shape[1]), n)
+            begins = own[first[low:high]]
+            steps += np.r_[steps_, (1 - begins).sum(), begins.sum()]
+        return p, made, steps
+
     for i in range(1, rounds + 1):
-        p, steps = marginals(theta[x].sum(1), first, theta[n : n + 4], theta[n + 4 :])
-        made = np.bincount(flat, np.repeat(p, x.shape[1]), n)
-        starts = np.array([(1 - p[first]).sum(), p[first].sum()])
-        g = np.r_[(seen - made) / np.sqrt(total) - 1e-2 * theta[:n], (seen_steps - steps) / np.sqrt(len(x)), (seen_start - starts) / np.sqrt(len(x))]
+        _, made, steps = expected()
+        g = np.r_[(seen - made) / np.sqrt(total) - 1e-2 * theta[:n], (np.r_[seen_steps, seen_start] - steps) / np.sqrt(len(x))]
         one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
         theta += 0.2 * (one / (1 - 0.9**i)) / (np.sqrt(two / (1 - 0.99**i)) + 1e-6)
     model = Model(theta[:n], theta[n : n + 4], theta[n + 4 :], model.fit)
-    p, _ = marginals(theta[x].sum(1), first, model.step, model.start)
+    p = expected()[0]
     a, b = summary(p, owner, len(texts))
     z, w = np.stack([a, b, np.ones(len(a))]), np.zeros(3)
     for _ in range(30):  # Newton steps, lightly held back
