@@ -3,6 +3,7 @@ held against brute-force versions in the tests."""
 
 from __future__ import annotations
 
+from convlake.functions.routing import CANDIDATES, OTHERS, PERMANENT_CODES, SPACE_PHRASE, SPACE_REPLY, TEMPORARY_CODES
 from convlake.functions.text import ACTION_PATTERNS, ACTION_VERBS, ACTIONABLE, ENTITY_PATTERNS, STOPWORDS
 from convlake.operators.artifacts import TYPE_GROUPS
 from convlake.operators.chunks import STATUSES, TRANSITIONS
@@ -70,11 +71,29 @@ n AS (SELECT id, x, sqrt(list_dot_product(x, x)) AS l FROM v),
 s AS (SELECT a.id AS query_id, b.id AS id, round(CASE WHEN a.l * b.l > 0 THEN list_dot_product(a.x, b.x) / (a.l * b.l) ELSE 0 END, 6) AS score FROM n a, n b WHERE a.id % 50 = 0),
 top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s QUALIFY rank <= 8)"""
 
+ITEMS = ARTIFACTS + """, i AS (SELECT conversation_id, id, window_index,
+  CASE WHEN artifact_type IN ('task', 'follow_up') THEN 'tasks' WHEN artifact_type IN ('note', 'fact') THEN 'notes' WHEN artifact_type IN ('decision', 'idea') THEN 'decisions' ELSE 'issues' END AS collection,
+  CASE WHEN id % 31 <> 0 THEN a.title END AS title, CASE WHEN id % 7 <> 0 THEN content END AS body, a.title AS quote,
+  CASE WHEN id % 29 = 0 THEN 'NO_ACTION' WHEN id % 17 = 0 THEN 'COMPLETE' WHEN id % 13 = 0 THEN 'UPDATE' END AS operation, CASE artifact_type WHEN 'idea' THEN 'idea' END AS status,
+  CASE WHEN artifact_type = 'question' THEN 'open_question' WHEN artifact_type IN ('risk', 'blocker') THEN artifact_type END AS kind, CASE WHEN id % 3 = 0 THEN lower(a.title) END AS fingerprint,
+  CASE WHEN id % 11 <> 0 THEN sequence_start || ':' || sequence_end ELSE '' END AS span, CASE WHEN id % 5 <> 0 THEN id % 10 / 10 END AS confidence FROM a),
+m AS (SELECT *, CASE WHEN collection <> 'issues' THEN collection WHEN kind IN ('blocker', 'risk') THEN 'blockers' ELSE 'questions' END AS section,
+  coalesce(nullif(fingerprint, ''), lower(concat_ws('|', coalesce(title, ''), left(coalesce(body, ''), 300), coalesce(operation, ''), coalesce(status, ''), coalesce(kind, ''), span))) AS identity
+  FROM i WHERE collection <> 'tasks' OR coalesce(operation, '') <> 'NO_ACTION')"""
+OUTCOMES = """o AS (SELECT conv_id, turn, text, (conv_id + turn) % 3 = 0 AS tasks, turn % 4 = 1 AS notes, conv_id % 5 = 0 AS decisions, turn % 2 = 1 AS facts,
+  greatest(1, length(left(coalesce(text, ''), 150)) // 4) AS told FROM conversations)"""
+
+
+def one_of(values: list[str], at: str) -> str:
+    return f"[{', '.join(map(q, values))}][{at} + 1]"
+
 
 def says(x: str, *markers: str) -> str:
     return "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), {q(m)})" for m in markers) + ")"
 
 
+ACTS = " OR ".join(f"regexp_matches(lower(normalized), {q('(?i)' + p)})" for p in ACTION_PATTERNS[:23])
+
 SQL: dict[str, str] = {
     "chunk_predicates": f"""WITH {CHUNKS} SELECT conversation_id, sequence_number, useful, terminal, skippable,
   CASE WHEN last_error LIKE 'Invalid audio%' THEN 'permanent' ELSE 'temporary' END AS error_class, FALSE AS recoverable FROM k""",
@@ -190,4 +209,37 @@ SELECT value, string_agg(s, ',' ORDER BY s) AS sources FROM u GROUP BY 1""",
   CASE WHEN {says('text', 'today')} THEN 'today' WHEN {says('text', 'tomorrow')} THEN 'tomorrow' WHEN {says('text', 'all')} THEN 'all' ELSE 'unspecified' END AS scope FROM conversations""",
     "repaired_text": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
     "json_objects": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
+    "merged_items": f"WITH {ITEMS} SELECT conversation_id, section, id FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id, section, identity ORDER BY window_index, id) = 1",
+    "carried_items": f"WITH {ITEMS} SELECT conversation_id, section, id FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id, section, identity ORDER BY window_index <> 4, window_index, id) = 1",
+    "valid_items": f"""WITH {ITEMS} SELECT conversation_id, id, collection, coalesce(body, '') AS body, CASE WHEN collection = 'tasks' THEN coalesce(operation, 'NEEDS_CONFIRMATION') ELSE operation END AS operation,
+  coalesce(confidence, 0.5) AS confidence, CASE WHEN collection = 'tasks' THEN coalesce(operation, 'NEEDS_CONFIRMATION') = 'NEEDS_CONFIRMATION' END AS needs_confirmation,
+  CASE WHEN collection = 'decisions' THEN coalesce(status, 'unresolved_discussion') ELSE status END AS status, CASE WHEN collection = 'issues' THEN coalesce(kind, 'open_question') ELSE kind END AS kind
+FROM m WHERE coalesce(title, '') <> '' AND span <> '' AND (collection <> 'notes' OR coalesce(body, '') <> '')""",
+    "window_recovery": f"""WITH {OUTCOMES} SELECT conv_id, turn, trim(coalesce(text, '')) <> '' AND (NOT (tasks OR notes OR decisions) OR (NOT notes AND (facts OR told >= 20)) OR ({says('text', *ACTIONABLE)} AND NOT (tasks OR notes))) AS needs_recovery FROM o""",
+    "final_recovery": f"""WITH {OUTCOMES}, w AS (SELECT conv_id, bool_or(notes OR facts OR told >= 30) AS n, bool_or(tasks OR notes OR decisions OR facts OR told >= 30) AS a FROM o GROUP BY 1)
+SELECT conv_id, (conv_id % 3 <> 0 AND n) OR (conv_id % 4 <> 0 AND conv_id % 3 <> 0 AND a) AS needs_recovery FROM w""",
+    "unsaved_windows": f"""WITH {ARTIFACTS}, w AS (SELECT conversation_id, window_index, count_if(status <> 'rejected') AS expected FROM a GROUP BY 1, 2), h AS (SELECT DISTINCT conversation_id, window_index, TRUE AS has FROM a WHERE window_index < 3 OR id % 40 = 0)
+SELECT conversation_id, window_index, CAST(expected AS BIGINT) AS expected FROM w LEFT JOIN h USING (conversation_id, window_index) WHERE expected > 0 AND NOT (coalesce(has, FALSE) AND (conversation_id + window_index) % 4 <> 1)""",
+    "item_findings": f"""WITH {ITEMS}, own AS (SELECT * FROM i WHERE collection <> 'tasks' OR conversation_id % 2 = 1),
+t AS (SELECT conversation_id, coalesce(string_agg(title, ' ' ORDER BY title) FILTER (id % 4 < 3), '') AS raw FROM a GROUP BY 1), n AS (SELECT *, CASE WHEN conversation_id % 4 < 2 THEN 'we need to ' || raw ELSE raw END AS normalized FROM t)
+SELECT conversation_id, 'MISSING_EVIDENCE' AS code, collection, title FROM own WHERE span = ''
+UNION ALL SELECT conversation_id, 'EVIDENCE_TEXT_NOT_EXACT_MATCH', collection, title FROM own JOIN n USING (conversation_id) WHERE span <> '' AND NOT contains(lower(raw), lower(quote)) AND NOT contains(lower(normalized), lower(quote))
+UNION ALL SELECT conversation_id, 'ACTION_WITHOUT_TASK', NULL, NULL FROM n WHERE ({ACTS}) AND conversation_id NOT IN (SELECT conversation_id FROM own WHERE collection = 'tasks')""",
+    "published_tasks": """WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS user_id, 'f' || o_orderkey AS fingerprint, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0),
+s AS (SELECT o_orderkey AS n, 's' || o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS existing_id, o_custkey AS user_id, 'f' || (o_orderkey % 5000) AS fingerprint FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0),
+f AS (SELECT id, user_id, fingerprint FROM s WHERE existing_id IS NULL AND fingerprint NOT IN (SELECT fingerprint FROM t) QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY n) = 1)
+SELECT t.id, t.user_id, coalesce(s.fingerprint, t.fingerprint) AS fingerprint, 1 AS created_at, CASE WHEN s.id IS NULL THEN t.status ELSE 'staged' END AS status FROM t LEFT JOIN s ON s.existing_id = t.id AND s.user_id = t.user_id
+UNION ALL SELECT id, user_id, fingerprint, 2, 'staged' FROM f""",
+    "attempt_statuses": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'permanent_audio_error' WHEN 2 THEN CASE WHEN user_id % 3 < 2 AND event_id % 6 <> 0 THEN 'retry' ELSE 'fallback' END ELSE 'fallback' END AS status FROM events""",
+    "candidate_orders": "SELECT event_id, coalesce(array_to_string(list_filter(CASE event_id % 8 " + " ".join(f"WHEN {n} THEN [{', '.join(map(q, v))}]" for n, v in enumerate(CANDIDATES.values())) + f" ELSE [{', '.join(map(q, OTHERS))}] END, "
+    "lambda p: (event_id // (8 * CASE p WHEN 'gemini' THEN 1 WHEN 'groq' THEN 2 WHEN 'mistral' THEN 4 ELSE 8 END)) % 2 = 1), ','), '') AS providers FROM events",
+    "storage_errors": f"""WITH e AS (SELECT event_id, event_id % 4 AS k, {one_of([*PERMANENT_CODES, *TEMPORARY_CODES, 'Other', ''], '(event_id // 4) % 10')} AS code, [400, 403, 404, 409, 500, 503][(event_id // 40) % 6 + 1] AS s FROM events)
+SELECT event_id, CASE WHEN k = 0 THEN 'permanent' WHEN k <> 2 THEN 'temporary' WHEN code IN {among(PERMANENT_CODES)} THEN 'permanent' WHEN code IN {among(TEMPORARY_CODES)} OR s >= 500 THEN 'temporary' WHEN s < 409 THEN 'permanent' ELSE 'temporary' END AS class FROM e""",
+    "space_selection": rf"""WITH c AS (SELECT conv_id, turn, left(text, 40) || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' in space ' || turn WHEN 2 THEN ' for Workspace ' || turn ELSE ' of PROJECT ' || turn END || ' please' AS x,
+  CASE turn % 3 WHEN 0 THEN CAST(turn AS VARCHAR) WHEN 1 THEN 'Space ' || turn ELSE left(text, 10) END AS r FROM conversations)
+SELECT conv_id, turn, coalesce(nullif(regexp_extract(x, '(?i)\bspace\s+(\d+)\b', 1), ''), nullif(regexp_extract(x, '(?i)\bworkspace\s+(\d+)\b', 1), ''), nullif(regexp_extract(x, '(?i)\bproject\s+(\d+)\b', 1), '')) AS space,
+  trim(regexp_replace(regexp_replace(x, {q('(?i)' + SPACE_PHRASE)}, '', 'g'), '\s+', ' ', 'g')) AS question, regexp_matches(lower(trim(r)), '^[0-9]+$') OR regexp_matches(lower(trim(r)), {q(SPACE_REPLY)}) AS is_reply FROM c""",
+    "chosen_options": """WITH o AS (SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, lower(n_name) AS label, 'v' || n_nationkey AS value FROM nation),
+c AS (SELECT CAST(c_custkey % 5 AS INTEGER) AS region, c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey % 8 END AS n, CASE c_custkey % 3 WHEN 0 THEN '0' || (c_custkey % 8) WHEN 1 THEN lower(n_name) ELSE 'v' || (c_custkey % 25) END AS said FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c.region, c_custkey, value AS option FROM c LEFT JOIN o ON c.region = o.region AND (i = n OR label = said OR value = said) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY i <> n, i) = 1""",
 }

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convlake.functions import repair, text
+from convlake.functions import repair, routing, text
 from convlake.operators import artifacts as art
 from convlake.operators import chunks as ch
-from convlake.operators import merge, retrieval, windows
+from convlake.operators import merge, results, retrieval, windows
 from convlake.plans import workspace
 from convlake.sources import tables as src
 from convlake.streaming import events as ev
@@ -311,6 +311,115 @@ def json_objects(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.get_json_object(repair.json_object(F.concat(F.lit("```json\nnoise {x "), F.col("props"), F.lit(" }```"))), "$.k").cast("int").alias("k"))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction items from the artifacts of `part`: some without title, body, evidence or confidence, some that repeat, by key."""
+    i, k = F.col("id"), F.col("artifact_type")
+    collection = F.when(k.isin("task", "follow_up"), "tasks").when(k.isin("note", "fact"), "notes").when(k.isin("decision", "idea"), "decisions").otherwise("issues")
+    span = F.array(F.struct("sequence_start", "sequence_end", F.col("title").alias("text")))
+    return src.artifacts(spark, d).select(
+        "conversation_id", "id", "window_index", collection.alias("collection"), F.when(i % 31 != 0, F.col("title")).alias("title"), F.when(i % 7 != 0, F.col("content")).alias("body"),
+        F.when(i % 29 == 0, "NO_ACTION").otherwise(F.col("operation")).alias("operation"), F.when(k == "idea", "idea").alias("status"),
+        F.when(k == "question", "open_question").when(k.isin("risk", "blocker"), k).alias("kind"), F.when(i % 3 == 0, F.lower("title")).alias("fingerprint"),
+        F.when(i % 11 != 0, span).otherwise(F.slice(span, 1, 0)).alias("evidence"), F.when(i % 5 != 0, i % 10 / 10).alias("confidence"), F.lit(None).cast("boolean").alias("needs_confirmation"),
+    )
+
+
+def merged_items(spark: SparkSession, d: str) -> DataFrame:
+    return results.merge_items(_items(spark, d), ["window_index", "id"]).select("conversation_id", "section", "id")
+
+
+def carried_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of the last window, and those that only the others have."""
+    i = _items(spark, d)
+    return results.carried(i.where("window_index = 4"), i.where("window_index < 4"), ["window_index", "id"]).select("conversation_id", "section", "id")
+
+
+def valid_items(spark: SparkSession, d: str) -> DataFrame:
+    return results.valid_items(_items(spark, d)).select("conversation_id", "id", "collection", "body", "operation", "confidence", "needs_confirmation", "status", "kind")
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    i, n, zero = F.col("conv_id"), F.col("turn"), F.lit(0)
+    some = {"tasks": (i + n) % 3 == 0, "notes": n % 4 == 1, "decisions": i % 5 == 0, "facts": n % 2 == 1}
+    return src.table(spark, d, "conversations").select("conv_id", "turn", "text", F.left("text", F.lit(150)).alias("summary"), *[v.cast("int").alias(k) for k, v in some.items()], zero.alias("issues"), zero.alias("topics"), zero.alias("questions"))
+
+
+def window_recovery(spark: SparkSession, d: str) -> DataFrame:
+    return _outcomes(spark, d).select("conv_id", "turn", results.needs_window_recovery(F.col("text")).alias("needs_recovery"))
+
+
+def final_recovery(spark: SparkSession, d: str) -> DataFrame:
+    windows_, i = _outcomes(spark, d), F.col("conv_id")
+    final = windows_.select("conv_id").distinct().select("conv_id", (i % 4 == 0).cast("int").alias("tasks"), (i % 3 == 0).cast("int").alias("notes"), F.lit(0).alias("decisions"), F.lit(0).alias("issues"))
+    return results.needs_final_recovery(windows_, final, "conv_id")
+
+
+def unsaved_windows(spark: SparkSession, d: str) -> DataFrame:
+    a = src.artifacts(spark, d)
+    w = a.groupBy("conversation_id", "window_index").agg(F.count_if(F.col("status") != "rejected").alias("expected")).withColumn("saved", (F.col("conversation_id") + F.col("window_index")) % 4 != 1)
+    return results.unsaved_windows(w, a.where("window_index < 3 or id % 40 = 0")).select("conversation_id", "window_index", "expected")
+
+
+def item_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Items held against transcripts made of three quarters of the titles; conversations with an even number have no tasks."""
+    raw = F.array_join(F.sort_array(F.collect_list(F.when(F.col("id") % 4 < 3, F.col("title")))), " ")
+    t = src.artifacts(spark, d).groupBy("conversation_id").agg(raw.alias("raw"))
+    t = t.withColumn("normalized", F.when(F.col("conversation_id") % 4 < 2, F.concat(F.lit("we need to "), "raw")).otherwise(F.col("raw")))
+    return results.findings(_items(spark, d).where("collection <> 'tasks' or conversation_id % 2 = 1"), t)
+
+
+def published_tasks(spark: SparkSession, d: str) -> DataFrame:
+    o, k = src.table(spark, d, "orders"), F.col("o_orderkey")
+    mark = lambda x: F.concat(F.lit("f"), x.cast("string")).alias("fingerprint")
+    user = F.col("o_custkey").alias("user_id")
+    target = o.where(k % 2 == 0).select(k.cast("string").alias("id"), user, F.lit(0).alias("space_id"), mark(k), F.lit(1).alias("created_at"), F.col("o_orderstatus").alias("status"))
+    staged = o.where(k % 3 == 0).select(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), F.when(k % 5 == 0, k.cast("string")).alias("existing_id"), user, F.lit(0).alias("space_id"), mark(k % 5000),
+        F.when(k % 7 == 0, "NO_ACTION").alias("operation"), F.lit(2).alias("created_at"), F.lit("staged").alias("status"), k.alias("n"),
+    )
+    return results.publish(target, staged, ["n"]).drop("space_id")
+
+
+def _pick(values: list, at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
+
+
+def attempt_statuses(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    message = F.when(i % 6 == 0, "The API key is not configured").otherwise("timed out")
+    return src.table(spark, d, "events").select("event_id", routing.attempt_status(_pick(["ok", "permanent", "temporary", "other"], i % 4), F.col("user_id") % 3, message).alias("status"))
+
+
+def candidate_orders(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    configured = F.array_compact(F.array(*[F.when(F.floor(i / (8 << n)) % 2 == 1, F.lit(p)) for n, p in enumerate(["gemini", "groq", "mistral", "sarvam"])]))
+    return src.table(spark, d, "events").select("event_id", F.array_join(routing.candidates(_pick([*routing.CANDIDATES, "unknown"], i % 8), configured), ",").alias("providers"))
+
+
+def storage_errors(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    code = _pick([*routing.PERMANENT_CODES, *routing.TEMPORARY_CODES, "Other", ""], F.floor(i / 4) % 10)
+    return src.table(spark, d, "events").select("event_id", routing.storage_error(_pick(["credentials", "timeout", "client", "none"], i % 4), code, _pick([400, 403, 404, 409, 500, 503], F.floor(i / 40) % 6)).alias("class"))
+
+
+def space_selection(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("turn").cast("string")
+    named = _pick(["", " in space ", " for Workspace ", " of PROJECT "], F.col("turn") % 4)
+    question = F.concat(F.left("text", F.lit(40)), named, F.when(named != "", n).otherwise(""), F.lit(" please"))
+    reply = F.when(F.col("turn") % 3 == 0, n).when(F.col("turn") % 3 == 1, F.concat(F.lit("Space "), n)).otherwise(F.left("text", F.lit(10)))
+    return src.table(spark, d, "conversations").select("conv_id", "turn", routing.inline_space(question).alias("space"), routing.without_inline_space(question).alias("question"), routing.is_option_reply(reply).alias("is_reply"))
+
+
+def chosen_options(spark: SparkSession, d: str) -> DataFrame:
+    n = src.table(spark, d, "nation")
+    by = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    options = n.select(F.col("n_regionkey").alias("region"), F.row_number().over(by).alias("index"), F.col("n_name").alias("label"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("value"))
+    i = F.col("c_custkey")
+    said = F.when(i % 3 == 0, F.concat(F.lit(" 0"), (i % 8).cast("string"))).when(i % 3 == 1, F.lower("n_name")).otherwise(F.concat(F.lit("V"), (i % 25).cast("string")))
+    c = src.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return routing.resolve_options(c.select((i % 5).cast("int").alias("region"), "c_custkey", said.alias("selection")), options, ["region"], "c_custkey")
+
+
 def queries() -> dict[str, Query]:
     found = [
         chunk_accounting, chunk_predicates, missing_sequences, reachable_chunks, invalid_transitions, ready_windows, window_ownership, transcript_segments, normalized_lines, transcripts,
@@ -318,5 +427,7 @@ def queries() -> dict[str, Query]:
         document_chunks, rule_signals, token_counts, evidence_checks, top_vectors, retrieved_context, routed_events, accepted_once, failure_routes, inactive_sessions,
         admitted_requests, offered_load, first_success, space_stats, active_tasks, due_tasks, task_page, space_list, latest_orders, upserted_orders, inserted_orders, last_messages,
         key_sources, object_keys, question_plans, repaired_text, json_objects,
+        merged_items, carried_items, valid_items, window_recovery, final_recovery, unsaved_windows, item_findings, published_tasks, attempt_statuses, candidate_orders, storage_errors,
+        space_selection, chosen_options,
     ]
     return {f.__name__: f for f in found}
