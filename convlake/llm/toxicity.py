@@ -57,9 +57,9 @@ def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndar
     return out
 
 
-def marginals(odds: np.ndarray, first: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(odds: np.ndarray, first: np.ndarray, step: np.ndarray, start: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over chains laid end to end: each token's probability of the offending tag, and the expected counts of
-    the four transitions. odds: the tokens' scores for that tag; first: whether a token begins a chain.
+    the four transitions. odds: the tokens' scores for that tag; first: whether a token begins a chain; weight: what a token counts.
 
     Tokens stand in rows of ROW. Each row's product of transition matrices is taken, side by side for all rows; the states at the
     rows' ends follow from these; then all rows go forward and backward at once.
@@ -115,6 +115,8 @@ def marginals(odds: np.ndarray, first: np.ndarray, step: np.ndarray, start: np.n
     tag = both[1] / (both[0] + both[1])
     pair = np.stack([f[i // 2, :-1] * m[i, 1:] * g[i % 2, 1:] for i in range(4)])
     pair = pair / pair.sum(0)
+    if weight is not None:
+        pair = pair * weight[1:]
     return tag, pair[:, ~first[1:]].sum(1)
 
 
@@ -162,40 +164,55 @@ def pieces(first: np.ndarray, size: int = 1 << 17) -> list[tuple[int, int]]:
     return out
 
 
-def fit(texts: list[str], toxic: list[bool], rounds: int = ROUNDS) -> Model:
-    """Fit the field by gradient ascent on the tags' likelihood (Adam on all tokens), then the logistic of the document score."""
+def draw_weights(label: np.ndarray, totals: dict[int, int]) -> np.ndarray:
+    """What each drawn document counts, so that both classes have the shares that `totals` (rows by class) gives them; 1 on average."""
+    weight = np.ones(len(label))
+    for y, n in totals.items():
+        drawn = label == bool(y)
+        weight[drawn] = n / max(1, drawn.sum())
+    return weight * (len(label) / weight.sum()) if len(label) else weight
+
+
+def fit(texts: list[str], toxic: list[bool], rounds: int = ROUNDS, totals: dict[int, int] | None = None) -> Model:
+    """Fit the field by gradient ascent on the tags' likelihood (Adam on all tokens), then the logistic of the document score.
+
+    totals: rows of each class (0, 1) that the texts were drawn from, where both classes weren't drawn at the same rate.
+    """
     label = np.array(toxic, bool)
+    weight = draw_weights(label, totals or {})
     x, owner, first = _chains(texts)
-    model = Model(np.zeros(1 << BITS), np.zeros(4), np.zeros(2), (0.0, 0.0, float(np.log((label.sum() + 0.5) / ((~label).sum() + 0.5)))))
+    model = Model(np.zeros(1 << BITS), np.zeros(4), np.zeros(2), (0.0, 0.0, float(np.log((weight[label].sum() + 0.5) / (weight[~label].sum() + 0.5)))))
     if not len(x) or label.all() or not label.any():
         return model
     tag = token_tags(x, owner, label).astype(float)
+    counts = weight[owner]
     inner = ~first[1:]
     state = (2 * tag[:-1] + tag[1:]).astype(int)
-    seen_steps = np.bincount(state[inner], minlength=4)[:4]
-    seen_start = np.bincount(tag[first].astype(int), minlength=2)
+    seen_steps = np.bincount(state[inner], counts[1:][inner], 4)[:4]
+    seen_start = np.bincount(tag[first].astype(int), counts[first], 2)
     n, parts = 1 << BITS, pieces(first)
     seen, total = np.zeros(n), np.ones(n)
     for low, high in parts:
         flat = x[low:high].ravel()
-        seen += np.bincount(flat, np.repeat(tag[low:high], x.shape[1]), n)
-        total += np.bincount(flat, minlength=n)
+        seen += np.bincount(flat, np.repeat(tag[low:high] * counts[low:high], x.shape[1]), n)
+        total += np.bincount(flat, np.repeat(counts[low:high], x.shape[1]), n)
     theta, one, two = np.zeros(n + 6), np.zeros(n + 6), np.zeros(n + 6)
 
     def expected() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each token's marginal, and the expected counts of features, and of transitions and starts; a piece at a time."""
         p, made, steps = np.empty(len(x)), np.zeros(n), np.zeros(6)
         for low, high in parts:
-            own, steps_ = marginals(theta[x[low:high]].sum(1), first[low:high], theta[n : n + 4], theta[n + 4 :])
+            c = counts[low:high]
+            own, steps_ = marginals(theta[x[low:high]].sum(1), first[low:high], theta[n : n + 4], theta[n + 4 :], c)
             p[low:high] = own
-            made += np.bincount(x[low:high].ravel(), np.repeat(own, x.shape[1]), n)
-            begins = own[first[low:high]]
-            steps += np.r_[steps_, (1 - begins).sum(), begins.sum()]
+            made += np.bincount(x[low:high].ravel(), np.repeat(own * c, x.shape[1]), n)
+            begins, c = own[first[low:high]], c[first[low:high]]
+            steps += np.r_[steps_, ((1 - begins) * c).sum(), (begins * c).sum()]
         return p, made, steps
 
     for i in range(1, rounds + 1):
         _, made, steps = expected()
-        g = np.r_[(seen - made) / np.sqrt(total) - 1e-2 * theta[:n], (np.r_[seen_steps, seen_start] - steps) / np.sqrt(len(x))]
+        g = np.r_[(seen - made) / np.sqrt(total) - 1e-2 * theta[:n], (np.r_[seen_steps, seen_start] - steps) / np.sqrt(counts.sum())]
         one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
         theta += 0.2 * (one / (1 - 0.9**i)) / (np.sqrt(two / (1 - 0.99**i)) + 1e-6)
     model = Model(theta[:n], theta[n : n + 4], theta[n + 4 :], model.fit)
@@ -204,8 +221,8 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = ROUNDS) -> Model:
     z, w = np.stack([a, b, np.ones(len(a))]), np.zeros(3)
     for _ in range(30):  # Newton steps, lightly held back
         q = 1 / (1 + np.exp(-np.clip(w @ z, -30, 30)))
-        hessian = (z * (q * (1 - q) + 1e-6)) @ z.T + np.diag([0.1, 0.1, 1e-3])
-        w += np.linalg.solve(hessian, z @ (label - q) - np.array([0.1, 0.1, 1e-3]) * w)
+        hessian = (z * (weight * q * (1 - q) + 1e-6)) @ z.T + np.diag([0.1, 0.1, 1e-3])
+        w += np.linalg.solve(hessian, z @ (weight * (label - q)) - np.array([0.1, 0.1, 1e-3]) * w)
     model.fit = tuple(map(float, w))
     return model
 
@@ -219,14 +236,15 @@ def summary(p: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, n
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rounds: int = ROUNDS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labels (key, toxic) on docs. At most `sample` documents of either class, none over `sample_bytes` bytes, come to
-    the driver: those with the least hashed keys."""
+    the driver: those with the least hashed keys. Both classes' rows are counted in full, and the drawn ones weighted to their shares."""
     known = labels.where("toxic is not null").groupBy(key).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     rows = docs.select(key, "text").where(F.octet_length("text") <= sample_bytes).join(known, key)
     narrow = rows.select(key, "toxic", F.xxhash64(F.lit(3), key).alias("h"))
     picked = [narrow.where(f"toxic = {y}").orderBy("h", key).limit(sample) for y in (0, 1)]
+    totals = {r["toxic"]: r["count"] for r in narrow.groupBy("toxic").count().collect()}
     chosen = F.broadcast(picked[0].unionByName(picked[1]).select(key, "toxic").distinct())
     got = docs.select(key, "text").where(F.octet_length("text") <= sample_bytes).join(chosen, key).select(key, "text", "toxic").toPandas().sort_values([key, "text"])
-    return fit(got["text"].tolist(), [bool(y) for y in got["toxic"]], rounds)
+    return fit(got["text"].tolist(), [bool(y) for y in got["toxic"]], rounds, totals)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float = 0.5, with_spans: bool = True) -> DataFrame:

@@ -165,6 +165,24 @@ def test_toxicity(spark):
     assert all(any(text[x.doc_id][s.begin : s.end] in b or b.split()[0] in text[x.doc_id][s.begin : s.end] for b in bad) for x in got if x.predicted for s in x.spans[:1])
 
 
+def test_toxicity_of_a_capped_draw(spark):
+    r = random.Random(6)
+    # a word that half of the toxic tenth has, and a tenth of the rest: its documents are toxic one time in three
+    rows, labels = [], []
+    for i in range(1500):
+        y = i % 10 == 0
+        hard = r.random() < (0.5 if y else 0.1)
+        rows.append((i, " ".join([r.choice(["good day", "nice tree", "the sky", "we walk"]) for _ in range(8)] + ["grim"] * hard)))
+        labels.append((i, int(y)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.score(docs, toxicity.train(docs, known), with_spans=False).agg(F.avg("score"), F.sum("predicted")).first()
+    drawn = toxicity.score(docs, toxicity.train(docs, known, sample=120), with_spans=False).agg(F.avg("score"), F.sum("predicted")).first()
+    assert abs(whole[0] - 0.1) < 0.03 and abs(drawn[0] - 0.1) < 0.05
+    assert whole[1] <= 40 and drawn[1] <= 40
+    same = toxicity.draw_weights(toxicity.np.array([True, False, False]), {0: 2, 1: 1})
+    assert same.tolist() == [1, 1, 1]
+
+
 def test_language_identification(spark):
     docs = spark.createDataFrame([("the house and the garden with the tree " * 5, "en"), ("das haus und der garten mit dem baum " * 5, "de")] * 3, "text string, lang string")
     page = lambda i, url, lang, t: (i, url, f"<html{lang}><body><script>der die das</script>{t}</body></html>")
