@@ -57,7 +57,7 @@ def window_ownership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript_segments(spark: SparkSession, d: str) -> DataFrame:
-    return windows.segments(src.doc_lines(spark, d).withColumnRenamed("doc_id", "conversation_id"), target=250)
+    return windows.segments(src.doc_lines(spark, d).withColumnRenamed("doc_id", "conversation_id"), target=250, most=None)
 
 
 def normalized_lines(spark: SparkSession, d: str) -> DataFrame:

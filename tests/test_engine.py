@@ -70,6 +70,16 @@ def test_segments(spark):
     assert windows.segments(lines, target=12, overlap=0.3, most=2).count() == 2
 
 
+def test_segments_of_a_long_document_lose_nothing(spark, tmp_path):
+    words = [f"w{i}" + "." * (i % 12 == 11) for i in range(21_000)]
+    text = "\n".join(" ".join(words[i : i + 60]) for i in range(0, len(words), 60))
+    spark.createDataFrame([(1, text), (2, "Short one."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.transcript_segments(spark, str(tmp_path)).collect()
+    long = [r for r in got if r.conversation_id == 1]
+    assert len(long) > 80 and max(r.sequence_end for r in long) == 349
+    assert {w for r in long for w in r.text.split() if w[0] == "w"} == set(words)
+
+
 def test_overlap_cut_column_and_fold_agree(spark):
     pairs = [("and then we go home now", "we said so and then we go"), ("short", "short"), ("abcdefgh rest", "xx ABCDEFGH"), ("", "x"), (None, None), ("same text here", "same text here")]
     df = spark.createDataFrame(pairs, "a string, b string")
