@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,17 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, rank, id, score): for each query the k vectors with the highest cosine, ties to the smaller id.
 
-    A stated set of queries, checked to be small, goes to all tasks that read the vectors; with `keys` (say, the user) a query
-    meets only vectors of its own. Each task keeps k rows a query before the shuffle (a window group limit).
+    The queries go to all tasks that read the vectors, in hashed blocks of about QUERY_BYTES, each of which reads them once; with
+    `keys` (say, the user) a query meets only vectors of its own. Each task keeps k rows a query before the shuffle (a window group limit).
     """
     n, wide = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    if n * wide * 8 > QUERY_BYTES:
-        raise ValueError("too many queries for one call; pass them in blocks")
+    blocks = max(1, -(-n * wide * 8 // QUERY_BYTES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_top_k(queries.where(block == i) if blocks > 1 else queries, vectors, k, keys) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top_k(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
     q = F.broadcast(queries.select(*keys, "query_id", F.col("vector").alias("q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("qn")))
     v = vectors.withColumn("vn", F.sqrt(dot(F.col("vector"), F.col("vector"))))
     pairs = v.join(q, list(keys)) if keys else v.join(q, F.lit(True))

@@ -243,3 +243,9 @@ SELECT conv_id, turn, coalesce(nullif(regexp_extract(x, '(?i)\bspace\s+(\d+)\b',
 c AS (SELECT CAST(c_custkey % 5 AS INTEGER) AS region, c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey % 8 END AS n, CASE c_custkey % 3 WHEN 0 THEN '0' || (c_custkey % 8) WHEN 1 THEN lower(n_name) ELSE 'v' || (c_custkey % 25) END AS said FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT c.region, c_custkey, value AS option FROM c LEFT JOIN o ON c.region = o.region AND (i = n OR label = said OR value = said) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY i <> n, i) = 1""",
 }
+
+# The same for every id divisible by 20, and chunks spread over the whole document.
+SQL["vector_searches"] = SQL["top_vectors"].replace("a.id % 50 = 0", "a.id % 20 = 0")
+SQL["searched_context"] = SQL["retrieved_context"].replace("a.id % 50 = 0", "a.id % 20 = 0").replace(
+    "CAST(id % 3 AS INTEGER) AS chunk_index, score FROM top)", "CAST(id % len(ps) AS INTEGER) AS chunk_index, score FROM top JOIN d ON doc_id = id WHERE len(ps) > 0)"
+)

@@ -189,6 +189,28 @@ def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", "job_id", "chunk_index", "is_parent", F.round("score", 6).alias("score"), "lexical")
 
 
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 20."""
+    e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.top_k(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), e).select("query_id", "rank", "id", "score")
+
+
+def vector_searches(spark: SparkSession, d: str) -> DataFrame:
+    return _searches(spark, d)
+
+
+def searched_context(spark: SparkSession, d: str) -> DataFrame:
+    """As retrieved_context, but for every search, and vector vec_id stands for chunk vec_id modulo the chunks of document vec_id."""
+    docs = src.table(spark, d, "documents")
+    chunks = docs.select("doc_id", "text", text.fixed_chunks("text").alias("chunks"))
+    parts = chunks.select(F.col("doc_id").alias("job_id"), F.posexplode("chunks").alias("chunk_index", "text"))
+    sizes = chunks.select(F.col("doc_id").alias("id"), F.size("chunks").alias("n")).where("n > 0")
+    hits = _searches(spark, d).join(sizes, "id").select("query_id", F.col("id").alias("job_id"), (F.col("id") % F.col("n")).cast("int").alias("chunk_index"), "score")
+    both = retrieval.merged(hits.join(parts, ["job_id", "chunk_index"]), retrieval.neighbours(hits, parts))
+    out = retrieval.ranked(both, docs.select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(200)).alias("question")))
+    return out.select("query_id", "rank", "job_id", "chunk_index", "is_parent", F.round("score", 6).alias("score"), "lexical")
+
+
 def routed_events(spark: SparkSession, d: str) -> DataFrame:
     return ev.routed(src.envelopes(spark, d)).select("event_id", "event_type", "stream", "accepted")
 
@@ -428,6 +450,6 @@ def queries() -> dict[str, Query]:
         admitted_requests, offered_load, first_success, space_stats, active_tasks, due_tasks, task_page, space_list, latest_orders, upserted_orders, inserted_orders, last_messages,
         key_sources, object_keys, question_plans, repaired_text, json_objects,
         merged_items, carried_items, valid_items, window_recovery, final_recovery, unsaved_windows, item_findings, published_tasks, attempt_statuses, candidate_orders, storage_errors,
-        space_selection, chosen_options,
+        space_selection, chosen_options, vector_searches, searched_context,
     ]
     return {f.__name__: f for f in found}

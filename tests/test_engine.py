@@ -6,7 +6,7 @@ import pytest
 from convlake import oracle, queries
 from convlake.functions import repair, text
 from convlake.operators import artifacts as art
-from convlake.operators import windows
+from convlake.operators import retrieval, windows
 from convlake.streaming import events as ev
 from pyspark.sql import functions as F
 
@@ -87,6 +87,21 @@ def test_overlap_cut_column_and_fold_agree(spark):
     assert got == [windows.without_overlap(a, b or "") for a, b in pairs]
 
 
+def test_searches_in_blocks_of_queries(spark, monkeypatch):
+    e = spark.range(90).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i)).alias("vector"))
+    q = e.select(F.col("id").alias("query_id"), "vector")
+    want = sorted(tuple(r) for r in retrieval.top_k(q, e, 3).select("query_id", "rank", "id", "score").collect())
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 2000)
+    got = sorted(tuple(r) for r in retrieval.top_k(q, e, 3).select("query_id", "rank", "id", "score").collect())
+    assert got == want and len(got) == 270
+
+
+def test_searches_take_every_twentieth_and_all_chunks(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0")
+    assert queries.vector_searches(spark, SF).select("query_id").distinct().count() == e.count()
+    assert queries.searched_context(spark, SF).where("is_parent = 0 and chunk_index > 2").count() > 0
+
+
 def test_quota(spark):
     rows = [("p", i, i * 10, 100) for i in range(30)]
     got = {r.request_id: r.admitted for r in ev.admitted(spark.createDataFrame(rows, "provider string, request_id long, at long, tokens long"), "provider", rpm=3, rpd=10).collect()}
