@@ -112,8 +112,10 @@ def extracted_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolved_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    a = src.artifacts(spark, d)
-    return art.resolve_artifacts(a.withColumn("identity_key", text.identity_key(F.col("conversation_id"), F.col("artifact_type"), F.col("title"), F.col("owner"))))
+    """Verdicts, and the artifacts left at the end."""
+    k = F.col("sequence_start")
+    a = src.artifacts(spark, d).withColumn("evidence", F.array(F.struct(k, "sequence_end", F.col("title").alias("text"))))
+    return art.resolve_all(a.withColumn("identity_key", text.identity_key(F.col("conversation_id"), F.col("artifact_type"), F.col("title"), F.col("owner"))))
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:

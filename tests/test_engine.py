@@ -125,6 +125,29 @@ def test_resolution(spark):
     assert got == {"0": ("NEW", None), "1": ("DUPLICATE", "0"), "2": ("UPDATE", "0"), "3": ("COMPLETION", "0"), "4": ("NEW", None), "5": ("RELATED", "0"), "6": ("NEW", None)}
 
 
+def test_resolved_rows(spark):
+    base = lambda i, kind, title, content="", op=None, status=None, due=None: (1, i, str(i), kind, title, content, None, op, f"k{i}", status, due, i, i, i + 1, i / 10, [(i, i + 1, f"said {i}")])
+    rows = [
+        base(0, "task", "Deploy the billing service"), base(1, "task", "Deploy billing service"), base(2, "task", "Deploy the billing service", due="friday"), base(3, "task", "Deploy billing service", status="completed"),
+        base(4, "task", "Paint a fence", status="rejected"), base(5, "task", "Paint a fence"), base(6, "decision", "Keep data on premises", "old rack"), base(7, "decision", "Migrate everything", "cloud"),
+        base(8, "task", "Fix login page"), base(9, "task", "Test login page"),
+    ]
+    kind = "conversation_id long, position int, id string, artifact_type string, title string, content string, owner string, operation string, identity_key string, status string, due_text string, window_index int, sequence_start int, sequence_end int, confidence double, evidence array<struct<sequence_start:int,sequence_end:int,text:string>>"
+    got = art.resolve_all(spark.createDataFrame(rows, kind)).collect()
+    verdicts = {r.id: (r.resolution, r.matched_id) for r in got if r.artifact is None}
+    left = {r.id: r.artifact for r in got if r.artifact is not None}
+    assert verdicts == {
+        "0": ("NEW", None), "1": ("DUPLICATE", "0"), "2": ("UPDATE", "0"), "3": ("COMPLETION", "0"), "4": ("NEW", None), "5": ("NEW", None), "6": ("NEW", None), "7": ("CONTRADICTION", "6"),
+        "8": ("NEW", None), "9": ("RELATED", "8"),
+    }
+    assert set(left) == {"0", "4", "5", "6", "7", "8", "9"}
+    x = left["0"]
+    assert (x.status, x.operation, x.due_text, x.windows, x.chunks, len(x.evidence), x.sequence_start, x.sequence_end, x.confidence) == ("completed", "COMPLETE", "friday", [0, 1, 2, 3], [0, 1, 2, 3, 4], 4, 0, 3, 0.2)
+    assert [h.resolution for h in x.history] == ["UPDATE", "COMPLETION"]
+    assert (left["6"].status, left["6"].superseded_by, left["7"].status, left["7"].supersedes, left["7"].reason) == ("superseded", "7", "confirmed", "6", "cloud")
+    assert (left["8"].related, left["9"].related, left["9"].parent) == (["9"], ["8"], "8")
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Répond now", ["Alpha beta", "alpha BETA", "", "one two three four five six seven eight nine", "gamma"])], "t string, k array<string>")
     wrong = F.decode(F.encode("t", "UTF-8"), "ISO-8859-1")
