@@ -90,3 +90,17 @@ def test_memory_context_against_plain_python(spark):
         ids = [i for _, i in sorted(want)]
         ids += [i for i in range(len(texts) - 1, len(texts) - 4, -1) if c == 1 and i not in ids]
         assert [r.id for r in got if r.query_id == query] == ids[:7]
+
+
+def test_memory_context_by_kind_status_and_topic(spark):
+    rows = [
+        (1, 0, 0, "task", "Paint the fence", "", "home", None), (1, 1, 1, "note", "Billing rules", "", None, None), (1, 2, 2, "note", "Billing scrapped", "", None, "rejected"), (1, 3, 3, "note", "Nothing near", "", "billing desk", None),
+        (1, 4, 4, "decision", "Rent chairs", "", None, "provisional"), (1, 5, 5, "question", "Who drives", "", None, None), (1, 6, 6, "blocker", "Rain", "", None, None), (1, 7, 7, "note", "Lunch", "", None, None),
+        (2, 8, 0, "note", "Lunch", "", None, None), (2, 9, 1, "note", "Dinner", "", None, "merged"),
+    ]
+    arts = spark.createDataFrame(rows, "conversation_id long, id long, position long, artifact_type string, title string, content string, topic string, status string")
+    asked = spark.createDataFrame([(1, 100, "billing", None), (2, 101, "billing", None)], "conversation_id long, query_id long, text string, topic string")
+    got = art.memory_context(asked, arts).orderBy("query_id", "rank").collect()
+    # a half and a quarter of the words, then kinds alone; six are found, so no recent ones; the second conversation is filled up
+    assert [(r.id, round(r.score, 6)) for r in got if r.query_id == 100] == [(1, 0.5), (3, 0.25), (0, 0.1), (4, 0.1), (5, 0.1), (6, 0.1)]
+    assert [r.id for r in got if r.query_id == 101] == [8]
