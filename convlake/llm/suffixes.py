@@ -9,6 +9,7 @@ and of these only those whose K-gram occurs more than once anywhere.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ from convlake.llm.textkit import U, mix, segments
 K = 16
 BLOCK = 1 << 23  # bytes of text in a block
 SCAN = 1 << 20
+SLICE = 1 << 14  # positions whose surroundings are put together at a time
 PRINT_BITS = 40
 CROWDED = 400  # different surroundings of a K-gram from which on its windows go about singly
 LAST = (1 << 63) - 1  # a null key comes after all others
@@ -136,37 +138,57 @@ class Block:
         self.offsets, step, self.data, self.nulls = expand(data, "<i8", "u1", "u1", "?")
         self.anchors = np.cumsum(unplanes(step).astype(np.int64))
         self.length = length
-        self.padded = np.r_[self.data, np.zeros(2 * length, np.uint8)]
+        self.padded = np.r_[np.zeros(length, np.uint8), self.data, np.zeros(2 * length, np.uint8)]
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, "right") - 1
 
     def prints(self) -> np.ndarray:
-        return grams(self.padded, self.anchors) >> U(64 - PRINT_BITS)
+        return grams(self.padded, self.anchors + self.length) >> U(64 - PRINT_BITS)
 
     def around(self, at: np.ndarray, back: int) -> np.ndarray:
-        """Rows of `length` bytes from each position and `back` bytes before it, nearest first; each byte plus one, 0 beyond the text."""
-        text = self.text_of(at)
-        right = self.padded[at[:, None] + np.arange(self.length)] + np.uint8(1)
-        right[np.arange(self.length) >= (self.offsets[text + 1] - at)[:, None]] = 0
-        if not back:
-            return right
-        left = self.padded[np.maximum(at[:, None] - 1 - np.arange(back), 0)] + np.uint8(1)
-        left[np.arange(back) >= (at - self.offsets[text])[:, None]] = 0
-        return np.concatenate([right, left], axis=1)
+        """Rows of `length` bytes from each position and `back` bytes before it, nearest first; each byte plus one, 0 beyond the text.
+        Done a slice of positions at a time: beside the rows themselves nothing grows with their number."""
+        out = np.empty((len(at), self.length + back), np.uint8)
+        ahead = np.lib.stride_tricks.sliding_window_view(self.padded, self.length)
+        behind = np.lib.stride_tricks.sliding_window_view(self.padded, max(back, 1))
+        column, column_back = np.arange(self.length), np.arange(back)
+        for low in range(0, len(at), SLICE):
+            own, rows = at[low : low + SLICE], out[low : low + SLICE]
+            text = self.text_of(own)
+            np.add(ahead[own + self.length], np.uint8(1), out=rows[:, : self.length])
+            room = self.offsets[text + 1] - own
+            short = np.flatnonzero(room < self.length)
+            rows[short, : self.length] *= column < room[short, None]
+            if back:
+                np.add(behind[own + self.length - back][:, ::-1], np.uint8(1), out=rows[:, self.length :])
+                room = own - self.offsets[text]
+                short = np.flatnonzero(room < back)
+                rows[short, self.length :] *= column_back < room[short, None]
+        return out
+
+    def surroundings(self) -> np.ndarray:
+        """A hash of the bytes around each anchor."""
+        h = np.zeros(len(self.anchors), np.uint64)
+        back = self.length - K
+        wide = -(-(self.length + back) // 8) * 8
+        for low in range(0, len(h), SLICE):
+            rows = self.around(self.anchors[low : low + SLICE], back)
+            longs = np.pad(rows, ((0, 0), (0, wide - rows.shape[1]))).view("<u8")
+            own = h[low : low + SLICE]
+            for i in range(longs.shape[1]):
+                own[:] = mix(own * U(_STEP) + longs[:, i])
+        return h
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct prints, how many surroundings each has (at least; by hash), and whether it occurs more than once."""
-        prints = self.prints()
-        rows = self.around(self.anchors, self.length - K)
-        h = np.zeros(len(rows), np.uint64)
-        for i in range(0, rows.shape[1] - rows.shape[1] % 4, 4):
-            h = h * U(_STEP) + np.ascontiguousarray(rows[:, i : i + 4]).view("<u4").ravel().astype(np.uint64)
-        for i in range(rows.shape[1] - rows.shape[1] % 4, rows.shape[1]):
-            h = h * U(_STEP) + rows[:, i].astype(np.uint64)
-        order = np.lexsort((h, prints))
+        prints, h = self.prints(), self.surroundings()
+        order = np.argsort(prints)
         prints, h = prints[order], h[order]
         new = np.r_[True, prints[1:] != prints[:-1]] if len(prints) else np.empty(0, bool)
+        again = np.flatnonzero(~new | np.r_[~new[1:], False]) if len(prints) else np.empty(0, np.int64)
+        turn = again[np.lexsort((h[again], prints[again]))]  # only prints that occur again need their surroundings in order
+        h[again] = h[turn]
         other = new | np.r_[True, h[1:] != h[:-1]] if len(prints) else new
         first = np.flatnonzero(new)
         return prints[first], np.add.reduceat(other.astype(np.int64), first) if len(first) else first, np.diff(np.r_[first, len(prints)]) > 1
@@ -192,7 +214,7 @@ def print_rows(table: DataFrame, ranges: int, length: int) -> DataFrame:
     return table.select("block", "keys", "data").mapInArrow(run, T.StructType.fromDDL("range int, block long, prints binary"))
 
 
-def common_prints(rows: DataFrame, ranges: int) -> DataFrame:
+def common_prints(rows: DataFrame, ranges: int, crowded: int = CROWDED) -> DataFrame:
     """(block, range, flags): for each of a block's prints 0, 1 if it occurs again, or 2 if it is also crowded."""
     shift = PRINT_BITS - (ranges.bit_length() - 1)
 
@@ -211,7 +233,7 @@ def common_prints(rows: DataFrame, ranges: int) -> DataFrame:
         if len(p):
             size = np.diff(np.r_[first, len(p)])
             again = (size > 1) | (np.add.reduceat(note[order] & 1, first) > 0)
-            crowd = np.add.reduceat(note[order] >> 1, first) >= CROWDED
+            crowd = np.add.reduceat(note[order] >> 1, first) >= crowded
             flags[order] = np.repeat(again.astype(np.uint8) * (1 + crowd), size)
         cuts = np.cumsum([0, *map(len, lists)])
         blobs = [squeeze(flags[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -233,7 +255,12 @@ def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) ->
             marked = sorted(zip(right.column("range").to_pylist(), right.column("flags").to_pylist(), strict=True))
             flag = np.concatenate([expand(b, "u1")[0] for _, b in marked]) if marked else np.empty(0, np.uint8)
             prints = block.prints()
-            flag = flag[np.searchsorted(np.unique(prints), prints)] if len(prints) else flag
+            turn = np.argsort(prints)
+            ordered = prints[turn]
+            spread = np.zeros(len(prints), np.uint8)
+            if len(prints):
+                spread[turn] = flag[np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])]
+            flag = spread
             at = block.anchors[flag == 1]
             rows = block.around(at, back)
             part = (prints[flag == 1] % U(parts)).astype(np.int64)
@@ -245,7 +272,8 @@ def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) ->
                 windows = block.around(starts, 0)
                 h = np.zeros(len(starts), np.uint64)
                 for i in range(length):
-                    h = h * U(_STEP) + windows[:, i].astype(np.uint64)
+                    h *= U(_STEP)
+                    h += windows[:, i]
                 at = np.r_[at, starts]
                 rows = np.concatenate([rows, np.pad(windows, ((0, 0), (0, back)))])
                 part = np.r_[part, (mix(h) % U(parts)).astype(np.int64)]
@@ -276,19 +304,20 @@ def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) ->
     return table.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, "part int, block long, base long, run binary")
 
 
-def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[int], list[int]]:
-    """Merge sorted runs (shared prefix with the suffix before, suffixes) by a tree of losers.
+def merge(runs: list[tuple[list[int], list[int], bytes]]) -> tuple[list[int], list[int]]:
+    """Merge sorted front-coded runs (shared prefix with the suffix before, length, the bytes after the prefix) by a tree of losers.
 
     Returns for each suffix in order its run, and its common prefix with the suffix before. Each run's head knows its common prefix
-    with the last winner; the longer one wins unseen, and only heads that agree on it are compared, from there on.
+    with the last winner; the longer one wins unseen, and only heads that agree on it are compared, from there on. Only heads are
+    decoded.
     """
     many = len(runs)
     leaves = 1
     while leaves < many:
         leaves *= 2
-    heads: list[bytes] = [texts[0] for _, texts in runs] + [b""] * (leaves - many)
+    heads: list[bytes] = [raw[: sizes[0]] for _, sizes, raw in runs] + [b""] * (leaves - many)
     known = [0] * many + [-1] * (leaves - many)
-    place, losers = [0] * many, [0] * leaves
+    place, read, losers = [0] * many, [sizes[0] for _, sizes, _ in runs], [0] * leaves
 
     def play(a: int, b: int) -> tuple[int, int]:
         i = known[a]
@@ -301,8 +330,8 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[int], list[in
             known[b] = len(x)
             return a, b
         end = min(len(x), len(y))
-        while i < end and x[i] == y[i]:
-            i += 1
+        apart = int.from_bytes(x[i:end]) ^ int.from_bytes(y[i:end])
+        i = end - (apart.bit_length() + 7) // 8
         if x[i:] < y[i:]:
             known[b] = i
             return a, b
@@ -314,13 +343,16 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[int], list[in
         winners[node], losers[node] = play(winners[2 * node], winners[2 * node + 1])
     best = winners[1] if leaves > 1 else 0
     order, shared = [], []
-    for _ in range(sum(len(texts) for _, texts in runs)):
+    for _ in range(sum(len(sizes) for _, sizes, _ in runs)):
         order.append(best)
         shared.append(known[best])
-        prefix, texts = runs[best]
+        prefix, sizes, raw = runs[best]
         i = place[best] = place[best] + 1
-        if i < len(texts):
-            heads[best], known[best] = texts[i], prefix[i]
+        if i < len(sizes):
+            start = read[best]
+            s = known[best] = prefix[i]
+            end = read[best] = start + sizes[i] - s
+            heads[best] = heads[best][:s] + raw[start:end]
         else:
             known[best] = -1
         node = (best + leaves) >> 1
@@ -358,10 +390,10 @@ def first_keys(shared: np.ndarray, right: np.ndarray, left: np.ndarray, before:
         if not len(at):
             continue
         group = mix(h[at] ^ (stretch[at].astype(np.uint64) * U(0xD6E8FEB86659FD93)))
-        order = np.lexsort((keys[at], group))
+        order = np.argsort(group)
         at, group = at[order], group[order]
         new = np.r_[True, group[1:] != group[:-1]]
-        out[at, l] = keys[at][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        out[at, l] = np.minimum.reduceat(keys[at], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
@@ -373,18 +405,13 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
         lists, columns = [], ([], [], [], [])
         for blob in table.column("run").to_pylist():
             shared, right, left, rest, before, keys = expand(blob, "u1", "u1", "u1", "u1", "u1", "<i8")
-            raw, at, last, texts = rest.tobytes(), 0, b"", []
-            for s, n in zip(shared.tolist(), right.tolist(), strict=True):
-                last = last[:s] + raw[at : at + n - s]
-                at += n - s
-                texts.append(last)
-            lists.append((shared.tolist(), texts))
+            lists.append((shared.tolist(), right.tolist(), rest.tobytes()))
             wide = np.zeros((len(keys), back), np.uint8)
             wide[np.arange(back) < left[:, None]] = before
             for column, value in zip(columns, (right, left, wide, keys), strict=True):
                 column.append(value)
         order, shared = merge(lists)
-        base = np.cumsum([0, *(len(t) for _, t in lists)])
+        base = np.cumsum([0, *(len(sizes) for _, sizes, _ in lists)])
         order = np.array(order, np.int64)
         turn = np.argsort(order, kind="stable")
         rank = np.empty(len(order), np.int64)  # place in the sorted order -> place in the runs put together
@@ -408,38 +435,46 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
     return runs.groupBy("part").applyInArrow(run, "block long, found binary")
 
 
+def united(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs that intervals cover, each within its text."""
+    if not len(begin):
+        return begin, end, text
+    order = np.argsort(begin, kind="stable")
+    begin, end, text = begin[order], np.maximum.accumulate(end[order]), text[order]
+    new = np.r_[True, (begin[1:] > end[:-1]) | (text[1:] != text[:-1])]
+    return begin[new], end[np.r_[new[1:], True]], text[new]
+
+
 def spans_of(block: Block, members: bytes | None, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """First and last (exclusive) byte in the block of each maximal removed run."""
-    n, length = len(block.data), block.length
-    edge = np.zeros(n + 1, np.int32)
+    length, none = block.length, np.empty(0, np.int64)
+    runs, pending = (none, none, none), 0
     if members is not None:
         count, at, least, right, left = expand(members, "u1", "u1", "<i8", "u1", "u1")
         count, at = unplanes(count).astype(np.int64), unplanes(at).astype(np.int64)
         first = np.cumsum(count) - count
-        everyone = np.arange(len(count))
+        text = block.text_of(at)
+        keys = block.keys[text]
         # all windows about a suffix go by the least key in this block, and some by an earlier one elsewhere
-        parts = [(everyone, np.maximum(0, length - right.astype(np.int64)), left.astype(np.int64), least)]
-        parts += [(r.astype(np.int64), a.astype(np.int64), b.astype(np.int64), k) for r, a, b, k in (expand(f, "<u4", "u1", "u1", "<i8") for f in found)]
-        keys = block.keys[block.text_of(at)]
-        for record, low, high, key in parts:
+        own = ((np.arange(len(count)), np.maximum(0, length - right.astype(np.int64)), left.astype(np.int64), least),)
+        others = ((r.astype(np.int64), a.astype(np.int64), b.astype(np.int64), k) for r, a, b, k in (expand(f, "<u4", "u1", "u1", "<i8") for f in found))
+        new: list[tuple[np.ndarray, ...]] = []
+        for record, low, high, key in itertools.chain(own, others):
             some = low <= high
             record, low, high, key = record[some], low[some], high[some], key[some]
             each = count[record]
             who = np.repeat(first[record] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            low, high, key = np.repeat(low, each), np.repeat(high, each), np.repeat(key, each)
-            later = keys[who] > key
-            begin = at[who[later]] - high[later]
-            end = at[who[later]] - low[later] + length
-            edge += np.bincount(begin, minlength=n + 1).astype(np.int32) - np.bincount(end, minlength=n + 1).astype(np.int32)
-    covered = np.cumsum(edge[:n]) > 0
-    bound = np.zeros(n + 1, bool)
-    bound[block.offsets] = True
-    begin = np.flatnonzero(covered & (bound[:n] | ~np.r_[False, covered[:-1]])) if n else np.empty(0, np.int64)
-    end = np.flatnonzero(covered & (bound[1:] | ~np.r_[covered[1:], False])) + 1 if n else np.empty(0, np.int64)
-    return begin, end
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_kept: bool = True) -> DataFrame:
+            later = keys[who] > np.repeat(key, each)
+            who = who[later]
+            new.append((at[who] - np.repeat(high, each)[later], at[who] - np.repeat(low, each)[later] + length, text[who]))
+            pending += len(who)
+            if pending > 1 << 19:
+                runs, new, pending = united(*map(np.concatenate, zip(runs, *new, strict=True))), [], 0
+        runs = united(*map(np.concatenate, zip(runs, *new, strict=True)))
+    return runs[0], runs[1]
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_kept: bool = True, crowded: int = CROWDED) -> DataFrame:
     """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, `spans` (array of begin, end), `kept`
     (binary), `kept_text` (without what a cut leaves of a character) and text_sha256 of the input.
 
@@ -459,7 +494,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ranges = 16
     while ranges * 8 < n:
         ranges *= 2
-    flags = settle(common_prints(print_rows(table, ranges, length), ranges))
+    flags = settle(common_prints(print_rows(table, ranges, length), ranges, crowded))
     runs = settle(suffix_runs(table, flags, max(4 * deal, n // 2), length))
     found = merged(runs.where("part >= 0"), length)
     notes = runs.where("part < 0").select("block", F.lit(0).alias("kind"), F.col("run").alias("note")).unionByName(found.select("block", F.lit(1).alias("kind"), F.col("found").alias("note")))

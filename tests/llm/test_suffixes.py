@@ -46,6 +46,13 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
 
 
+def test_crowded_and_not(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for crowded in (1, 1 << 30):
+        assert sorted(map(tuple, remove_repeats(docs, with_kept=False, crowded=crowded).collect()), key=str) == brute(rows, 50)
+
+
 def test_kept_and_spans(spark):
     a = "The quick brown fox jumps over the lazy dog and runs far away."
     got = remove_repeats(spark.createDataFrame([(1, a, "u"), (2, "Say: " + a + "!", "v")], "doc_id long, text string, spans string")).orderBy("doc_id").collect()
@@ -62,7 +69,8 @@ def test_merge():
     for many in (1, 2, 3, 9):
         lists = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(1, 8))) for _ in range(r.randint(1, 30))) for _ in range(many)]
         common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-        order, shared = merge([([0, *map(common, x, x[1:])], x) for x in lists])
+        coded = [[0, *map(common, x, x[1:])] for x in lists]
+        order, shared = merge([(c, list(map(len, x)), b"".join(t[n:] for t, n in zip(x, c))) for x, c in zip(lists, coded)])
         heads = [iter(x) for x in lists]
         out = [next(heads[i]) for i in order]
         assert out == sorted(sum(lists, []))
