@@ -144,7 +144,8 @@ class Block:
         return np.searchsorted(self.offsets, at, "right") - 1
 
     def prints(self) -> np.ndarray:
-        return grams(self.padded, self.anchors + self.length) >> U(64 - PRINT_BITS)
+        """Of each anchor's K-gram. Hashed once more: anchors are the least of their windows' hashes, so those crowd at the low end."""
+        return mix(grams(self.padded, self.anchors + self.length) ^ U(_STEP)) >> U(64 - PRINT_BITS)
 
     def around(self, at: np.ndarray, back: int) -> np.ndarray:
         """Rows of `length` bytes from each position and `back` bytes before it, nearest first; each byte plus one, 0 beyond the text.
