@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +14,13 @@ from convlake.llm.common import clear, settle
 
 CELL_ROWS = 50_000  # rows for which there is one more pivot
 PIVOTS = (32, 1024)
-TILE = 4096  # candidates, and queries, that one local task holds
+TILE = 1 << 14  # candidates, and queries, that one local task holds
+LONGEST = float(1 << 31)  # scaled vectors shorter than this have inner products below 2**62
 
 
 def whole(column: pa.Array, scale: float = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Which vectors take part (no null, no non-finite component), and their floor(scale * x) as rows of longs.
-
-    Shorter vectors are filled up with zeros, which changes no inner product. Components of 2**52 or more raise OverflowError.
-    """
+    """Which vectors take part (no null, no non-finite component, scaled length below LONGEST), and their floor(scale * x) as rows
+    of longs. Shorter vectors are filled up with zeros, which changes no inner product."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
     if not n:
@@ -32,11 +30,12 @@ def whole(column: pa.Array, scale: float = 64) -> tuple[np.ndarray, np.ndarray]:
     value = np.asarray(flat.cast(pa.float64()).fill_null(float("nan")), float)
     owner, place = np.repeat(np.arange(n), size), np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
     good = ~np.asarray(column.is_null())
-    good[owner[~np.isfinite(value)]] = False
+    value = np.where(np.isfinite(value), np.floor(scale * value), np.inf)  # a product beyond a double's range is infinite too
+    good[owner[~(np.abs(value) < LONGEST)]] = False
     rows = np.zeros((n, int(size.max(initial=0))))
-    rows[owner, place] = np.where(good[owner], np.floor(scale * np.where(good[owner], value, 0)), 0)
-    if np.abs(rows).max(initial=0) >= 2**52:
-        raise OverflowError("a component is too large for exact scores")
+    rows[owner, place] = np.where(good[owner], value, 0)
+    good &= (rows * rows).sum(1) < LONGEST**2
+    rows[~good] = 0
     return good, rows.astype(np.int64)
 
 
@@ -49,35 +48,45 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     width = max(a.shape[1], b.shape[1])
     a, b = widen(a, width), widen(b, width)
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1)
-    if top < 2**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    if top >= 2**63:
-        raise OverflowError("scores leave the range of a long")
-    return a @ b.T
+    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if top < 2**53 else a @ b.T
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of longs from their bytes."""
+    rows = [np.frombuffer(b, np.int64) for b in column.to_pylist()]
+    width = max(map(len, rows), default=0)
+    return np.array([r if len(r) == width else np.pad(r, (0, width - len(r))) for r in rows]).reshape(len(rows), width)
+
+
+def mapped(values: dict[int, int], key: Column | str) -> Column:
+    """A small mapping as a column; null where the key isn't in it."""
+    pairs = [F.lit(x) for pair in values.items() for x in pair] or [F.lit(-1), F.lit(0)]
+    return F.try_element_at(F.create_map(*pairs), F.col(key) if isinstance(key, str) else key)
 
 
-def top_inner(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, scale: float = 64) -> DataFrame:
+def top_inner(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, scale: float = 64, tile: int = TILE) -> DataFrame:
     """(query_id, rank from 1, key, score): for each row whose key is divisible by `every`, the k highest integer inner products of
-    floor(scale * x) with all other rows, ties to the smaller key.
+    floor(scale * x) with all rows of other keys, ties to the smaller key.
 
-    Rows with a null key, a null vector, or null or non-finite components take no part. "Other" means another key: rows with the
-    query's own key are no candidates of it; several query rows with one key give the result once if their vectors agree. Fewer
-    candidates give fewer rows; an empty table gives an empty result.
+    Every row is a candidate: equal rows each take their rank. Query rows with one key are ranked together, each with its own
+    scores. Rows with a null key, a null vector, null or non-finite components, or a scaled length of 2**31 or more (whose scores
+    a long can't hold) take no part. Fewer candidates give fewer rows; an empty table gives an empty result.
 
-    Pivots (a hashed sample of distinct vectors, at most PIVOTS[1]) part the space; each row goes to its nearest. A cell is summed up
-    by its radius and the k + 1 least distances to its pivot; with |q.x - q.p| <= |q| |x - p| these give each query a score that at
-    least k rows reach and each cell a score that no row exceeds. A query goes only to cells that can reach its score. Cells are
-    solved in tiles of TILE rows by TILE queries, so a frequent vector or a crowded cell is many tasks; a last ranking by query takes
-    k rows a tile.
+    Pivots (a hashed sample of distinct vectors, at most PIVOTS[1]) part the space; each row goes to its nearest. Equal rows travel
+    as one with their number. A cell is summed up by its radius and the k + 1 least distances to its pivot; with
+    |q.x - q.p| <= |q| |x - p| these give each query a score that at least k rows of other keys reach, and each cell a score that no
+    row exceeds. A query goes only to cells that can reach its score, and a cell's rows are replicated only as often as tiles of
+    `tile` queries were sent to it, so a frequent vector or a crowded cell is many tasks; a last ranking by query takes k rows a tile.
     """
-    rows = settle(clear(vectors, *(set(vectors.columns) - {key, vector})).where(f"{key} is not null").select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    rows = clear(vectors, *(set(vectors.columns) - {key, vector})).where(f"{key} is not null").select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = settle(rows)
     n = rows.count()
     many = min(PIVOTS[1], max(PIVOTS[0], n // CELL_ROWS))
     sample = rows.where("v is not null").orderBy(F.xxhash64("v"), "id").limit(many * 4).select("v").toPandas()["v"]
     good, found = whole(pa.array([list(x) for x in sample], pa.list_(pa.float64())), scale)
     pivots = np.unique(found[good], axis=0)
     pivots = pivots[np.linspace(0, len(pivots) - 1, min(many, len(pivots))).astype(int)].astype(float) if len(pivots) else np.zeros((1, found.shape[1]))
-    placed_schema = T.StructType.fromDDL("id long, x binary, cell int, far double, norm double")
+    placed_schema = T.StructType.fromDDL("id long, x binary, cell int, far double")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,70 +94,76 @@ def top_inner(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
             x = x[good]
             width = max(x.shape[1], pivots.shape[1])
             wide, p = widen(x, width).astype(float), widen(pivots, width)
-            square = (wide * wide).sum(1)
-            apart = square[:, None] - 2 * wide @ p.T + (p * p).sum(1)
+            apart = (wide * wide).sum(1)[:, None] - 2 * wide @ p.T + (p * p).sum(1)
             cell = apart.argmin(1) if len(x) else np.zeros(0, int)
             far = np.sqrt(((wide - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt(square))], names=placed_schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(far)], names=placed_schema.names)
 
-    placed = settle(rows.mapInArrow(place, placed_schema))
+    # equal rows of one key become one, with their number
+    placed = settle(rows.mapInArrow(place, placed_schema).groupBy("id", "x").agg(F.first("cell").alias("cell"), F.first("far").alias("far"), F.count("*").alias("m")))
     near = Window.partitionBy("cell", "part").orderBy("far", "id")
     # the least distances of a cell: first of its parts, then of the cell
     parts = placed.select("cell", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"), "far", "id").withColumn("r", F.row_number().over(near)).where(f"r <= {k + 1}")
     least = parts.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))).where(f"r <= {k + 1}").groupBy("cell").agg(F.array_sort(F.collect_list("far")).alias("near"))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(least, "cell").orderBy("cell").collect()
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(least, "cell").orderBy("cell").collect()  # a row for each pivot at most
     number = np.array([c.cell for c in cells], int)
-    radius, count = np.array([c.radius for c in cells]), np.array([c.n for c in cells])
+    radius = np.array([c.radius for c in cells])
     nearest = np.array([(list(c.near) + [np.inf] * (k + 1))[: k + 1] for c in cells]).reshape(len(cells), k + 1)
-    tiles = -(-count // TILE)
+    tiles = {int(c.cell): -(-c.n // tile) for c in cells}
     queries = placed.where(F.pmod("id", F.lit(every)) == 0)
-    chunks = max(1, -(-queries.count() // TILE))
-    sent_schema = T.StructType.fromDDL("cell int, tile int, chunk int, id long, x binary, floor double")
-    chunk = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(chunks)).cast("int")
+    queries = queries.join(queries.groupBy("id").agg(F.count("*").alias("same")), "id")
+    sent_schema = T.StructType.fromDDL("cell int, id long, x binary, m long, floor double")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                raw = [np.frombuffer(b, np.int64) for b in part.column(1).to_pylist()]
-                width = max([pivots.shape[1], *map(len, raw)])
-                q = np.array([np.pad(r, (0, width - len(r))) for r in raw], float)
+            for low in range(0, batch.num_rows, 128):
+                part = batch.slice(low, 128)
+                q = matrix(pa.chunked_array([part.column(1)])).astype(float)
+                q = widen(q, max(pivots.shape[1], q.shape[1]))
                 norm = np.sqrt((q * q).sum(1))
-                mid = q @ widen(pivots[number], width).T
+                mid = q @ widen(pivots[number], q.shape[1]).T
                 slack = 1e-6 * (1 + np.abs(mid).max(initial=0) + norm.max(initial=0))
-                # a score that k other rows reach at least: the k + 1st best promise, one of which may be the query itself
+                # a score that k rows of other keys reach at least: further down the promises where more rows have the query's key
                 promise = np.where(np.isinf(nearest), -np.inf, mid[:, :, None] - norm[:, None, None] * np.where(np.isinf(nearest), 0, nearest)).reshape(len(q), -1)
-                floor = (np.partition(promise, -(k + 1), axis=1)[:, -(k + 1)] if promise.shape[1] > k else np.full(len(q), -np.inf)) - slack
+                promise.sort(axis=1)
+                back = k + part.column(3).to_numpy()
+                floor = np.where(back <= promise.shape[1], promise[np.arange(len(q)), -np.minimum(back, promise.shape[1])], -np.inf) - slack
                 row, cell = np.nonzero(mid + norm[:, None] * radius + slack >= floor[:, None])
-                each = tiles[cell]
-                tile = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                row, cell = np.repeat(row, each), np.repeat(cell, each)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(number[cell].astype(np.int32)), pa.array(tile.astype(np.int32)), part.column(2).take(at), part.column(0).take(at), part.column(1).take(at), pa.array(floor[row])], names=sent_schema.names)
-
-    sent = queries.select("id", "x", chunk.alias("chunk")).mapInArrow(send, sent_schema)
-    counts = F.create_map(*[F.lit(v) for c, t in zip(number.tolist(), tiles.tolist(), strict=True) for v in (c, t)]) if len(cells) else F.create_map(F.lit(0), F.lit(1))
-    own = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.try_element_at(counts, F.col("cell"))).cast("int"))
-    own = own.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("cell", "tile", "chunk", "id", "x")
-    keys = ["cell", "tile", "chunk"]
-
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})]
-        if len(left) and len(right):
-            matrix = lambda s: np.array([np.frombuffer(b, np.int64) for b in s]) if s.map(len).nunique() == 1 else np.array([np.pad(np.frombuffer(b, np.int64), (0, s.map(len).max() // 8 - len(b) // 8)) for b in s])
-            x, ids = matrix(right["x"]), right["id"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(number[cell].astype(np.int32)), *[part.column(i).take(at) for i in (0, 1, 2)], pa.array(floor[row])], names=sent_schema.names)
+
+    sent = settle(queries.select("id", "x", "m", "same").mapInArrow(send, sent_schema))
+    chunks = {r.cell: -(-r["count"] // tile) for r in sent.groupBy("cell").count().collect()}
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    hashed = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id", "x"), n).cast("int")
+    sent = sent.withColumn("chunk", hashed(mapped(chunks, "cell"), 5)).withColumn("tile", each(mapped(tiles, "cell")))
+    own = placed.where(mapped(chunks, "cell").isNotNull()).withColumn("tile", hashed(mapped(tiles, "cell"), 3)).withColumn("chunk", each(mapped(chunks, "cell")))
+    keys, solved_schema = ["cell", "tile", "chunk"], T.StructType.fromDDL("query_id long, id long, score long, m long")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+        if left.num_rows and right.num_rows:
+            ids, x, times = right.column("id").to_numpy(), matrix(right.column("x")), right.column("m").to_numpy()
             order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            for low in range(0, len(left), 256):
-                part = left.iloc[low : low + 256]
-                score, own, floor = inner(matrix(part["x"]), x), part["id"].to_numpy(), part["floor"].to_numpy()
-                for i in range(len(part)):
-                    at = np.flatnonzero((score[i] >= floor[i]) & (ids != own[i]))
-                    at = at[np.argsort(-score[i][at], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query_id": np.full(len(at), own[i]), "id": ids[at], "score": score[i][at]}))
-        return pd.concat(out, ignore_index=True)
-
-    solved = sent.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(solve, "query_id long, id long, score long")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = solved.distinct().withColumn("rank", F.row_number().over(rank).cast("int")).where(f"rank <= {k}")
+            ids, x, times = ids[order], x[order], times[order]
+            for low in range(0, left.num_rows, 256):
+                part = left.slice(low, 256)
+                own, floor, more = part.column("id").to_numpy(), part.column("floor").to_numpy(), part.column("m").to_numpy()
+                score = inner(matrix(part.column("x")), x)
+                fits = (score >= floor[:, None]) & (ids != own[:, None])
+                if score.shape[1] > k:  # no lower than the k-th best; what is equal to it is ranked below
+                    fits &= score >= np.partition(np.where(fits, score, np.iinfo(np.int64).min), -k, axis=1)[:, -k, None]
+                row, at = np.nonzero(fits)
+                order = np.lexsort((at, -score[row, at], row))
+                row, at = row[order], at[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, at = row[place < k], at[place < k]
+                for column, value in zip(out, (own[row], ids[at], score[row, at], np.minimum(times[at], k) * np.minimum(more[row], k)), strict=True):
+                    column.append(value)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=solved_schema.names)
+
+    solved = sent.groupBy(*keys).cogroup(own.select(*keys, "id", "x", "m").groupBy(*keys)).applyInArrow(solve, solved_schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    best = solved.withColumn("rank", rank).where(f"rank <= {k}")  # each stands for one row or more
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("m", F.lit(k)).cast("int")))).withColumn("rank", rank.cast("int")).where(f"rank <= {k}")
     return best.select("query_id", "rank", F.col("id").alias(key), "score")

@@ -4,8 +4,7 @@ import random
 from convlake.llm import knn
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn, "TILE", 64)
+def test_against_brute_force(spark):
     r = random.Random(4)
     centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
     rows = [(i, [c + r.gauss(0, 0.2) for c in r.choice(centres)]) for i in range(600)]
@@ -17,12 +16,39 @@ def test_against_brute_force(spark, monkeypatch):
         if q % 20 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:20]
             want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    got = knn.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = knn.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=64)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def by_sql(rows):
+    import duckdb
+    import pandas as pd
+
+    from convlake.llm.queries import OP5_SQL
+
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841  the SQL reads it
+    return sorted(duckdb.sql(OP5_SQL).fetchall())
+
+
+def test_repeated_rows(spark):
+    r = random.Random(8)
+    some = lambda: [float(r.randint(-9, 9)) for _ in range(6)]
+    best, twice = some(), some()
+    rows = [(0, best), (20, twice), (20, twice), (40, some()), (40, some())] + [(7, best)] * 30 + [(60, best)] * 25 + [(8, twice)] * 3
+    rows += [(100 + i, some()) for i in range(57)]
+    got = knn.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=16)
+    assert sorted(map(tuple, got.collect())) == by_sql(rows)
+
+
 def test_small_tables(spark):
     kind = "vec_id long, embedding array<float>, score int"
     assert knn.top_inner(spark.createDataFrame([], kind)).collect() == []
     rows = [(0, [1.0, 0.5], 1), (1, [1.0, -0.01], 1), (1, [1.0, -0.01], 1)]
-    assert [tuple(r) for r in knn.top_inner(spark.createDataFrame(rows, kind)).collect()] == [(0, 1, 1, 64 * 64 - 32)]
+    got = knn.top_inner(spark.createDataFrame(rows, kind)).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 64 - 32), (0, 2, 1, 64 * 64 - 32)]  # every row is a candidate
+
+
+def test_too_long_vectors(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1e300, 0.0]), (2, [float(1 << 24), 0.0]), (3, [2.0, 1.0]), (20, [-1e18, 0.0])]
+    got = knn.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, 64 << 30), (0, 2, 3, 64 * 128 + 32 * 64)]
