@@ -12,6 +12,7 @@ import hashlib
 import itertools
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ LAST = (1 << 63) - 1  # a null key comes after all others
 _STEP = 0x9E3779B97F4A7C15
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     parts = [a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts))
 
 
 def expand(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -111,7 +112,7 @@ def blocks(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                 step = np.diff(at, prepend=0)
                 own = keys.slice(low, high - low)
                 nulls = np.asarray(own.is_null())
-                blob = squeeze(offsets, planes(step), np.asarray(data), nulls)
+                blob = squeeze(offsets, planes(step), np.asarray(data), nulls, level=3)
                 yield pa.RecordBatch.from_arrays([pa.array([own.fill_null(LAST).to_numpy().tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["keys", "data"])
 
     out = docs.select(F.col(key).cast("long"), F.coalesce(text, F.lit(""))).mapInArrow(run, T.StructType.fromDDL("keys binary, data binary"))
@@ -243,54 +244,66 @@ def common_prints(rows: DataFrame, ranges: int, crowded: int = CROWDED) -> DataF
     return rows.groupBy("range").applyInArrow(run, "block long, range int, flags binary")
 
 
+@dataclass
+class Suffixes:
+    """A block's suffixes that occur again, in order: by part, then bytes. Equal surroundings are one suffix, which stands for the
+    positions at[first] .. at[first + members - 1] and has the least key among them."""
+
+    rows: np.ndarray
+    part: np.ndarray
+    least: np.ndarray
+    first: np.ndarray
+    members: np.ndarray
+    at: np.ndarray
+
+
+def own_suffixes(block: Block, flags: list[tuple[int, bytes]], parts: int) -> Suffixes:
+    """From the flags of the block's prints (range, blob). A crowded print's suffixes go by whole windows instead."""
+    length, back = block.length, block.length - K
+    flag = np.concatenate([expand(b, "u1")[0] for _, b in sorted(flags)]) if flags else np.empty(0, np.uint8)
+    prints = block.prints()
+    turn = np.argsort(prints)
+    ordered = prints[turn]
+    spread = np.zeros(len(prints), np.uint8)
+    if len(prints):
+        spread[turn] = flag[np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])]
+    at = block.anchors[spread == 1]
+    rows, part = block.around(at, back), (prints[spread == 1] % U(parts)).astype(np.int64)
+    crowd = block.anchors[spread == 2]
+    if len(crowd):
+        starts = np.unique((crowd[:, None] - np.arange(back + 1)).ravel())
+        starts = starts[starts >= 0]
+        starts = starts[starts + length <= block.offsets[block.text_of(starts) + 1]]
+        windows = block.around(starts, 0)
+        h = np.zeros(len(starts), np.uint64)
+        for i in range(length):
+            h *= U(_STEP)
+            h += windows[:, i]
+        at = np.r_[at, starts]
+        rows = np.concatenate([rows, np.pad(windows, ((0, 0), (0, back)))])
+        part = np.r_[part, (mix(h) % U(parts)).astype(np.int64)]
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable") if len(rows) else np.empty(0, np.int64)
+    order = order[np.argsort(part[order], kind="stable")]
+    at, rows, part = at[order], rows[order], part[order]
+    new = np.r_[True, (rows[1:] != rows[:-1]).any(1) | (part[1:] != part[:-1])] if len(rows) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    keys = block.keys[block.text_of(at)]
+    least = np.minimum.reduceat(keys, first) if len(first) else keys
+    return Suffixes(rows[first], part[first], least, first, np.diff(np.r_[first, len(at)]), at)
+
+
 def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) -> DataFrame:
-    """(part, block, base, run): sorted front-coded runs of a block's suffixes that occur again, and with part -1 the positions
-    that each suffix stands for. Equal surroundings within a block are one suffix, with the least key among them."""
-    back = length - K
+    """(part, block, base, run): sorted front-coded runs of each block's suffixes, cut by part; `base` is a run's first number."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [])
         if left.num_rows:
             number = left.column("block")[0].as_py()
             block = Block(left.column("keys")[0].as_py(), left.column("data")[0].as_py(), length)
-            marked = sorted(zip(right.column("range").to_pylist(), right.column("flags").to_pylist(), strict=True))
-            flag = np.concatenate([expand(b, "u1")[0] for _, b in marked]) if marked else np.empty(0, np.uint8)
-            prints = block.prints()
-            turn = np.argsort(prints)
-            ordered = prints[turn]
-            spread = np.zeros(len(prints), np.uint8)
-            if len(prints):
-                spread[turn] = flag[np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])]
-            flag = spread
-            at = block.anchors[flag == 1]
-            rows = block.around(at, back)
-            part = (prints[flag == 1] % U(parts)).astype(np.int64)
-            crowd = block.anchors[flag == 2]
-            if len(crowd):
-                starts = np.unique((crowd[:, None] - np.arange(back + 1)).ravel())
-                starts = starts[starts >= 0]
-                starts = starts[starts + length <= block.offsets[block.text_of(starts) + 1]]
-                windows = block.around(starts, 0)
-                h = np.zeros(len(starts), np.uint64)
-                for i in range(length):
-                    h *= U(_STEP)
-                    h += windows[:, i]
-                at = np.r_[at, starts]
-                rows = np.concatenate([rows, np.pad(windows, ((0, 0), (0, back)))])
-                part = np.r_[part, (mix(h) % U(parts)).astype(np.int64)]
-            order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable") if len(rows) else np.empty(0, np.int64)
-            order = order[np.argsort(part[order], kind="stable")]
-            at, rows, part = at[order], rows[order], part[order]
-            new = np.r_[True, (rows[1:] != rows[:-1]).any(1) | (part[1:] != part[:-1])] if len(rows) else np.empty(0, bool)
-            first = np.flatnonzero(new)
-            keys = block.keys[block.text_of(at)]
-            least = np.minimum.reduceat(keys, first) if len(first) else keys
-            members = np.diff(np.r_[first, len(at)])
-            out[0].append(-1), out[1].append(number), out[2].append(0), out[3].append(squeeze(planes(members), planes(at), least, (rows[first, :length] > 0).sum(1).astype(np.uint8), (rows[first, length:] > 0).sum(1).astype(np.uint8)))
-            rows, part = rows[first], part[first]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.unique(part).tolist():
-                own, keys = rows[cuts[p] : cuts[p + 1]], least[cuts[p] : cuts[p + 1]]
+            found = own_suffixes(block, list(zip(right.column("range").to_pylist(), right.column("flags").to_pylist(), strict=True)), parts)
+            cuts = np.searchsorted(found.part, np.arange(parts + 1))
+            for p in np.unique(found.part).tolist():
+                own, keys = found.rows[cuts[p] : cuts[p + 1]], found.least[cuts[p] : cuts[p + 1]]
                 suffix, before = own[:, :length], own[:, length:]
                 differs = suffix[1:] != suffix[:-1]
                 shared = np.r_[0, np.where(differs.any(1), differs.argmax(1), length)]
@@ -299,7 +312,7 @@ def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) ->
                 column = np.arange(length)
                 rest = suffix[(column >= shared[:, None]) & (column < right_n[:, None])]
                 out[0].append(p), out[1].append(number), out[2].append(int(cuts[p]))
-                out[3].append(squeeze(shared.astype(np.uint8), right_n.astype(np.uint8), left_n.astype(np.uint8), rest, before[before > 0], keys))
+                out[3].append(squeeze(shared.astype(np.uint8), right_n.astype(np.uint8), left_n.astype(np.uint8), rest, before[before > 0], planes(keys.view("<u4")), level=3))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["part", "block", "base", "run"])
 
     return table.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, "part int, block long, base long, run binary")
@@ -405,7 +418,8 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         lists, columns = [], ([], [], [], [])
         for blob in table.column("run").to_pylist():
-            shared, right, left, rest, before, keys = expand(blob, "u1", "u1", "u1", "u1", "u1", "<i8")
+            shared, right, left, rest, before, keys = expand(blob, "u1", "u1", "u1", "u1", "u1", "u1")
+            keys = unplanes(keys).view("<i8")
             lists.append((shared.tolist(), right.tolist(), rest.tobytes()))
             wide = np.zeros((len(keys), back), np.uint8)
             wide[np.arange(back) < left[:, None]] = before
@@ -446,21 +460,20 @@ def united(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.nda
     return begin[new], end[np.r_[new[1:], True]], text[new]
 
 
-def spans_of(block: Block, members: bytes | None, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(block: Block, own: Suffixes, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """First and last (exclusive) byte in the block of each maximal removed run."""
     length, none = block.length, np.empty(0, np.int64)
     runs, pending = (none, none, none), 0
-    if members is not None:
-        count, at, least, right, left = expand(members, "u1", "u1", "<i8", "u1", "u1")
-        count, at = unplanes(count).astype(np.int64), unplanes(at).astype(np.int64)
-        first = np.cumsum(count) - count
+    if len(own.at):
+        count, at, first = own.members, own.at, own.first
         text = block.text_of(at)
         keys = block.keys[text]
+        right, left = (own.rows[:, :length] > 0).sum(1), (own.rows[:, length:] > 0).sum(1)
         # all windows about a suffix go by the least key in this block, and some by an earlier one elsewhere
-        own = ((np.arange(len(count)), np.maximum(0, length - right.astype(np.int64)), left.astype(np.int64), least),)
+        here = ((np.arange(len(count)), np.maximum(0, length - right), left, own.least),)
         others = ((r.astype(np.int64), a.astype(np.int64), b.astype(np.int64), k) for r, a, b, k in (expand(f, "<u4", "u1", "u1", "<i8") for f in found))
         new: list[tuple[np.ndarray, ...]] = []
-        for record, low, high, key in itertools.chain(own, others):
+        for record, low, high, key in itertools.chain(here, others):
             some = low <= high
             record, low, high, key = record[some], low[some], high[some], key[some]
             each = count[record]
@@ -489,16 +502,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         raise ValueError("length must be 17 to 255")
     spark = docs.sparkSession
     docs = clear(docs, *(set(docs.columns) - {key, text}))
-    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = settle(blocks(docs, key, text, length).repartition(deal, "block"))
+    table = settle(blocks(docs, key, text, length))
     n = table.count()
     ranges = 16
     while ranges * 8 < n:
         ranges *= 2
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
     flags = settle(common_prints(print_rows(table, ranges, length), ranges, crowded))
-    runs = settle(suffix_runs(table, flags, max(4 * deal, n // 2), length))
-    found = merged(runs.where("part >= 0"), length)
-    notes = runs.where("part < 0").select("block", F.lit(0).alias("kind"), F.col("run").alias("note")).unionByName(found.select("block", F.lit(1).alias("kind"), F.col("found").alias("note")))
+    found = merged(suffix_runs(table, flags, parts, length), length)
+    notes = flags.select("block", "range", F.col("flags").alias("note")).unionByName(found.select("block", F.lit(-1).alias("range"), F.col("found").alias("note")))
     kind = dict((f.name, f.dataType) for f in docs.schema.fields)[key]
     fields = [T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_kept:
@@ -509,17 +521,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         out: list[list] = [[] for _ in fields]
         if left.num_rows:
             block = Block(left.column("keys")[0].as_py(), left.column("data")[0].as_py(), length)
-            pairs = list(zip(right.column("kind").to_pylist(), right.column("note").to_pylist(), strict=True))
-            begin, end = spans_of(block, next((b for k, b in pairs if k == 0), None), [b for k, b in pairs if k == 1])
+            pairs = list(zip(right.column("range").to_pylist(), right.column("note").to_pylist(), strict=True))
+            # sorted once more rather than stored: their positions are a large part of the runs
+            begin, end = spans_of(block, own_suffixes(block, [x for x in pairs if x[0] >= 0], parts), [b for r, b in pairs if r < 0])
             raw = block.data.tobytes()
             low, high = np.searchsorted(begin, block.offsets[:-1]), np.searchsorted(begin, block.offsets[1:])
             for i, (key_, null, a, b) in enumerate(zip(block.keys.tolist(), block.nulls.tolist(), block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
                 cuts = list(zip(begin[low[i] : high[i]].tolist(), end[low[i] : high[i]].tolist(), strict=True))
-                parts, last = [], a
+                pieces, last = [], a
                 for s, e in cuts:
-                    parts.append(raw[last:s])
+                    pieces.append(raw[last:s])
                     last = e
-                kept = b"".join([*parts, raw[last:b]])
+                kept = b"".join([*pieces, raw[last:b]])
                 values = [None if null else key_, b - a, b - a - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()]
                 if with_kept:
                     values += [[{"begin": s - a, "end": e - a} for s, e in cuts], kept, kept.decode("utf-8", "ignore"), hashlib.sha256(raw[a:b]).hexdigest()]
