@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.llm.common import clear, settle, with_offsets, word_count
+from convlake.llm.textkit import U, mix
 
 WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
-SLOTS = 4096  # slots drawn by one row
+SLOTS = 4096  # slots that one row stands for before they are made
+ROUNDS = 8  # of the Feistel network
+DEALT = ["source_key", "epoch", "shard", "first", "slots", "blocks", "last", "words", "source_size"]
 
 
 def targets(sources: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -34,29 +42,86 @@ def targets(sources: DataFrame, share: float = 1.5, limit: float = 2.0, weights:
     return sources.withColumn("target", target).drop("__w", "__cap", "__at", "__full", "__used", "__level", "__water")
 
 
-def slots(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """One row per slot of every source: (source_key, slot, epoch, index).
+def permutation(blocks: int, key: int, inverse: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """A pseudorandom permutation of 0 .. blocks - 1: a keyed Feistel network over an even number of bits that just hold them;
+    what falls beyond goes through the network again until it doesn't (cycle walking). The inverse runs the rounds backwards."""
+    half = U(max(1, ((blocks - 1).bit_length() + 1) // 2))
+    mask = (U(1) << half) - U(1)
+    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) ^ mix(np.array([key % 2**64], np.uint64)))
+    turn = lambda right, k: mix(right ^ k) & mask
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> half, v & mask
+        for k in keys[::-1] if inverse else keys:
+            left, right = (right ^ turn(left, k), left) if inverse else (right, left ^ turn(right, k))
+        return left << half | right
+
+    def walk(places: np.ndarray) -> np.ndarray:
+        v = once(places.astype(np.uint64))
+        while len(out := np.flatnonzero(v >= U(blocks))):
+            v[out] = once(v[out])
+        return v.astype(np.int64)
+
+    return walk
+
+
+def stream_key(seed: int, source: int, epoch: int) -> int:
+    return int.from_bytes(hashlib.sha256(f"{seed} {source} {epoch}".encode()).digest()[:8])
 
-    Slot j of a source takes, in epoch j div B, the block at place j mod B of that epoch's permutation of its B blocks. The
-    permutation is affine, index = (a * place + c) mod B, with a coprime to B, drawn from the seed, the source and the epoch.
+
+def dealt(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """The draw: (source_key, epoch, shard, first, slots, blocks, last, words, source_size), one row per source, pass and shard.
+
+    A source's target fixes how many slots it has in a pass; the counts by shard are one multinomial draw of that many, each shard
+    as likely, from a generator keyed by the seed, the source and the pass. Slots are numbered through the shards by their running
+    sums: shard h has slots first .. first + slots - 1. `last` is the slot of the short last block, `words` what the pass takes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, size, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = -(-size // block)
+                for epoch in (0, 1):
+                    words = min(size, wanted - epoch * size)
+                    if words <= 0:
+                        continue
+                    key = stream_key(seed, source, epoch)
+                    last = int(permutation(blocks, key, inverse=True)(np.array([blocks - 1]))[0])
+                    n = -(-words // block)
+                    if last < n:  # the short block is among them
+                        n = -(-(words + blocks * block - size) // block)
+                    counts = np.random.default_rng(key).multinomial(n, np.full(shards, 1 / shards))
+                    first = np.cumsum(counts) - counts
+                    rows += [(source, epoch, h, int(first[h]), int(counts[h]), blocks, last, words, size) for h in range(shards)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(9)], names=DEALT)
+
+    s = sources.where("source_size > 0 and target > 0").select("source_key", "source_size", F.least(F.round("target").cast("long"), 2 * F.col("source_size")).alias("wanted"))
+    return s.mapInArrow(run, ", ".join(f"{n} long" for n in DEALT))
+
+
+def slots(draw: DataFrame, block: int, seed: int) -> DataFrame:
+    """(source_key, epoch, place, index, length, shard): one row per slot of the draw.
+
+    The slot at a place takes the block at that place of the pass's permutation, whole, but for the last slot, which is cut where
+    the pass's words are reached.
     """
-    blocks = F.expr(f"cast(ceil(source_size / {block}D) as bigint)")
-    s = sources.where("source_size > 0 and target > 0").withColumn("blocks", blocks)
-    s = s.withColumn("wanted", F.least(F.round("target").cast("long"), 2 * F.col("source_size")))
-    # a round more than the words need, as the short last block may come in either epoch
-    s = s.withColumn("n", F.least(2 * F.col("blocks"), F.expr(f"cast(ceil(wanted / {block}D) as bigint) + 2")))
-    s = s.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("n", F.least("blocks", F.col("n") - F.col("epoch") * F.col("blocks"))).where("n > 0")
-    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "source_key", "epoch"), "blocks")
-    # the first of 64 candidates that is coprime to the number of blocks; 1 always is
-    step = F.expr("""coalesce(try_element_at(filter(transform(sequence(0, 63), i -> 1 + pmod(__a + i, blocks)),
-        a -> aggregate(sequence(1, 64), named_struct('x', a, 'y', blocks), (g, i) -> if(g.y = 0, g, named_struct('x', g.y, 'y', pmod(g.x, if(g.y = 0, 1L, g.y)))), g -> g.x) = 1), 1), 1L)""")
-    s = s.withColumn("__a", draw(1)).withColumn("step", step).withColumn("start", draw(2))
-    s = s.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {SLOTS})")))
-    s = s.repartition("source_key", "epoch", "chunk")
-    s = s.withColumn("place", F.explode(F.expr(f"sequence(chunk * {SLOTS}, least(n, (chunk + 1) * {SLOTS}) - 1)")))
-    # place * step stays within 128-bit decimals whatever the number of blocks
-    index = F.expr("cast((cast(place as decimal(19, 0)) * cast(step as decimal(19, 0)) + start) % blocks as bigint)")
-    return s.withColumn("index", index)
+    chunk = F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS})"))
+    rows = draw.where("slots > 0").withColumn("chunk", chunk).repartition("source_key", "epoch", "shard", "chunk")
+    rows = rows.select(*DEALT, (F.col("first") + F.col("chunk") * SLOTS).alias("low"), (F.col("first") + F.least("slots", (F.col("chunk") + 1) * SLOTS)).alias("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, epoch, shard, _, _, blocks, last, words, size, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = np.arange(low, high)
+                lacks = blocks * block - size
+                before = place * block - np.where(place > last, lacks, 0)
+                length = np.minimum(block - np.where(place == last, lacks, 0), words - before)
+                same = lambda v: pa.array(np.full(len(place), v, np.int64))  # noqa: E731, B023
+                index = permutation(blocks, stream_key(seed, source, epoch))(place)
+                yield pa.RecordBatch.from_arrays([same(source), same(epoch), pa.array(place), pa.array(index), pa.array(length), same(shard).cast(pa.int32())], names=["source_key", "epoch", "place", "index", "length", "shard"])
+
+    return rows.mapInArrow(run, "source_key long, epoch long, place long, index long, length long, shard int")
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shards: int = 16, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,9 +132,9 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shards: i
     shard counts: shard, source, blocks: the multinomial counts.
 
     A source's words stand in one row in a hashed order of its documents and are cut into blocks. Its number of slots follows
-    from its target; the counts by output shard are multinomial (each slot's shard is an independent uniform draw), given that
-    total, and slots map to blocks through pseudorandom permutations, one per pass over the source. The last slot is cut where
-    the target is reached, so sources meet targets to the word and no document exceeds twice its size.
+    from its target; how many of them each output shard has is a multinomial draw, and slots, numbered through the shards, map to
+    blocks through pseudorandom permutations, one per pass over the source, which the join by index follows. The last slot of a pass
+    is cut where its words are reached, so sources meet targets to the word and no document exceeds twice its size.
 
     Null texts and texts without words have size 0 and take part in nothing; a null source is a source of its own; repeated
     rows are separate documents; an empty table gives empty results. A source of any size is spread by block.
@@ -90,20 +155,10 @@ def mix_sizes(thin: DataFrame, key: str, block: int, shards: int, share: float,
     own = F.broadcast(own) if few else own
     named = thin.join(own, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     placed = settle(with_offsets(settle(named), ["source_key"], [key, "__row"], "size", "begin"))
-    uses = slots(sources, block, seed)
-    # words before a slot: full blocks, less what the short last block lacks if it came earlier in this epoch
-    short = F.expr(f"blocks * {block}L - source_size")
-    uses = uses.withColumn("__last", F.when(F.col("index") == F.col("blocks") - 1, F.col("place")))
-    ends = uses.where("__last is not null").select("source_key", "epoch", F.col("place").alias("last_place"))
-    ends = F.broadcast(ends) if few else ends
-    uses = uses.drop("__last").join(ends, ["source_key", "epoch"], "left")
-    before = F.expr(f"epoch * source_size + place * {block}L") - F.when(F.col("place") > F.col("last_place"), short).otherwise(F.lit(0))
-    length = F.when(F.col("place") == F.col("last_place"), F.lit(block) - short).otherwise(F.lit(block))
-    uses = uses.withColumn("length", F.least(length, F.col("wanted") - before)).where("length > 0")
-    uses = uses.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "source_key", "epoch", "place"), F.lit(shards)).cast("int"))
-    uses = settle(uses.select("source_key", "epoch", "place", "index", "length", "shard"))
-    counts = uses.groupBy("shard", "source_key").agg(F.count("*").alias("blocks"))
-    counts = counts.join(sources.select("source_key", "source"), "source_key").select("shard", "source", "blocks")
+    draw = settle(dealt(sources, block, shards, seed))
+    counts = draw.groupBy("shard", "source_key").agg(F.sum("slots").alias("blocks")).where("blocks > 0")
+    counts = counts.join(sources.select("source_key", "source"), "source_key").select(F.col("shard").cast("int").alias("shard"), "source", "blocks")
+    uses = slots(draw, block, seed)
     parts = placed.where("size > 0").withColumn("index", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     cuts = parts.join(uses, ["source_key", "index"])
     low, high = F.greatest(F.col("begin"), F.col("index") * block), F.least(F.col("begin") + F.col("size"), F.col("index") * block + F.col("length"))
