@@ -160,13 +160,27 @@ def striped(texts: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(stripes)), pa.int32()), pa.array(stripes, pa.binary())], names=["stripe", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(b, np.float32).astype(float) for b in table.column("sums").to_pylist())
+        out = sum(np.frombuffer(b, np.float32).astype(float) for b in sorted(table.column("sums").to_pylist()))  # one order, so that reruns agree
         return pa.table({"stripe": table.column("stripe").slice(0, 1), "sums": pa.array([out.tobytes()], pa.binary())})
 
     parts = texts.mapInArrow(run, "stripe int, sums binary").groupBy("stripe").applyInArrow(add, "stripe int, sums binary").collect()
     return np.concatenate([np.frombuffer(r.sums, float) for r in sorted(parts)]).reshape(-1, WIDE) if parts else np.zeros((total, WIDE))
 
 
+def head_threshold(counts: DataFrame, most: int = HEAD) -> int:
+    """The least count that at most `most` words reach, from a histogram of counts: single ones below 4096, then 64 steps an octave."""
+    c = F.col("c")
+    step = F.when(c < 4096, c).otherwise(F.ceil(F.pow(F.lit(2.0), F.floor(F.log2(c) * 64) / 64)))  # no word of a step counts less
+    steps = counts.groupBy(step.cast("long").alias("least")).agg(F.count("*").alias("n")).orderBy(F.desc("least")).collect()
+    reached, threshold = 0, 1 << 62
+    for r in steps:
+        reached += r.n
+        if reached > most:
+            break
+        threshold = r.least
+    return threshold
+
+
 def train(texts: DataFrame, rounds: int = 2, rate: float = 0.5) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts (settled), from one column of texts.
 
@@ -178,7 +192,7 @@ def train(texts: DataFrame, rounds: int = 2, rate: float = 0.5) -> tuple[Model,
     ready(texts.sparkSession)
     counts = settle(word_counts(texts))
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "ending", "c").toPandas()
+    head = counts.where(F.col("c") >= head_threshold(counts)).select("word", "ending", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])
     top = head.head(OWN)
     by_class = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     class_tokens, class_words = np.zeros(OWN), np.zeros(OWN)
@@ -269,8 +283,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
         F.first(key).alias(key),
         F.sum("n").alias("n_tokens"),
         (F.sum("known") + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("tf") * (log_c - F.lit(float(whole))))).alias("base_score"),
-        (F.sum("model") + F.sum(F.col("tf") * (log_c - inner))).alias("score"),
+        F.round(F.sum("base") + F.sum(F.col("tf") * (log_c - F.lit(float(whole)))), 9).alias("base_score"),
+        F.round(F.sum("model") + F.sum(F.col("tf") * (log_c - inner)), 9).alias("score"),
     )
     return out.drop("row")
 
