@@ -15,7 +15,6 @@ from convlake.llm.common import clear, ready, settle
 from convlake.llm.textkit import LOWER, U, mix, segments
 
 BITS = 14  # hashed trigrams of bytes
-LANGUAGES = 256  # at most so many are told apart: those with most training text
 TEMPER = 0.25  # neighbouring trigrams overlap, so their joint evidence counts a quarter
 PULL = 5.0  # pages' worth of weight that a parent in the host hierarchy has
 SMOOTH = 0.5
@@ -44,7 +43,8 @@ def visible(html: str) -> str:
 
 
 def text_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log likelihoods of trigrams, counted over all labelled texts; a table of fixed size comes back."""
+    """Languages and their log likelihoods of trigrams, counted over all labelled texts. What comes back, and is broadcast, has
+    2**BITS numbers (64 KB) for each language that a label names: it grows with the languages, not with the texts."""
     ready(docs.sparkSession)
     rows = docs.where(f"{lang} is not null and trim({lang}) <> ''").select(F.lower(F.trim(lang)).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
@@ -67,7 +67,7 @@ def text_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
         return pa.table({"lang": table.column("lang").slice(0, 1), "n": pa.array([int(total.sum())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     parts = rows.mapInArrow(run, "lang string, sums binary").groupBy("lang").applyInArrow(add, "lang string, n long, sums binary")
-    found = sorted(parts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect(), key=lambda r: r.lang)
+    found = sorted(parts.collect(), key=lambda r: r.lang)
     counts = np.array([np.frombuffer(r.sums, "<i8") for r in found], float).reshape(len(found), 1 << BITS) + SMOOTH
     return [r.lang for r in found], np.log(counts / counts.sum(1, keepdims=True))
 
@@ -116,8 +116,9 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
 
     The posterior is the product of four parts. Text: trigram likelihoods from the labelled docs, tempered. Declared language and
     address suffix (last label of the host, and a two-letter first folder): P(value | language), from grouped sums of the texts'
-    distributions over all pages, so a declaration counts as far as texts bear it out. Host prior: a host's sums are drawn toward
-    its site's (last two labels), and these toward all pages', by PULL pages; a page's own text is taken out of its host's sums first.
+    distributions over all other pages, so a declaration counts as far as their texts bear it out. Host prior: a host's sums are
+    drawn toward its site's (last two labels), and these toward all pages', by PULL pages. A page's own text is taken out of its
+    value's and its host's sums first.
     Without any labelled text there are no languages, and lang is null. A null url or html is empty; a page without text, host or
     declaration goes by what is left; null keys and repeated rows are pages like any other; an empty table gives an empty result.
     """
@@ -131,10 +132,14 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     total = np.array([x or 0.0 for x in every]) + SMOOTH
     share = F.array(*[F.lit(float(x)) for x in total / total.sum()])
 
-    def likelihood(name: str) -> DataFrame:
-        # values that many languages share tell nothing; a value's rows are summed within tasks first
-        by = rows.groupBy(name).agg(*sums(many))
-        return by.select(name, F.array(*[F.log((F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + SMOOTH * float(total[i] / total.sum()) * 2) / F.lit(float(total[i] + 1))) for i in range(many)]).alias(f"{name}_ll"))
+    def borne_out(name: str) -> DataFrame:
+        # a value's rows are summed within tasks first
+        return rows.groupBy(name).agg(*sums(many)).select(name, vector(many).alias(f"{name}_sums"))
+
+    def likelihood(name: str) -> Column:
+        """log P(value | language), the page's own text taken out; values that many languages share tell nothing."""
+        own = f"greatest({name}_sums[i] - p[i], 0D) + {2 * SMOOTH}D * share[i]"
+        return F.expr(f"transform({name}_sums, (x, i) -> ln(({own}) / (greatest(total[i] - p[i], 0D) + 1D)))")
 
     add = "zip_with({0}, {1}, (x, y) -> x + {2} * y)"
     hosts = rows.groupBy("host", "site").agg(*sums(many), F.count("*").alias("pages")).withColumn("h", vector(many)).select("host", "site", "h", "pages")
@@ -142,7 +147,9 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     sites = hosts.groupBy("site").agg(*[F.sum(F.col("h")[i]).alias(f"s{i}") for i in range(many)], F.sum("pages").alias("site_pages")).withColumn("site_h", vector(many))
     sites = sites.withColumn("share", share).withColumn("site_prior", F.expr(f"transform({add.format('site_h', 'share', PULL)}, x -> x / (site_pages + {PULL}))")).select("site", "site_prior")
     hosts = hosts.join(sites, "site").select("host", "h", "pages", "site_prior")
-    out = rows.join(hosts, "host").join(likelihood("declared"), "declared").join(likelihood("suffix"), "suffix")
+    out = rows.join(hosts, "host").join(borne_out("declared"), "declared").join(borne_out("suffix"), "suffix")
+    out = out.withColumn("share", share).withColumn("total", F.array(*[F.lit(float(x)) for x in total]))
+    out = out.withColumn("declared_ll", likelihood("declared")).withColumn("suffix_ll", likelihood("suffix"))
     prior = f"transform(zip_with(h, p, (x, y) -> greatest(x - y, 0D)), (x, i) -> (x + {PULL} * site_prior[i]) / (pages - 1 + {PULL}))"
     out = out.withColumn("prior", F.expr(prior))
     out = out.withColumn("z", F.expr("transform(p, (x, i) -> ln(greatest(x, 1e-300D)) + declared_ll[i] + suffix_ll[i] + ln(greatest(prior[i], 1e-12D)))"))
