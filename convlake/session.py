@@ -4,19 +4,37 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[1])
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and see that a checkpoint folder is set: the cluster's own where it names one."""
+    """Let Python workers import this package, and see that a checkpoint folder is set: the cluster's own where it names one.
+
+    Local workers get the package's path; on a cluster it is shipped as a zip file, once an application. A local session without
+    a checkpoint folder makes one; a cluster must name one that executors share.
+    """
     sc = spark.sparkContext
-    known = sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    local = sc.master == "local" or sc.master.startswith("local[")
+    if local:
+        known = sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+        if str(PACKAGE.parent) not in known.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (str(PACKAGE.parent), known) if x)
+    elif sc.applicationId not in _shipped:
+        path = Path(tempfile.mkdtemp(prefix="package")) / f"{PACKAGE.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                z.write(file, file.relative_to(PACKAGE.parent))
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not local:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return spark
