@@ -25,6 +25,7 @@ WITNESS = 4  # following longs that go with a band
 TRIES = 24
 ROUNDS = 2  # rounds in which a node meets one leader; then all that is still apart
 SURE = 4.0  # deviations below the threshold from which on registers rule a pair out
+SMALL = 512  # sets of so many shingles or fewer are held against each other whole, their hashes cut to 16 bits
 NEARBY = 1_000_000  # keys that may be broadcast
 NEARBY_BYTES = 1 << 25  # and bytes of what goes with them
 SKETCH = "n_shingles long, sign_a long, sign_b long, raw array<long>, dense array<long>"
@@ -152,10 +153,32 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
-def among(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose node is in pairs; the pairs' nodes are broadcast if they are few, so that the rows needn't be shuffled whole."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return rows.join(F.broadcast(keys) if pairs.count() * 2 <= NEARBY else keys, "node", "left_semi")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose node is in keys (distinct); keys are broadcast if they are few, so that the rows needn't be shuffled whole."""
+    return rows.join(F.broadcast(keys) if keys.count() <= NEARBY else keys, "node", "left_semi")
+
+
+def small_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, few): the set's hashes cut to 16 bits, distinct; null if the set has more than SMALL shingles or two texts have the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in segments(batch.column(1)):
+                hashes, cuts = sets(data, offsets, size)
+                short = (hashes >> U(48)).astype(np.uint16)  # sorted, as the hashes are
+                owner = np.repeat(np.arange(high - low), np.diff(cuts))
+                new = np.r_[True, (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])] if len(short) else np.empty(0, bool)
+                keep = new & (np.diff(cuts) <= SMALL)[owner]
+                ends_ = np.r_[0, np.cumsum(np.bincount(owner[keep], minlength=high - low))].astype(np.int32)
+                few = pa.ListArray.from_arrays(pa.array(ends_), pa.array(short[keep].view(np.int16)), mask=pa.array(np.diff(cuts) > SMALL))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), few], names=["node", "few"])
+
+    made = texts.select("node", "text").mapInArrow(run, "node long, few array<smallint>")
+    return made.groupBy("node").agg(F.when(F.count("*") == 1, F.first("few")).alias("few"))
 
 
 def beside(pairs: DataFrame, rows: DataFrame, size: Column, names: tuple[str, ...]) -> DataFrame:
@@ -211,6 +234,13 @@ def agree(x: str, y: str, percent: int) -> Column:
     return F.expr(f"{total(differ('p', 'q'))} <= (1D - {chance}) * ({1 - t}D * {used} + 0.3D * {SURE}D + {SURE}D * sqrt({t * (1 - t)}D * {used} * {left}))")
 
 
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Can two rows be linked? Small sets tell: the hashes they share, and those that the cut to 16 bits may have made equal within
+    x, are at least the intersection, so no link is lost. Larger ones go by their registers."""
+    common = f"(size(array_intersect({x}.few, {y}.few)) + {x}.n - size({x}.few))"
+    return F.when(F.expr(f"{x}.few is not null and {y}.few is not null"), F.expr(f"{100 + percent} * {common} >= {percent} * ({x}.n + {y}.n)")).otherwise(agree(x, y, percent))
+
+
 def first_met(x: str, y: str) -> Column:
     """Is this the first band that two rows share?"""
     return F.expr(f"array_position(zip_with({x}.dense, {y}.dense, (p, q) -> p = q), true) = {x}.b + 1")
@@ -224,7 +254,31 @@ def members(nodes: DataFrame) -> DataFrame:
     return rows.select("node", "n", "b", "band", *[F.expr(f"element_at(__d, b + {i + 2}) as w{i}") for i in range(WITNESS)])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that include every pair of the similarity: sets meet in the rarest shingles of each.
+
+    Of a set of n shingles in the order of their frequency, one of the first n - ceil(n * percent / 100) + 1 is also among another's
+    first such ones if the two are linked. Every shingle is shuffled, and frequent ones pair all that have them among their first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in segments(batch.column(1)):
+                hashes, cuts = sets(data, offsets, size)
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["node", "shingles"])
+
+    own = settle(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>").withColumn("row", F.monotonically_increasing_id()))
+    every = own.select("row", "node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    known = every.join(every.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
+    sorted_ = known.groupBy("row").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    first = sorted_.select("node", "n", F.explode(F.expr(f"slice(s, 1, n - cast(ceil(n * {percent} / 100D) as int) + 1)")).alias("s")).where("s.df > 1").select("node", "n", "s.shingle")
+    x, y = first.alias("x"), first.alias("y")
+    met = x.join(y, F.expr("x.shingle = y.shingle and x.node < y.node") & sized("x", "y", percent))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """(key, n_shingles, component_id, kept): the components of documents linked by 100 * intersection >= percent * union.
 
     A document's set holds its distinct shingles of `size` words (runs without ASCII white space, A-Z lower-cased); fewer words
@@ -234,8 +288,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Equal sets are one class from the start, so exact copies are never paired. Classes meet in bands of registers. In each of the
     first ROUNDS rounds a node is compared with one leader, the closest of its bands', and components grow; in the last, what is
-    still apart from its bucket's largest component is compared with all others of the bucket. So a group of thousands of near
-    copies costs a few comparisons each, and no pair is left out: no bucket is capped.
+    still apart from its bucket's largest component is held against all others of the bucket within the join: small sets (SMALL)
+    whole, larger ones by registers, so that what leaves the join are links and pairs next to the threshold, not pairs of the bucket.
+    No bucket is capped. A pair that shares no band is missed: about one in 1e5 at the threshold, fewer above. With `exact`, pairs
+    come from a prefix filter on full sets instead (prefix_pairs), which misses none and shuffles every shingle.
     """
     docs = clear(docs, *(set(docs.columns) - {key, text}))
     made = settle(sketch(docs, key, text, size).withColumnRenamed(key, "doc"))
@@ -244,6 +300,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = settle(made.where("n_shingles > 0 and doc is not null").groupBy(*sign).agg(F.min("doc").alias("node"), *[F.first(c).alias(c) for c in full]))
     # a key that stands for two classes (repeated keys with other texts) ties them: one document, one component
     nodes = classes.select("node", F.col("n_shingles").alias("n"), *full)
+    if exact:
+        texts = docs.select(F.col(key).alias("node"), F.coalesce(text, F.lit("")).alias("text"))
+        texts = settle(texts.join(classes.select("node").distinct(), "node", "left_semi"))
+        pairs = settle(prefix_pairs(texts, size, percent))
+        links = settle(confirmed(beside(pairs, texts, F.octet_length("text") + 16, ("t",)), size, percent).distinct())
+        return labelled(made, classes, components(links), sign, key)
     member = settle(members(nodes))
     w = [f"w{i}" for i in range(WITNESS)]
     by_key = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
@@ -265,15 +327,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             met = met.where(close("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), apart("x", "y").alias("d"))
             pairs = met.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
         else:
-            now = now.join(nodes.select("node", "raw", "dense"), "node")
+            few = small_sets(among(by_key, now.select("node").distinct()).withColumn("text", F.coalesce("text", F.lit(""))), size)
+            now = settle(now.join(nodes.select("node", "raw", "dense").join(few, "node", "left"), "node"))
             x, y = now.where("component <> most").alias("x"), now.alias("y")
             one = F.expr("x.band = y.band and x.component <> y.component and (y.component = y.most or x.node < y.node)")
-            met = x.join(y, one & sized("x", "y", percent) & first_met("x", "y") & agree("x", "y", percent))
+            met = x.join(y, one & sized("x", "y", percent) & first_met("x", "y") & may_link("x", "y", percent))
             pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = settle(pairs)
         if turn < ROUNDS:  # the last round's join has made this test
-            pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), pairs)), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
-        texts = settle(among(by_key, pairs).withColumn("text", F.coalesce("text", F.lit(""))))
+            pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), ends(pairs))), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
+        texts = settle(among(by_key, ends(pairs)).withColumn("text", F.coalesce("text", F.lit(""))))
         both = beside(pairs, texts, F.octet_length("text") + 16, ("t",))
         links = settle(confirmed(both, size, percent).distinct())
         if not links.limit(1).count():
@@ -286,6 +349,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         merged = components(links).withColumnRenamed("component", "to")
         moved = label.join(merged.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         label = settle(moved.unionByName(merged.join(label.select("node"), "node", "left_anti").withColumnRenamed("to", "component")))
+    return labelled(made, classes, label, sign, key)
+
+
+def labelled(made: DataFrame, classes: DataFrame, label: DataFrame | None, sign: list[str], key: str) -> DataFrame:
+    """Every document's class and component; label has the components of linked nodes."""
     home = classes.select(*sign, F.col("node"))
     home = home.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")) if label is not None else home.withColumn("component", F.col("node"))
     out = made.join(home.select(*sign, "component"), sign, "left").withColumn("component_id", F.coalesce("component", "doc"))

@@ -58,13 +58,32 @@ def test_odd_tables(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 1, 1, False), (None, 0, None, False)], key=str)
 
 
-def test_components_both_ways(spark, monkeypatch):
+def test_components(spark):
     from convlake.llm import common
 
     r = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(80), 100 + r.randrange(80)) for _ in range(50)] + [(500, 400 + i) for i in range(30)]
     table = spark.createDataFrame(edges, "a long, b long")
-    small = sorted(map(tuple, common.components(table).collect()))
-    monkeypatch.setattr(common, "FEW", 0)
-    large = {n: c for n, c in map(tuple, common.components(table).collect())}
-    assert {n: c for n, c in small if n != c} == large
+    root = {n: n for e in edges for n in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {n: c for n, c in map(tuple, common.components(table).collect())}
+    assert got == {n: c for n, c in root.items() if n != c}
+    assert common.components(table.limit(0)).collect() == []
+
+
+def test_exact_mode(spark):
+    for seed, size in ((4, 4), (5, 5)):
+        rows = corpus(seed)
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size, exact=True).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, size, 80)
+
+
+def test_large_sets_go_by_registers(spark, monkeypatch):
+    from convlake.llm import neardup
+
+    rows = corpus(6)
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, 4, 80)
