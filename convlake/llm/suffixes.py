@@ -3,7 +3,8 @@
 A text has one suffix for every byte, far too many to exchange. Of the positions in each window of `length` bytes one is an anchor:
 the place of the least hashed K-gram (leftmost if several). Equal windows have their anchor at the same place, so any string of
 `length` bytes that two documents share has an anchor in both, with equal bytes on either side. Only anchors' suffixes are sorted,
-and of these only those whose K-gram occurs more than once anywhere.
+each with as many bytes on either side as the windows that it is the anchor of, and of these only those whose K-gram occurs more
+than once anywhere.
 """
 
 from __future__ import annotations
@@ -65,18 +66,24 @@ def grams(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         for i in range(K):
             h = h * U(_STEP) + data[at + i].astype(np.uint64)
         return mix(h)
+    # runs of 1, 2, 4, ... bytes, put together to K
     h, size, power = data.astype(np.uint64), 1, _STEP
-    while size < K:
+    out, done = np.zeros(len(data) + 1, np.uint64), 0
+    while True:
+        if K & size:
+            n = len(data) - done - size + 1
+            out, done = out[:n] * U(power) + h[done : done + n], done + size
+        if size * 2 > K:
+            return mix(out)
         h = h[: len(h) - size] * U(power) + h[size:]
         size, power = size * 2, power * power % (1 << 64)
-    return mix(h)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Positions that some window of `length` bytes within one text has as its anchor."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in order, and the first and the last start of the windows within one text that have each as their anchor."""
     n, span = len(data), length - K + 1
     if n < length:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     v = (grams(data) >> U(24) << U(24)) | np.arange(n - K + 1, dtype=np.uint64)
     width = 1
     while width * 2 <= span:
@@ -84,60 +91,54 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
         width *= 2
     if width < span:
         v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
-    inside = np.ones(n + 1, bool)  # starts of windows that end within their text
     long = offsets[1:] - offsets[:-1]
     cut = np.minimum(long, length - 1)
     edge = np.zeros(n + 2, np.int32)
     np.add.at(edge, offsets[1:] - cut, 1)
     np.add.at(edge, offsets[1:], -1)
-    inside = np.cumsum(edge[: len(v)]) == 0
-    mark = np.zeros(n, bool)
-    mark[(v[inside] & U(0xFFFFFF)).astype(np.int64)] = True
-    return np.flatnonzero(mark)
+    start = np.flatnonzero(np.cumsum(edge[: len(v)]) == 0)  # of windows that end within their text
+    at = (v[start] & U(0xFFFFFF)).astype(np.int64)  # never falls from one window to the next
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    return at[new], start[new], start[np.r_[new[1:], len(at)] - 1] if len(at) else new
 
 
-def blocks(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(block, keys, data): texts put together in rows of about BLOCK bytes, with their offsets and anchors, compressed."""
+def all_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors(), a stretch of SCAN starts at a time, whatever texts lie in it; stretches overlap by a window less a byte."""
+    found = [(np.empty(0, np.int64),) * 3]
+    for low in range(0, max(0, len(data) - length + 1), SCAN):
+        high = min(len(data), low + SCAN + length - 1)
+        inner = offsets[np.searchsorted(offsets, low, "right") : np.searchsorted(offsets, high, "left")] - low
+        found.append(tuple(x + low for x in anchors(data[low:high], np.r_[0, inner, high - low], length)))
+    at, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)  # one anchor of two stretches
+    return at[new], first[new], last[np.r_[new[1:], len(at)] - 1] if len(at) else new
+
+
+def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(block, keys, data): texts put together in rows of about BLOCK bytes, with their offsets, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).cast(pa.int64())
             for low, high, data, offsets in segments(batch.column(1), BLOCK):
-                found, row = [], 0
-                while row < len(offsets) - 1:
-                    end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SCAN, "right")) - 1)
-                    found.append(offsets[row] + long_anchors(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], length))
-                    row = end
-                at = np.concatenate(found) if found else np.empty(0, np.int64)
-                step = np.diff(at, prepend=0)
                 own = keys.slice(low, high - low)
                 nulls = np.asarray(own.is_null())
-                blob = squeeze(offsets, planes(step), np.asarray(data), nulls, level=3)
+                blob = squeeze(offsets, np.asarray(data), nulls, level=3)
                 yield pa.RecordBatch.from_arrays([pa.array([own.fill_null(LAST).to_numpy().tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["keys", "data"])
 
     out = docs.select(F.col(key).cast("long"), F.coalesce(text, F.lit(""))).mapInArrow(run, T.StructType.fromDDL("keys binary, data binary"))
     return out.withColumn("block", F.monotonically_increasing_id())
 
 
-def long_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """anchors(), a stretch at a time where one text is long; stretches overlap by a window less a byte."""
-    if len(data) <= 4 * SCAN:
-        return anchors(data, offsets, length)
-    out = []
-    for low in range(0, len(data) - length + 1, SCAN):
-        high = min(len(data), low + SCAN + length - 1)
-        inner = np.unique(np.clip(offsets, low, high)) - low
-        out.append(low + anchors(data[low:high], np.unique(np.r_[0, inner, high - low]), length))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
-
-
 class Block:
     """A block's row, unpacked."""
 
     def __init__(self, keys: bytes, data: bytes, length: int):
         self.keys = np.frombuffer(keys, np.int64)
-        self.offsets, step, self.data, self.nulls = expand(data, "<i8", "u1", "u1", "?")
-        self.anchors = np.cumsum(unplanes(step).astype(np.int64))
+        self.offsets, self.data, self.nulls = expand(data, "<i8", "u1", "?")
+        # found again wherever a block is read: that takes less than carrying them
+        self.anchors, first, last = all_anchors(self.data, self.offsets, length)
+        self.left, self.right = (self.anchors - first).astype(np.uint8), (last + length - self.anchors).astype(np.uint8)
         self.length = length
         self.padded = np.r_[np.zeros(length, np.uint8), self.data, np.zeros(2 * length, np.uint8)]
 
@@ -148,25 +149,21 @@ class Block:
         """Of each anchor's K-gram. Hashed once more: anchors are the least of their windows' hashes, so those crowd at the low end."""
         return mix(grams(self.padded, self.anchors + self.length) ^ U(_STEP)) >> U(64 - PRINT_BITS)
 
-    def around(self, at: np.ndarray, back: int) -> np.ndarray:
-        """Rows of `length` bytes from each position and `back` bytes before it, nearest first; each byte plus one, 0 beyond the text.
-        Done a slice of positions at a time: beside the rows themselves nothing grows with their number."""
+    def around(self, at: np.ndarray, right: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+        """Rows of the bytes from each position and, after `length` places, of those before it, nearest first; each byte plus one, and 0
+        beyond `right` and `left` bytes. Done a slice at a time: beside the rows themselves nothing grows with their number."""
+        back = 0 if left is None else self.length - K
         out = np.empty((len(at), self.length + back), np.uint8)
         ahead = np.lib.stride_tricks.sliding_window_view(self.padded, self.length)
         behind = np.lib.stride_tricks.sliding_window_view(self.padded, max(back, 1))
-        column, column_back = np.arange(self.length), np.arange(back)
+        column, column_back = np.arange(self.length, dtype=np.uint8), np.arange(back, dtype=np.uint8)
         for low in range(0, len(at), SLICE):
             own, rows = at[low : low + SLICE], out[low : low + SLICE]
-            text = self.text_of(own)
             np.add(ahead[own + self.length], np.uint8(1), out=rows[:, : self.length])
-            room = self.offsets[text + 1] - own
-            short = np.flatnonzero(room < self.length)
-            rows[short, : self.length] *= column < room[short, None]
-            if back:
+            rows[:, : self.length] *= column < right[low : low + SLICE, None]
+            if left is not None:
                 np.add(behind[own + self.length - back][:, ::-1], np.uint8(1), out=rows[:, self.length :])
-                room = own - self.offsets[text]
-                short = np.flatnonzero(room < back)
-                rows[short, self.length :] *= column_back < room[short, None]
+                rows[:, self.length :] *= column_back < left[low : low + SLICE, None]
         return out
 
     def surroundings(self) -> np.ndarray:
@@ -175,7 +172,7 @@ class Block:
         back = self.length - K
         wide = -(-(self.length + back) // 8) * 8
         for low in range(0, len(h), SLICE):
-            rows = self.around(self.anchors[low : low + SLICE], back)
+            rows = self.around(self.anchors[low : low + SLICE], self.right[low : low + SLICE], self.left[low : low + SLICE])
             longs = np.pad(rows, ((0, 0), (0, wide - rows.shape[1]))).view("<u8")
             own = h[low : low + SLICE]
             for i in range(longs.shape[1]):
@@ -267,14 +264,14 @@ def own_suffixes(block: Block, flags: list[tuple[int, bytes]], parts: int) -> Su
     spread = np.zeros(len(prints), np.uint8)
     if len(prints):
         spread[turn] = flag[np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])]
-    at = block.anchors[spread == 1]
-    rows, part = block.around(at, back), (prints[spread == 1] % U(parts)).astype(np.int64)
-    crowd = block.anchors[spread == 2]
-    if len(crowd):
-        starts = np.unique((crowd[:, None] - np.arange(back + 1)).ravel())
-        starts = starts[starts >= 0]
-        starts = starts[starts + length <= block.offsets[block.text_of(starts) + 1]]
-        windows = block.around(starts, 0)
+    one, crowd = spread == 1, spread == 2
+    at = block.anchors[one]
+    rows, part = block.around(at, block.right[one], block.left[one]), (prints[one] % U(parts)).astype(np.int64)
+    if crowd.any():
+        many = block.left[crowd].astype(np.int64) + block.right[crowd] - length + 1  # windows of each anchor, from its first on
+        begin = block.anchors[crowd] - block.left[crowd]
+        starts = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        windows = block.around(starts, np.full(len(starts), length, np.uint8))
         h = np.zeros(len(starts), np.uint64)
         for i in range(length):
             h *= U(_STEP)
@@ -499,15 +496,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     different surroundings goes about by whole windows, which spread evenly, so no task gets a frequent one alone.
     """
     if not K < length < 256:
-        raise ValueError("length must be 17 to 255")
+        raise ValueError(f"length must be {K + 1} to 255")
     spark = docs.sparkSession
     docs = clear(docs, *(set(docs.columns) - {key, text}))
-    table = settle(blocks(docs, key, text, length))
+    table = settle(blocks(docs, key, text))
     n = table.count()
     ranges = 16
     while ranges * 8 < n:
         ranges *= 2
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
     flags = settle(common_prints(print_rows(table, ranges, length), ranges, crowded))
     found = merged(suffix_runs(table, flags, parts, length), length)
     notes = flags.select("block", "range", F.col("flags").alias("note")).unionByName(found.select("block", F.lit(-1).alias("range"), F.col("found").alias("note")))
