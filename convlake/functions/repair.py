@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,43 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def quality(text: str) -> int:
-    """How much a text looks like text: letters and digits count for it, replacement, control and stray Latin-1 characters against."""
-    score = 0
-    for ch in text:
-        code, kind = ord(ch), unicodedata.category(ch)
-        if code == 0xFFFD:
-            score -= 12
-        elif kind[0] == "L":
-            score += 1 if code < 128 else 3
-        elif kind[0] == "N":
-            score += 1
-        elif kind[0] == "C" and ch not in "\n\r\t":
-            score -= 8
-        if 0xA0 <= code <= 0xFF and kind[0] != "L":
-            score -= 4
-        elif 0x80 <= code <= 0x9F:
-            score -= 8
-    return score
-
-
-def repaired(text: str) -> str:
-    """The likeliest of the text, and the text read again as UTF-8 from Latin-1 or Windows-1252 bytes; the first of equals."""
-    found = [text]
-    for codec in ("latin-1", "cp1252"):
-        try:
-            found.append(text.encode(codec).decode("utf-8"))
-        except UnicodeError:
-            pass
-    return max(found, key=quality) if len(found) > 1 else text
+# What a character of each class says for a text; classes may overlap.
+WEIGHTS = {
+    r"\x{FFFD}": -12, r"[\p{L}&&[^\x00-\x7F]]": 3, r"[A-Za-z]": 1, r"\p{N}": 1, r"\p{C}": -8,
+    r"[\xA0-\xFF&&[^\p{Ll}\p{Lu}]]": -4, r"[\x80-\x9F]": -8,
+}
+# what Windows-1252 has at 80 to 9F, where it has anything
+WINDOWS = {chr(b): t for b in range(0x80, 0xA0) if (t := bytes([b]).decode("cp1252", "ignore"))}
+
 
+def quality(x: Column) -> Column:
+    """How much a text looks like text: its characters counted by class, and weighed."""
+    return sum((F.regexp_count(x, F.lit(c)) * w for c, w in WEIGHTS.items()), F.lit(0))
 
-def _repaired(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else repaired(t))
+
+def reread(x: Column, allowed: str) -> Column:
+    """The text's characters as Latin-1 bytes read as UTF-8; null if it has others than the allowed, or the bytes aren't UTF-8."""
+    return F.try_validate_utf8(F.when(x.rlike(allowed), F.encode(x, "ISO-8859-1")).cast("string"))
 
 
 def repair_text(x: Column | str) -> Column:
-    return F.pandas_udf(_repaired, T.StringType())(x)
+    """The likeliest of the text, and the text read again as UTF-8 from Latin-1 or Windows-1252 bytes; the first of equals."""
+    x = F.col(x) if isinstance(x, str) else x
+    latin = reread(x, r"\A[\x00-\xFF]*\z")
+    bytes_ = F.translate(x, "".join(WINDOWS.values()), "".join(WINDOWS))
+    windows = F.when(~x.rlike(r"[\x80-\x9F]"), reread(bytes_, r"\A[\x00-\xFF]*\z"))
+    best = F.when(quality(windows) > F.greatest(quality(x), quality(latin)), windows).when(quality(latin) > quality(x), latin).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), best).otherwise(x)
 
 
 def first_object(text: str) -> str | None:

@@ -36,6 +36,11 @@ def text_or_empty(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
+def strip(x: Column | str) -> Column:
+    """Without white space at either end; null is empty."""
+    return F.regexp_replace(text_or_empty(x), r"(?U)^\s+|\s+$", "")
+
+
 def collapse(x: Column | str) -> Column:
     """Runs of white space as one space, none at the ends; null is empty."""
     return F.trim(F.regexp_replace(text_or_empty(x), SPACE, " "))
@@ -55,7 +60,7 @@ def rough_tokens(x: Column | str) -> Column:
 
 
 def sentences(x: Column | str) -> Column:
-    return F.split(F.trim(text_or_empty(x)), r"(?<=[.!?।])\s+")
+    return F.split(strip(x), r"(?U)(?<=[.!?।])\s+")
 
 
 def line_sequence(x: Column | str) -> Column:
@@ -73,15 +78,16 @@ def cut_overlap(x: Column | str, previous: Column | str, least: int = 8, most: i
     size = F.least(F.lit(most), F.length(text))
     sizes = F.when(size >= least, F.sequence(F.lit(least), size)).otherwise(F.array().cast("array<int>"))
     found = F.array_max(F.filter(sizes, lambda k: F.contains(tail, F.lower(F.left(text, k)))))
-    rest = F.regexp_replace(F.substr(text, F.coalesce(found, F.lit(0)) + 1), r'^[ ",.\-]+', "")
+    rest = F.regexp_replace(F.substr(text, F.coalesce(found, F.lit(0)) + 1), r"^[ ,.\-]+", "")
     return F.when(found.isNull(), text).otherwise(rest)
 
 
 def fixed_chunks(x: Column | str, size: int = 900, overlap: int = 150) -> Column:
-    """Chunks of `size` characters every size - overlap, trimmed; blank ones go before the rest are numbered by their place."""
-    text = text_or_empty(x)
+    """Chunks of `size` characters every size - overlap of the text without white space at its ends, each without white space at its
+    own; blank ones go before the rest are numbered by their place."""
+    text = strip(x)
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda s: F.trim(F.substr(text, s + 1, F.lit(size)))), lambda t: t != "")
+    return F.filter(F.transform(starts, lambda s: strip(F.substr(text, s + 1, F.lit(size)))), lambda t: t != "")
 
 
 # --- fingerprints

@@ -51,8 +51,9 @@ def is_terminal_failure(error: Column, attempts: Column) -> Column:
 
 
 def is_lost_job(status: Column, error: Column, attempts: Column, updated: Column, stale: Column) -> Column:
-    """A transcription job that nobody works on any more."""
-    return F.when(status.isin("processing", "completed") | is_terminal_failure(error, attempts), False).otherwise(updated.isNull() | (updated <= stale))
+    """A transcription job that nobody works on any more. Only a failed one may be beyond saving."""
+    over = (status == "failed") & is_terminal_failure(error, attempts)
+    return F.when(status.isin("processing", "completed") | over, False).otherwise(updated.isNull() | (updated <= stale))
 
 
 def should_publish_window(status: Column, queued: Column, updated: Column, stale: Column) -> Column:

@@ -22,6 +22,10 @@ def squash(x: str) -> str:
     return rf"trim(regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g'))"
 
 
+def strip(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
+
+
 def tokens(x: str) -> str:
     return rf"list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')), ' ')), lambda w: w <> '' AND w NOT IN {among(STOPWORDS)})"
 
@@ -64,7 +68,7 @@ TASKS = """t AS (SELECT o_orderkey AS task_id, o_custkey AS user_id, c_nationkey
 WORDS = """w AS (SELECT conv_id, turn, u.word, u.pos, ((conv_id * 7 + turn * 11 + u.pos * 13) % 100) / 100 AS confidence, (conv_id + u.pos // 5) % 3 AS speaker
   FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM conversations), LATERAL (SELECT unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos) u)"""
 STAMP = "'%Y-%m-%d %H:%M:%S'"
-PARTS = "list_filter(list_transform(range(0, CAST(length(coalesce(text, '')) AS BIGINT), 750), lambda s: trim(substring(text, s + 1, 900))), lambda x: x <> '')"
+PARTS = f"list_filter(list_transform(range(0, CAST(length({strip('text')}) AS BIGINT), 750), lambda s: {strip('substring(' + strip('text') + ', s + 1, 900)')}), lambda x: x <> '')"
 TERMS = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: length(w) > 2))"
 SCORES = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 n AS (SELECT id, x, sqrt(list_dot_product(x, x)) AS l FROM v),
@@ -113,7 +117,7 @@ SELECT conversation_id, sequence_number, CAST(1 AS BIGINT) AS owners FROM h WHER
     "invalid_transitions": f"""WITH s AS (SELECT event_id, coalesce(lag(st) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'RECORDING') AS previous, st AS status
   FROM (SELECT *, [{', '.join(map(q, STATUSES))}][event_id % 11 + 1] AS st FROM events))
 SELECT event_id, previous, status, previous = status OR (previous, status) IN (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, bs in TRANSITIONS.items() for b in bs)}) AS valid FROM s""",
-    "transcripts": f"""WITH {CHUNKS} SELECT conversation_id, string_agg(rtrim('[' || sequence_number || '] ' || {squash('raw_text')}), chr(10) ORDER BY sequence_number) AS raw_transcript FROM chunks GROUP BY 1""",
+    "transcripts": f"""WITH {CHUNKS} SELECT conversation_id, string_agg('[' || sequence_number || '] ' || {strip('raw_text')}, chr(10) ORDER BY sequence_number) AS raw_transcript FROM chunks GROUP BY 1""",
     "speaker_turns": f"""WITH {WORDS}, f AS (SELECT *, CASE WHEN speaker IS DISTINCT FROM lag(speaker) OVER o OR row_number() OVER o = 1 THEN 1 ELSE 0 END AS fresh FROM w WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS t FROM f)
 SELECT conv_id, turn AS message, CAST(t AS BIGINT) AS turn, min(speaker) AS speaker, string_agg(word, ' ' ORDER BY pos) AS text FROM g GROUP BY conv_id, g.turn, t""",
@@ -150,8 +154,10 @@ SELECT *, meaningful - represented AS unrepresented,
   concat_ws(',', CASE WHEN meaningful >= 8 AND 4 * final <= meaningful AND final < greatest(5, meaningful * 35 // 100) THEN 'suspicious_compression_ratio' END, CASE WHEN weak > 0 THEN 'weak_windows' END,
     CASE WHEN meaningful - represented >= greatest(3, meaningful * 4 // 10) THEN 'unrepresented_artifacts' END) AS reasons,
   least(CASE WHEN meaningful > 0 THEN represented / meaningful ELSE 1.0 END, greatest(0.0, 1 - weak / greatest(windows, 1))) AS score FROM n""",
-    "weak_windows": f"""WITH {ARTIFACTS}, w AS (SELECT conversation_id, window_index, sum(length(title)) AS token_count FROM a GROUP BY 1, 2)
-SELECT conversation_id, window_index, CAST(token_count AS BIGINT) AS token_count FROM w ANTI JOIN (SELECT * FROM a WHERE id % 40 = 0) z USING (conversation_id, window_index) WHERE token_count >= 4""",
+    "weak_windows": f"""WITH {ARTIFACTS}, w AS (SELECT conversation_id, window_index, sum(length(title)) AS token_count, count_if(id % 3 = 0) AS non_empty_chunk_count,
+  max(CASE WHEN id % 5 = 0 THEN title ELSE '' END) AS text, count_if(id % 7 = 0) AS extracted FROM a GROUP BY 1, 2)
+SELECT conversation_id, window_index, CAST(token_count AS BIGINT) AS token_count FROM w ANTI JOIN (SELECT * FROM a WHERE id % 40 = 0) z USING (conversation_id, window_index)
+WHERE extracted = 0 AND (non_empty_chunk_count > 0 OR {strip('text')} <> '')""",
     "meeting_memory": f"""WITH {ARTIFACTS}, m AS (SELECT * FROM a WHERE status <> 'rejected' QUALIFY row_number() OVER (PARTITION BY conversation_id, artifact_type ORDER BY position) <= 5)
 SELECT conversation_id, artifact_type, string_agg(title, '|' ORDER BY position) AS titles FROM m GROUP BY 1, 2""",
     "topics": f"""WITH {ARTIFACTS}, w AS (SELECT conversation_id, window_index, max(sequence_end) AS sequence_end, list_sort(list(DISTINCT topic)) AS topics FROM a GROUP BY 1, 2),

@@ -120,15 +120,16 @@ def resolved_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     a = src.artifacts(spark, d)
-    w = a.select("conversation_id", "window_index").distinct().withColumn("token_count", F.lit(10))
+    w = a.select("conversation_id", "window_index").distinct().withColumn("token_count", F.lit(10)).withColumn("non_empty_chunk_count", F.lit(1))
     weak = art.weak_windows(w, a.where("id % 7 < 2 and window_index < 4"))
     return art.coverage(a, a.where("id % 10 = 3").select("conversation_id", "title"), w, weak)
 
 
 def weak_windows(spark: SparkSession, d: str) -> DataFrame:
     a = src.artifacts(spark, d)
-    w = a.groupBy("conversation_id", "window_index").agg(F.sum(F.length("title")).alias("token_count"))
-    return art.weak_windows(w, a.where("id % 40 = 0"))
+    some = F.max(F.when(F.col("id") % 5 == 0, F.col("title")).otherwise("")).alias("text")
+    w = a.groupBy("conversation_id", "window_index").agg(F.sum(F.length("title")).alias("token_count"), F.count_if(F.col("id") % 3 == 0).alias("non_empty_chunk_count"), some, F.count_if(F.col("id") % 7 == 0).alias("extracted"))
+    return art.weak_windows(w, a.where("id % 40 = 0")).select("conversation_id", "window_index", "token_count")
 
 
 def meeting_memory(spark: SparkSession, d: str) -> DataFrame:

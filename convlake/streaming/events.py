@@ -84,7 +84,8 @@ class _Quota:
     def add(self, row: dict) -> list[dict]:
         now, tokens = row["at"], row["tokens"]
         if self.day != now // 86_400:
-            self.day, self.day_requests, self.day_tokens = now // 86_400, 0, 0
+            self.day, self.day_requests, self.day_tokens, self.minute_tokens = now // 86_400, 0, 0, 0
+            self.recent.clear()  # the minute too begins anew with the day
         while self.recent and self.recent[0][0] < now - 60:
             self.minute_tokens -= self.recent.popleft()[1]
         rpm, rpd, tpm, tpd = self.limits
@@ -102,7 +103,7 @@ class _Quota:
 
 def admitted(requests: DataFrame, key: str, rpm: int = 12, rpd: int = 900, tpm: int = 10**12, tpd: int = 10**12) -> DataFrame:
     """(key, request_id, admitted): each request in order of (at, request_id) against sliding-minute and UTC-day quotas of requests
-    and tokens. What is rejected uses up nothing. at: whole seconds. A key keeps a minute's requests, at most rpm, in memory."""
+    and tokens; with a new day the minute is empty too. What is rejected uses up nothing. at: whole seconds. A key keeps a minute's requests, at most rpm, in memory."""
     kind = requests.schema[key].dataType.simpleString()
     return ordered_fold(requests.select(key, "request_id", "at", "tokens"), [key], ["at", "request_id"], lambda row: _Quota(key, row, rpm, rpd, tpm, tpd), f"{key} {kind}, request_id long, admitted boolean")
 

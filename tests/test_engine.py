@@ -6,7 +6,7 @@ import pytest
 from convlake import oracle, queries
 from convlake.functions import repair, text
 from convlake.operators import artifacts as art
-from convlake.operators import retrieval, windows
+from convlake.operators import chunks, retrieval, windows
 from convlake.streaming import events as ev
 from pyspark.sql import functions as F
 
@@ -50,6 +50,30 @@ def test_windows_own_each_useful_chunk_once(spark):
     assert open_ == len(got) - 1
 
 
+def test_windows_span_their_useful_chunks(spark):
+    one = windows.ready_windows(spark.createDataFrame(chunk_rows(["", "we meet now", "and go home", ""]), CHUNK), final=True).collect()
+    assert [(w.sequence_start, w.sequence_end, w.sequence_count, w.skipped, w.wall_clock_ms, w.duration_ms) for w in one] == [(1, 2, 4, [0, 3], 120_000, 60_000)]
+    assert one[0].text == "[1] we meet now\n[2] and go home"
+
+
+def test_a_carried_tail_keeps_its_own_text(spark):
+    # each text begins with what the one before ends with
+    texts = ["aaa bbb ccc ddd one two three four", "one two three four five six seven eight", "five six seven eight nine ten", "nine ten eleven twelve thirteen"]
+    sizes = windows.Sizes(target=14, most=14, overlap=8)
+    got = windows.ready_windows(spark.createDataFrame(chunk_rows(texts), CHUNK), sizes=sizes, final=True).orderBy("window_index").collect()
+    assert [w.text for w in got] == [
+        "[0] aaa bbb ccc ddd one two three four\n[1] five six seven eight",
+        "[1] one two three four five six seven eight\n[2] nine ten",  # the tail is cut against nothing, not twice
+        "[1] one two three four five six seven eight\n[2] nine ten\n[3] eleven twelve thirteen",
+    ][: len(got)]
+    assert [w.owned for w in got][:2] == [[0, 1], [2]] and got[0].overlap_start == 1
+    # and what an earlier run kept is context for the next
+    rows = chunk_rows(texts)
+    before = spark.createDataFrame(rows[1:2], CHUNK).withColumn("start_index", F.lit(1))
+    later = windows.ready_windows(spark.createDataFrame(rows[2:], CHUNK), sizes=sizes, final=True, context=before).orderBy("window_index").collect()
+    assert [(w.window_index, w.text, w.owned) for w in later] == [(w.window_index, w.text, w.owned) for w in got[1:]]
+
+
 def test_window_edges(spark):
     table = lambda rows: spark.createDataFrame(rows, CHUNK)
     assert windows.ready_windows(table([]), final=True).collect() == []
@@ -114,6 +138,28 @@ def test_quota(spark):
             day += 1
 
 
+def test_quota_of_a_new_day(spark):
+    late = 86_400 - 10
+    rows = [("p", i, late + 6 * i, 100) for i in range(6)]  # the third is the new day's first
+    got = ev.admitted(spark.createDataFrame(rows, "provider string, request_id long, at long, tokens long"), "provider", rpm=2).orderBy("request_id").collect()
+    assert [r.admitted for r in got] == [True, True, True, True, False, False]
+
+
+def test_lost_jobs(spark):
+    rows = [("failed", "x", 9), ("pending", "x", 9), ("failed", "x", 0), ("processing", None, 0)]
+    df = spark.createDataFrame(rows, "s string, e string, a int").select(chunks.is_lost_job(F.col("s"), F.col("e"), F.col("a"), F.lit(1), F.lit(2)).alias("lost"))
+    assert [r.lost for r in df.collect()] == [False, True, True, False]
+
+
+def test_repair_reads_wrong_codecs(spark):
+    right = ["Grüße", "naïve — “quoted", "कल", "plain", "ª º", "", None]
+    wrong = [None if t is None else t.encode().decode(c, "ignore") for t in right for c in ("latin-1", "cp1252")]
+    df = spark.createDataFrame([(t,) for t in wrong + right], "t string")
+    got = [r[0] for r in df.select(repair.repair_text("t")).collect()]
+    # the second reading of the first scores 9, as the right one does, so it stays; then come the dash and quotes, which only one codec has
+    assert got[:4] == ["Grüße", wrong[1], "naïve — “quoted", "naïve — “quoted"] and got[len(wrong) :] == right
+
+
 def test_resolution(spark):
     base = lambda i, kind, title, content="", owner=None, op=None, key=None: (1, i, str(i), kind, title, content, owner, op, key or f"k{i}")
     rows = [
