@@ -11,6 +11,7 @@ BLOCK = 192
 RATE = 44_100
 SEEK = 64  # frames between seek points
 ORDERS = 3  # fixed predictors 0 to 2 compete
+LINEAR, PRECISION = 4, 7  # with a linear one: so many coefficients of so many bits
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -64,6 +65,28 @@ def _numbers(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each frame's coefficients by Levinson's recursion, cut to PRECISION bits, their shift, and what they leave of the samples.
+
+    Autocorrelations are whole numbers, so equal frames get equal coefficients whatever frames they are coded with."""
+    wide = x.astype(np.int64)
+    r = [(wide[:, k:] * wide[:, : BLOCK - k]).sum(1).astype(float) for k in range(LINEAR + 1)]
+    a, error = np.zeros((len(x), LINEAR)), np.maximum(r[0], 1.0)
+    for i in range(LINEAR):
+        left = r[i + 1] - sum((a[:, j] * r[i - j] for j in range(i)), np.zeros(len(x)))
+        k = left / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1].copy()
+        a[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    top = (1 << (PRECISION - 1)) - 1
+    shift = np.clip(np.floor(np.log2(top / np.maximum(np.abs(a).max(1), 1e-9))), 0, 15).astype(np.int64)
+    q = np.clip(np.rint(a * 2.0 ** shift[:, None]), -top - 1, top).astype(np.int64)
+    guess = np.zeros((len(x), BLOCK - LINEAR), np.int64)
+    for j in range(LINEAR):
+        guess += q[:, j, None] * wide[:, LINEAR - 1 - j : BLOCK - 1 - j]
+    return q, shift, wide[:, LINEAR:] - (guess >> shift[:, None])
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 192 bytes) as a FLAC stream; samples are the bytes less 128. All frames at once."""
     sizes = np.array([len(p) for p in payloads]) // BLOCK
@@ -84,8 +107,15 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             best = np.where(better, bits, best)
             order[better], rice[better] = o, k
         d = np.concatenate([np.zeros((frames, 1), np.int32), np.diff(d, axis=1)], axis=1)
-    # fields of a frame: sub-frame header, warm-up or plain samples, Rice header, residuals: values and widths
-    value, width = np.zeros((frames, BLOCK + 2), np.uint64), np.zeros((frames, BLOCK + 2), np.int64)
+    q, shift, d = linear(x)
+    z = np.where(d < 0, -2 * d - 1, 2 * d)
+    for k in range(3, 8):
+        bits = (8 + PRECISION) * LINEAR + 9 + 10 + (z >> k).sum(1) + (BLOCK - LINEAR) * (1 + k)
+        better = bits < best
+        best = np.where(better, bits, best)
+        order[better], rice[better] = ORDERS, k  # stands for the linear predictor
+    # fields of a frame: sub-frame header, warm-up or plain samples, coefficients, Rice header, residuals: values and widths
+    value, width = np.zeros((frames, BLOCK + 3 + LINEAR), np.uint64), np.zeros((frames, BLOCK + 3 + LINEAR), np.int64)
     plain = order < 0
     value[:, 0] = np.where(plain, 0x02, (8 + np.maximum(order, 0)) << 1)
     width[:, 0] = 8
@@ -94,9 +124,20 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         if len(at):
             value[at, 1 : 1 + o], width[at, 1 : 1 + o] = (x[at, :o] & 0xFF).astype(np.uint64), 8
             value[at, 1 + o], width[at, 1 + o] = rice[at].astype(np.uint64), 10  # method 0, one partition
-            z, k = folded[o][at, o:], rice[at][:, None]
-            value[at, 2 + o :] = ((1 << k) | (z & ((1 << k) - 1))).astype(np.uint64)
-            width[at, 2 + o :] = (z >> k) + 1 + k
+            own, k = folded[o][at, o:], rice[at][:, None]
+            value[at, 2 + o : 2 + BLOCK] = ((1 << k) | (own & ((1 << k) - 1))).astype(np.uint64)
+            width[at, 2 + o : 2 + BLOCK] = (own >> k) + 1 + k
+    at = np.flatnonzero(order == ORDERS)
+    if len(at):
+        n = LINEAR
+        value[at, 0] = (32 + n - 1) << 1
+        value[at, 1 : 1 + n], width[at, 1 : 1 + n] = (x[at, :n] & 0xFF).astype(np.uint64), 8
+        value[at, 1 + n], width[at, 1 + n] = ((PRECISION - 1) << 5 | shift[at]).astype(np.uint64), 9
+        value[at, 2 + n : 2 + 2 * n], width[at, 2 + n : 2 + 2 * n] = (q[at] & ((1 << PRECISION) - 1)).astype(np.uint64), PRECISION
+        value[at, 2 + 2 * n], width[at, 2 + 2 * n] = rice[at].astype(np.uint64), 10
+        own, k = z[at], rice[at][:, None]
+        value[at, 3 + 2 * n :] = ((1 << k) | (own & ((1 << k) - 1))).astype(np.uint64)
+        width[at, 3 + 2 * n :] = (own >> k) + 1 + k
     at = np.flatnonzero(plain)
     value[at, 1 : BLOCK + 1], width[at, 1 : BLOCK + 1] = (x[at] & 0xFF).astype(np.uint64), 8
     body = (width.sum(1) + 7) // 8
@@ -226,18 +267,21 @@ def _decode_frames(data: np.ndarray, begin: np.ndarray, number: np.ndarray) -> t
         position, taps, most = bit[at], coefficients[at], int(order.max())
         span, first = BLOCK // parts, order[at]
         x = out[at].T.copy()
+        raw = np.full(len(at), -1, np.int64)  # bits of a sample in an escaped partition
         for i in range(BLOCK):
             opens = np.flatnonzero((i % span == 0))
             if len(opens):  # a partition's parameter
                 v = _peek(data, position[opens]) >> (64 - width[opens]).astype(np.uint64)
                 rice[opens] = v.astype(np.int64)
                 position[opens] += width[opens]
-                if (rice[opens] == (1 << width[opens]) - 1).any():
-                    raise Damaged("escaped partitions aren't written by this encoder")
+                escaped = rice[opens] == (1 << width[opens]) - 1
+                raw[opens] = np.where(escaped, (_peek(data, position[opens]) >> np.uint64(59)).astype(np.int64), -1)
+                position[opens] += 5 * escaped
             on = np.flatnonzero(i >= first) if i < most else slice(None)
             p, k, more = position[on], rice[on], 0
             v = _peek(data, p)
-            while (far := (v >> np.uint64(24)) == 0).any():  # forty zeros: go on behind them
+            whole = raw[on] >= 0
+            while (far := ((v >> np.uint64(24)) == 0) & ~whole).any():  # forty zeros: go on behind them
                 skipped = far * np.int64(40)
                 p, more = p + skipped, more + skipped
                 if (p >= 8 * (len(data) - 16)).any():
@@ -246,9 +290,16 @@ def _decode_frames(data: np.ndarray, begin: np.ndarray, number: np.ndarray) -> t
             zeros = 53 - np.frexp((v >> np.uint64(11)).astype(float))[1].astype(np.int64)
             low = (v << (zeros + 1).astype(np.uint64)) >> np.uint64(1) >> (63 - k).astype(np.uint64)
             z = (zeros + more) << k | low.astype(np.int64)
-            position[on] = p + zeros + 1 + k
+            rest = z >> 1 ^ -(z & 1)
+            after = p + zeros + 1 + k
+            if whole.any():
+                w = np.maximum(raw[on], 0)
+                plain_bits = np.where(w > 0, (_peek(data, p) >> np.minimum(64 - w, 63).astype(np.uint64)).astype(np.int64), 0)
+                rest = np.where(whole, np.where(w > 0, signed(plain_bits, np.maximum(w, 1)), 0), rest)
+                after = np.where(whole, p + w, after)
+            position[on] = after
             guess = sum((taps[on, j] * x[i - 1 - j][on] for j in range(min(most, i))), np.int64(0))
-            x[i][on] = (z >> 1 ^ -(z & 1)) + (guess >> shift[at][on] if linear.any() else guess)
+            x[i][on] = rest + (guess >> shift[at][on] if linear.any() else guess)
         out[at] = x.T
         bit[at] = position
     end = (bit + 7) // 8
