@@ -136,7 +136,7 @@ def striped(texts: DataFrame, model: Model) -> np.ndarray:
         own, own_rank = m.head[top], m.rank[top]
         sums = np.zeros(total * WIDE)
         for batch in batches:
-            for _, _, data, offsets in segments(batch.column(0), 1 << 20):
+            for _, _, data, offsets in segments(batch.column(0), 1 << 21):
                 h, ending, owner = token_stream(data, offsets)
                 c = classes(h, ending, own, own_rank)
                 group, inner = c // WIDE, c % WIDE
@@ -144,8 +144,9 @@ def striped(texts: DataFrame, model: Model) -> np.ndarray:
                 always = (np.full(len(h), total - 1 - WIDE), total - WIDE + group)
                 if observe:
                     for level, target in ((0, group), (1, inner)):
-                        for r in [*rows, always]:
-                            sums += np.bincount(r[level] * WIDE + target, minlength=len(sums))
+                        low, high = (0, 1 << GROUP_BITS) if level == 0 else (1 << GROUP_BITS, (1 << GROUP_BITS) + (1 << CLASS_BITS))
+                        for r, low, high in [*((r, low, high) for r in rows), (always, total - 1 - WIDE, total)]:
+                            sums[low * WIDE : high * WIDE] += np.bincount((r[level] - low) * WIDE + target, minlength=(high - low) * WIDE)
                     continue
                 for level, p in enumerate(softmax_parts(m.weights, m.bias, rows, group)):
                     low, high = (0, 1 << GROUP_BITS) if level == 0 else (1 << GROUP_BITS, (1 << GROUP_BITS) + (1 << CLASS_BITS))
