@@ -1,12 +1,13 @@
 """A corpus pipeline over `documents`: toxicity, near duplicates, repeated passages, mixing and packing, one after the other.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame that is written as
-Parquet and read again as the next one's docs. All but the last return the columns of `documents`, so stages can be left out or
+Parquet, in the shared checkpoint folder, and read again as the next one's docs. All but the last return the columns of `documents`, so stages can be left out or
 run alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,10 +82,10 @@ ORACLE_SQL = None  # learnt scores, whole-suffix matches and hashed draws are be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each written to the shared checkpoint folder and read again by the next."""
+    """All stages on `documents`, each written as Parquet to the shared checkpoint folder and read again by the next."""
     docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = settle(docs)
-    return docs
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
