@@ -128,12 +128,19 @@ def short_id(*parts: Column | str) -> Column:
 
 
 def action_signals(x: Column | str) -> Column:
-    low = F.lower(text_or_empty(x))
-    return F.array_compact(F.array(*[F.when(low.rlike("(?i)" + p), F.lit(p)) for p in ACTION_PATTERNS]))
+    """The patterns that the text has, in their order. All phrases are looked for in one pass: none is part of another."""
+    phrases = [p.removeprefix(r"\b").removesuffix(r"\b") for p in ACTION_PATTERNS]
+    found = F.regexp_extract_all(F.lower(text_or_empty(x)), F.lit(r"\b(?:" + "|".join(phrases) + r")\b"), F.lit(0))
+    known = F.array(*[F.struct(F.lit(w).alias("said"), F.lit(p).alias("pattern")) for w, p in zip(phrases, ACTION_PATTERNS, strict=True)])
+    return F.transform(F.filter(known, lambda k: F.array_contains(found, k.said)), lambda k: k.pattern)
 
 
 def entities(x: Column | str) -> Column:
-    return F.flatten(F.array(*[F.regexp_extract_all(text_or_empty(x), F.lit("(?i)" + p), F.lit(0)) for p in ENTITY_PATTERNS]))
+    """All matches of each pattern, in their order. A pattern is only tried on texts that have a character it needs."""
+    text, none = text_or_empty(x), F.array().cast("array<string>")
+    needed = [F.contains(text, F.lit("@")), F.contains(text, F.lit("://")), text.rlike(r"\d"), text.rlike(r"\d"), F.contains(text, F.lit("%"))]
+    every = [F.when(has, F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0))).otherwise(none) for has, p in zip(needed, ENTITY_PATTERNS, strict=True)]
+    return F.flatten(F.array(*every))
 
 
 def any_of(x: Column | str, markers: list[str]) -> Column:

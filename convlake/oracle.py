@@ -72,7 +72,7 @@ PARTS = f"list_filter(list_transform(range(0, CAST(length({strip('text')}) AS BI
 TERMS = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: length(w) > 2))"
 SCORES = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 n AS (SELECT id, x, sqrt(list_dot_product(x, x)) AS l FROM v),
-s AS (SELECT a.id AS query_id, b.id AS id, round(CASE WHEN a.l * b.l > 0 THEN list_dot_product(a.x, b.x) / (a.l * b.l) ELSE 0 END, 6) AS score FROM n a, n b WHERE a.id % 50 = 0),
+s AS (SELECT a.id AS query_id, b.id AS id, round(CASE WHEN a.l * b.l > 0 THEN list_dot_product(a.x, b.x) / (a.l * b.l) ELSE 0 END, 6) AS score FROM n a, n b WHERE a.id % 20 = 0),
 top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s QUALIFY rank <= 8)"""
 
 ITEMS = ARTIFACTS + """, i AS (SELECT conversation_id, id, window_index,
@@ -178,7 +178,7 @@ near AS (SELECT query_id, job_id, CAST(unnest(range(greatest(chunk_index - 1, 0)
 par AS (SELECT query_id, job_id, chunk_index, 0.92::DOUBLE * max(score) AS score FROM near GROUP BY 1, 2, 3),
 allp AS (SELECT h.query_id, job_id, chunk_index, text, score, 0 AS is_parent FROM hits h JOIN parts USING (job_id, chunk_index) UNION ALL SELECT p.query_id, job_id, chunk_index, text, score, 1 FROM par p JOIN parts USING (job_id, chunk_index)),
 one AS (SELECT * FROM allp WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, job_id, chunk_index ORDER BY is_parent, score DESC) = 1),
-lex AS (SELECT one.*, len(list_intersect({TERMS.format('left(q.text, 200)')}, regexp_extract_all(lower(one.text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'))) AS lexical FROM one JOIN documents q ON q.doc_id = query_id)
+lex AS (SELECT one.*, len(list_intersect({TERMS.format('q.text')}, regexp_extract_all(lower(one.text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'))) AS lexical FROM one JOIN documents q ON q.doc_id = query_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.04::DOUBLE * lexical, 9) DESC, lexical DESC, job_id DESC, chunk_index) AS INTEGER) AS rank, job_id, chunk_index, is_parent,
   round(score, 6) AS score, CAST(lexical AS INTEGER) AS lexical FROM lex QUALIFY rank <= 24""",
     "routed_events": f"WITH {ENVELOPES} SELECT event_id, event_type, CASE event_type {' '.join(f'WHEN {q(a)} THEN {q(b)}' for a, b in ROUTES.items())} END AS stream, event_type <> 'unknown.type' AS accepted FROM e",

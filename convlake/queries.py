@@ -144,7 +144,7 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
 
 def memory_context(spark: SparkSession, d: str) -> DataFrame:
     a = src.artifacts(spark, d)
-    q = a.where("id % 25 = 0").select("conversation_id", F.col("id").alias("query_id"), F.concat_ws(" ", "title", "content").alias("text"), "topic")
+    q = a.where("id % 20 = 0").select("conversation_id", F.col("id").alias("query_id"), F.concat_ws(" ", "title", "content").alias("text"), "topic")
     return art.memory_context(q, a).select("conversation_id", "query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -174,20 +174,20 @@ def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def top_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     return retrieval.top_k(q, e).select("query_id", "rank", "id", "score")
 
 
 def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
     """Hits, their neighbours and the final ranking: vector vec_id stands for chunk vec_id % 3 of document vec_id."""
     e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     docs = src.table(spark, d, "documents")
     parts = docs.select(F.col("doc_id").alias("job_id"), F.posexplode(text.fixed_chunks("text")).alias("chunk_index", "text"))
     hits = retrieval.top_k(q, e).select("query_id", F.col("id").alias("job_id"), (F.col("id") % 3).cast("int").alias("chunk_index"), "score")
     hits_text = hits.join(parts, ["job_id", "chunk_index"])
     both = retrieval.merged(hits_text, retrieval.neighbours(hits, parts))
-    asked = docs.select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(200)).alias("question"))
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
     out = retrieval.ranked(both, asked)
     return out.select("query_id", "rank", "job_id", "chunk_index", "is_parent", F.round("score", 6).alias("score"), "lexical")
 
@@ -210,7 +210,7 @@ def searched_context(spark: SparkSession, d: str) -> DataFrame:
     sizes = chunks.select(F.col("doc_id").alias("id"), F.size("chunks").alias("n")).where("n > 0")
     hits = _searches(spark, d).join(sizes, "id").select("query_id", F.col("id").alias("job_id"), (F.col("id") % F.col("n")).cast("int").alias("chunk_index"), "score")
     both = retrieval.merged(hits.join(parts, ["job_id", "chunk_index"]), retrieval.neighbours(hits, parts))
-    out = retrieval.ranked(both, docs.select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(200)).alias("question")))
+    out = retrieval.ranked(both, docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")))
     return out.select("query_id", "rank", "job_id", "chunk_index", "is_parent", F.round("score", 6).alias("score"), "lexical")
 
 
