@@ -11,6 +11,7 @@ BLOCK = 192
 RATE = 44_100
 SEEK = 64  # frames between seek points
 ORDERS = 3  # fixed predictors 0 to 2 compete
+SLAB = 1 << 13  # frames that are coded or decoded at once
 LINEAR, PRECISION = 4, 7  # with a linear one: so many coefficients of so many bits
 
 
@@ -88,11 +89,30 @@ def linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """Each payload (a positive multiple of 192 bytes) as a FLAC stream; samples are the bytes less 128. All frames at once."""
+    """Each payload (a positive multiple of 192 bytes) as a FLAC stream; samples are the bytes less 128. SLAB frames at once, of
+    however many payloads, so that working memory doesn't follow the longest."""
     sizes = np.array([len(p) for p in payloads]) // BLOCK
-    x = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128).reshape(-1, BLOCK)
+    joined = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
+    number = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    made = [_encode_frames(joined[k : k + SLAB].astype(np.int32) - 128, number[k : k + SLAB]) for k in range(0, len(joined), SLAB)]
+    out, length = np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])
+    begin = np.cumsum(length) - length
+    streams, f = [], 0
+    for p, count in zip(payloads, sizes.tolist(), strict=True):
+        own, each = begin[f : f + count] - begin[f], length[f : f + count]
+        points = b"".join(struct.pack(">QQH", i * BLOCK, int(own[i]), BLOCK) for i in range(0, count, SEEK))
+        md5 = hashlib.md5((np.frombuffer(p, np.uint8) ^ np.uint8(0x80)).tobytes()).digest()  # noqa: S324  the format's own
+        info = struct.pack(">HH", BLOCK, BLOCK) + int(each.min()).to_bytes(3, "big") + int(each.max()).to_bytes(3, "big")
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
+        meta = b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points
+        streams.append(meta + out[begin[f] : begin[f] + own[-1] + each[-1]].tobytes())
+        f += count
+    return streams
+
+
+def _encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of frames of samples, one after the other, and each frame's length."""
     frames = len(x)
-    number = np.arange(frames) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     best = np.full(frames, 8 * BLOCK)  # as plain samples
     order, rice = np.full(frames, -1), np.zeros(frames, int)
     folded = []
@@ -170,17 +190,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[np.repeat(begin + 5 + n, body) + inner] = raw[np.repeat(4 * base, body) + inner]
     foot = crc16(out, begin, length - 2)
     out[begin + length - 2], out[begin + length - 1] = foot >> 8, foot & 0xFF
-    streams, f = [], 0
-    for p, count in zip(payloads, sizes.tolist(), strict=True):
-        own, each = begin[f : f + count] - begin[f], length[f : f + count]
-        points = b"".join(struct.pack(">QQH", i * BLOCK, int(own[i]), BLOCK) for i in range(0, count, SEEK))
-        md5 = hashlib.md5((np.frombuffer(p, np.uint8) ^ np.uint8(0x80)).tobytes()).digest()  # noqa: S324  the format's own
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(each.min()).to_bytes(3, "big") + int(each.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
-        meta = b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points
-        streams.append(meta + out[begin[f] : begin[f] + own[-1] + each[-1]].tobytes())
-        f += count
-    return streams
+    return out[: int(length.sum())], length
 
 
 class Damaged(ValueError):
@@ -339,16 +349,18 @@ def decode(streams: list[bytes]) -> list[bytes]:
         numbers.append(np.arange(count))
         counts.append(count)
     begin, number = np.concatenate(begins), np.concatenate(numbers)
-    samples, over = _decode_frames(joined, begin, number)
+    raw, over = bytearray(), np.empty_like(begin)
+    for k in range(0, len(begin), SLAB):
+        samples, over[k : k + SLAB] = _decode_frames(joined, begin[k : k + SLAB], number[k : k + SLAB])
+        raw += samples.astype(np.int8).tobytes()
     follows = np.r_[begin[1:], 0]
     last = np.cumsum(counts) - 1
     follows[last] = ends
     if (over != follows).any():
         raise Damaged("frames don't follow each other")
-    raw = samples.astype(np.int8).tobytes()
     out, f = [], 0
     for (info, _, _), count in zip(heads, counts, strict=True):
-        own = raw[f * BLOCK : (f + count) * BLOCK][: info["samples"]]
+        own = bytes(raw[f * BLOCK : (f + count) * BLOCK][: info["samples"]])
         if hashlib.md5(own).digest() != info["md5"]:  # noqa: S324
             raise Damaged("the samples' digest is wrong")
         out.append((np.frombuffer(own, np.uint8) ^ np.uint8(0x80)).tobytes())

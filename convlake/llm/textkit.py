@@ -24,13 +24,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD**i and its inverse modulo 2**64, for i < n."""
+    """ODD**i and its inverse modulo 2**64, for i < n. Kept for the next call, but no more than three segments' worth."""
+    if n > 3 * SEGMENT:
+        _powers.clear()
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", ODD), ("down", pow(ODD, -1, 1 << 64))):
             steps = np.full(n, U(base & (2**64 - 1)))
             steps[0] = 1
             _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    up, down = _powers["up"][:n], _powers["down"][:n]
+    if n > 3 * SEGMENT:
+        _powers.clear()
+    return up, down
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +80,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal where the bytes are equal after lower-casing A-Z."""
+    """64-bit hashes of byte spans in order, equal where the bytes are equal after lower-casing A-Z. Long data goes a stretch of spans at
+    a time, so that working memory follows SEGMENT (or the longest span), not the text."""
+    if len(data) > 2 * SEGMENT and len(begin) > 1:
+        out, i = np.empty(len(begin), np.uint64), 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + SEGMENT)))
+            low, high = int(begin[i]), int(end[i:j].max())
+            out[i:j] = _span_hashes(data[low:high], begin[i:j] - low, end[i:j] - low)
+            i = j
+        return out
+    return _span_hashes(data, begin, end)
+
+
+def _span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + U(1)) * up[:-1], out=run[1:])
