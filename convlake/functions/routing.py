@@ -73,3 +73,10 @@ def resolve_options(replies: DataFrame, options: DataFrame, keys: list[str], rep
     known = options.select(*keys, "index", "value", F.explode(F.array_distinct(F.array(*names))).alias("__say"))
     hit = asked.join(known, [*keys, "__say"]).groupBy(*keys, reply_id).agg(F.min_by("value", F.struct(F.startswith("__say", F.lit("=")), "index")).alias("option"))
     return replies.select(*keys, reply_id).join(hit, [*keys, reply_id], "left")
+
+
+def input_token_limit(provider: Column, per_minute: Column, answer: Column, other: Column) -> Column:
+    """Tokens that a request to a provider may have: of one with a limit a minute, what an answer (512 at least, half the limit at most)
+    and 500 more leave of it, but 1000 at least."""
+    kept = F.greatest(F.lit(512), F.least(answer, F.floor(per_minute / 2)))
+    return F.when(provider == "groq", F.greatest(F.lit(1000), per_minute - kept - 500)).otherwise(other)

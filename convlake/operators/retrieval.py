@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlake.functions.text import lexical_overlap
+from convlake.functions.repair import repair_text
+from convlake.functions.text import fixed_chunks, lexical_overlap, short_id, strip
 
 PARENT = 0.92
 LEXICAL = 0.04
@@ -75,3 +76,16 @@ def context(rows: DataFrame) -> DataFrame:
     """(query_id, context): the ranked passages under their numbers."""
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.trim("text"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x.line), "\n\n").alias("context"))
+
+
+def vector_points(transcripts: DataFrame, size: int = 900, overlap: int = 150) -> DataFrame:
+    """Points of a vector table (id, job_id, user_id, space_id, chunk_index, text, source) from transcripts (job_id, user_id, space_id,
+    text): the repaired text in fixed chunks. An id follows from job and index, so that merge.upsert replaces what came before; a
+    blank transcript gives none."""
+    parts = transcripts.select("job_id", strip("user_id").alias("user_id"), strip("space_id").alias("space_id"), F.posexplode(fixed_chunks(repair_text("text"), size, overlap)).alias("chunk_index", "text"))
+    return parts.select(short_id("job_id", "chunk_index").alias("id"), "job_id", "user_id", "space_id", "chunk_index", "text", F.lit("speech").alias("source"))
+
+
+def parents_first(contexts: DataFrame) -> DataFrame:
+    """Contexts by job and place: without a job first, without a place as if it were the first."""
+    return contexts.orderBy(F.coalesce("job_id", F.lit("")), F.coalesce("chunk_index", F.lit(0)))

@@ -31,6 +31,11 @@ def is_on(at: Column, day: Column) -> Column:
     return F.coalesce(F.to_date(at) == day, F.lit(False))
 
 
+def date_text(at: Column, text: Column) -> Column:
+    """A time's date, else the text, else that it isn't known."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.nullif(text, F.lit("")), F.lit("unknown date"))
+
+
 def due_display(resolved: Column, date: Column, text: Column) -> Column:
     return F.coalesce(F.date_format(resolved, "yyyy-MM-dd"), F.date_format(date, "yyyy-MM-dd"), F.nullif(F.trim(text), F.lit("")), F.lit("no due date"))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.functions import text
+from convlake.functions import routing, text
 from convlake.functions.text import ACTION_VERBS
 from convlake.operators import chunks as chunk_ops
-from convlake.operators import merge
-from convlake.oracle import ARTIFACTS, CHUNKS, ENVELOPES, among, jaccard, squash, tokens
+from convlake.operators import artifacts as art
+from convlake.operators import merge, retrieval
+from convlake.oracle import ARTIFACTS, CHUNKS, ENVELOPES, PARTS, among, jaccard, squash, tokens
 from convlake.plans import workspace
 from convlake.session_queries import NOW, SESSIONS, STALE, WINDOWS, at, sessions, windows
 from convlake.sources import tables as src
@@ -80,6 +81,27 @@ def workspace_reports(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def vector_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of all documents, put over older ones of every second document: none is there twice."""
+    t = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(" u1 ").alias("user_id"), F.lit("s").alias("space_id"), "text")
+    old = retrieval.vector_points(t.where("job_id % 2 = 0").withColumn("text", F.lit("old")))
+    both = merge.upsert(old.withColumn("at", F.lit(1)), retrieval.vector_points(t).withColumn("at", F.lit(2)), ["id"], ["at"])
+    return both.select("id", "job_id", "user_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("md5"), "at")
+
+
+def compact_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    a = src.artifacts(spark, d).withColumn("content", F.repeat("content", 20)).withColumn("windows", F.sequence(F.lit(1), (i % 12 + 1).cast("int"))).withColumn("due_text", F.when(i % 3 == 0, "")).withColumn("due_date", F.lit("2024-01-02"))
+    return art.compact(a).select("id", F.length("content").alias("length"), F.size("windows").alias("windows"), "due_text")
+
+
+def small_rules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    limit = routing.input_token_limit(F.when(k % 3 > 0, "groq").otherwise("other"), (k % 40 * 500).cast("long"), (k % 7 * 1000).cast("long"), F.lit(9000).cast("long"))
+    o = src.table(spark, d, "orders")
+    return o.select(k, limit.alias("token_limit"), workspace.date_text(F.when(k % 2 == 0, F.col("o_orderdate")), F.when(k % 5 > 0, F.when(k % 5 > 1, F.col("o_orderpriority")).otherwise(""))).alias("date_text"))
+
+
 def objects(x: str) -> str:
     return f"list_filter({tokens(x)}, lambda w: w NOT IN {among(ACTION_VERBS)})"
 
@@ -108,5 +130,13 @@ FROM orders WHERE o_orderdate + INTERVAL 45 DAY > TIMESTAMP '1996-03-01'""",
   UNION ALL SELECT 'notes', * FROM (SELECT * FROM o WHERE id % 2 = 0 ORDER BY placed DESC, id DESC LIMIT 15))
 SELECT report, id, CAST(placed AS DATE) = DATE '1998-08-01' AS today, id % 120 + 2 <= 100 AS may_continue FROM r""",
 }
-QUERIES = [content_rules, evidence_merges, window_rules, inactive_recordings, delivery_rules, snapshot_rules, workspace_reports]
+SQL |= {
+    "vector_points": f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS job_id, {PARTS} AS ps FROM documents), n AS (SELECT job_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS i, unnest(ps) AS t, 2 AS "at" FROM p),
+b AS (SELECT * FROM n UNION ALL SELECT job_id, 0, 'old', 1 FROM p WHERE CAST(job_id AS BIGINT) % 2 = 0 AND len(ps) = 0)
+SELECT left(sha1(job_id || ':' || i), 24) AS id, job_id, 'u1' AS user_id, i AS chunk_index, md5(t) AS md5, "at" FROM b""",
+    "compact_artifacts": f"WITH {ARTIFACTS} SELECT id, least(240, 20 * length(content)) AS length, least(8, id % 12 + 1) AS windows, '2024-01-02' AS due_text FROM a",
+    "small_rules": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN greatest(1000, o_orderkey % 40 * 500 - greatest(512, least(o_orderkey % 7 * 1000, o_orderkey % 40 * 500 // 2)) - 500) ELSE 9000 END AS token_limit,
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 5 > 1 THEN o_orderpriority ELSE 'unknown date' END AS date_text FROM orders""",
+}
+QUERIES = [vector_points, compact_artifacts, small_rules, content_rules, evidence_merges, window_rules, inactive_recordings, delivery_rules, snapshot_rules, workspace_reports]
 
