@@ -160,7 +160,8 @@ def mix_sizes(thin: DataFrame, key: str, block: int, shards: int, share: float,
     counts = counts.join(sources.select("source_key", "source"), "source_key").select(F.col("shard").cast("int").alias("shard"), "source", "blocks")
     uses = slots(draw, block, seed)
     parts = placed.where("size > 0").withColumn("index", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
-    cuts = parts.join(uses, ["source_key", "index"])
+    # few rows make many slots, which Spark's estimates don't see: without the hint it would broadcast them
+    cuts = parts.join(uses.hint("merge"), ["source_key", "index"])
     low, high = F.greatest(F.col("begin"), F.col("index") * block), F.least(F.col("begin") + F.col("size"), F.col("index") * block + F.col("length"))
     cuts = cuts.withColumn("first", low - F.col("begin")).withColumn("last", high - F.col("begin")).where("last > first")
     taken = cuts.groupBy("__row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
