@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convlake.llm.common import clear, settle
 from convlake.llm.textkit import U, mix, segments
@@ -114,8 +115,9 @@ def all_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return at[new], first[new], last[np.r_[new[1:], len(at)] - 1] if len(at) else new
 
 
-def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, keys, data): texts put together in rows of about BLOCK bytes, with their offsets, compressed."""
+def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
+    """(block, keys, data, rest): texts put together in rows of about BLOCK bytes, with their offsets, compressed; rest has the rows'
+    other columns, and whether the text is null, as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +126,15 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 own = keys.slice(low, high - low)
                 nulls = np.asarray(own.is_null())
                 blob = squeeze(offsets, np.asarray(data), nulls, level=3)
-                yield pa.RecordBatch.from_arrays([pa.array([own.fill_null(LAST).to_numpy().tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["keys", "data"])
-
-    out = docs.select(F.col(key).cast("long"), F.coalesce(text, F.lit(""))).mapInArrow(run, T.StructType.fromDDL("keys binary, data binary"))
+                sink = pa.BufferOutputStream()
+                if others:
+                    rows = batch.slice(low, high - low).select(range(2, batch.num_columns))
+                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (own.fill_null(LAST).to_numpy().tobytes(), blob, sink.getvalue().to_pybytes())], names=["keys", "data", "rest"])
+
+    rest = [F.col(c) for c in others] + [F.col(text).isNull().alias("__null")] * bool(others)
+    out = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(text, F.lit("")).alias("__text"), *rest).mapInArrow(run, T.StructType.fromDDL("keys binary, data binary, rest binary"))
     return out.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -485,6 +493,62 @@ def spans_of(block: Block, own: Suffixes, found: list[bytes]) -> tuple[np.ndarra
     return runs[0], runs[1]
 
 
+def exchanged(docs: DataFrame, key: str, text: str, length: int, crowded: int, others: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """The table of blocks, what each block has to know of the others (block, range, note), and the number of parts."""
+    if not K < length < 256:
+        raise ValueError(f"length must be {K + 1} to 255")
+    table = settle(blocks(docs, key, text, others))
+    n = table.count()
+    ranges = 16
+    while ranges * 8 < n:
+        ranges *= 2
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 2)
+    flags = settle(common_prints(print_rows(table, ranges, length), ranges, crowded))
+    found = merged(suffix_runs(table, flags, parts, length), length)
+    notes = flags.select("block", "range", F.col("flags").alias("note")).unionByName(found.select("block", F.lit(-1).alias("range"), F.col("found").alias("note")))
+    return table, notes, parts
+
+
+def kept_texts(block: Block, notes: pa.Table, parts: int, raw: bytes) -> Iterator[tuple[int, int, list[tuple[int, int]], bytes]]:
+    """Each text's first byte, byte after the last, removed runs, and what is left of it."""
+    pairs = list(zip(notes.column("range").to_pylist(), notes.column("note").to_pylist(), strict=True))
+    # sorted once more rather than stored: their positions are a large part of the runs
+    begin, end = spans_of(block, own_suffixes(block, [x for x in pairs if x[0] >= 0], parts), [b for r, b in pairs if r < 0])
+    low, high = np.searchsorted(begin, block.offsets[:-1]), np.searchsorted(begin, block.offsets[1:])
+    for i, (a, b) in enumerate(itertools.pairwise(block.offsets.tolist())):
+        cuts = list(zip(begin[low[i] : high[i]].tolist(), end[low[i] : high[i]].tolist(), strict=True))
+        pieces, last = [], a
+        for s, e in cuts:
+            pieces.append(raw[last:s])
+            last = e
+        yield a, b, cuts, b"".join([*pieces, raw[last:b]])
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, crowded: int = CROWDED, removed: str = "n_removed") -> DataFrame:
+    """The rows of docs with all their columns, the text without what remove_repeats takes and without what a cut leaves of a
+    character, and the number of bytes removed in a column `removed`, which replaces one of that name. The other columns go with
+    their block, so no row meets its text again in a join. Null texts stay null; repeated rows are rows each."""
+    docs = clear(docs, removed)
+    others = [c for c in docs.columns if c != text]
+    table, notes, parts = exchanged(docs, key, text, length, crowded, others)
+    schema = T.StructType([*docs.schema.fields, T.StructField(removed, T.LongType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, gone, rest = [], [], None
+        if left.num_rows:
+            block = Block(left.column("keys")[0].as_py(), left.column("data")[0].as_py(), length)
+            rest = pa.ipc.open_stream(left.column("rest")[0].as_py()).read_all()
+            for (a, b, cuts, kept), null in zip(kept_texts(block, right, parts, block.data.tobytes()), rest.column("__null").to_pylist(), strict=True):
+                texts.append(None if null else kept.decode("utf-8", "ignore") if cuts else kept.decode())
+                gone.append(b - a - len(kept))
+        made = {text: pa.array(texts, pa.string()), removed: pa.array(gone, pa.int64())}
+        if rest is None:
+            return to_arrow_schema(schema).empty_table()
+        return pa.table([made[c] if c in made else rest.column(c) for c in schema.names], names=schema.names)
+
+    return table.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(run, schema)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_kept: bool = True, crowded: int = CROWDED) -> DataFrame:
     """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, `spans` (array of begin, end), `kept`
     (binary), `kept_text` (without what a cut leaves of a character) and text_sha256 of the input.
@@ -495,19 +559,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     left out. A repeated passage in any number of documents is one suffix for each block of documents; a K-gram with very many
     different surroundings goes about by whole windows, which spread evenly, so no task gets a frequent one alone.
     """
-    if not K < length < 256:
-        raise ValueError(f"length must be {K + 1} to 255")
-    spark = docs.sparkSession
     docs = clear(docs, *(set(docs.columns) - {key, text}))
-    table = settle(blocks(docs, key, text))
-    n = table.count()
-    ranges = 16
-    while ranges * 8 < n:
-        ranges *= 2
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2)
-    flags = settle(common_prints(print_rows(table, ranges, length), ranges, crowded))
-    found = merged(suffix_runs(table, flags, parts, length), length)
-    notes = flags.select("block", "range", F.col("flags").alias("note")).unionByName(found.select("block", F.lit(-1).alias("range"), F.col("found").alias("note")))
+    table, notes, parts = exchanged(docs, key, text, length, crowded, [])
     kind = dict((f.name, f.dataType) for f in docs.schema.fields)[key]
     fields = [T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_kept:
@@ -518,18 +571,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         out: list[list] = [[] for _ in fields]
         if left.num_rows:
             block = Block(left.column("keys")[0].as_py(), left.column("data")[0].as_py(), length)
-            pairs = list(zip(right.column("range").to_pylist(), right.column("note").to_pylist(), strict=True))
-            # sorted once more rather than stored: their positions are a large part of the runs
-            begin, end = spans_of(block, own_suffixes(block, [x for x in pairs if x[0] >= 0], parts), [b for r, b in pairs if r < 0])
             raw = block.data.tobytes()
-            low, high = np.searchsorted(begin, block.offsets[:-1]), np.searchsorted(begin, block.offsets[1:])
-            for i, (key_, null, a, b) in enumerate(zip(block.keys.tolist(), block.nulls.tolist(), block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)):
-                cuts = list(zip(begin[low[i] : high[i]].tolist(), end[low[i] : high[i]].tolist(), strict=True))
-                pieces, last = [], a
-                for s, e in cuts:
-                    pieces.append(raw[last:s])
-                    last = e
-                kept = b"".join([*pieces, raw[last:b]])
+            for (a, b, cuts, kept), key_, null in zip(kept_texts(block, right, parts, raw), block.keys.tolist(), block.nulls.tolist(), strict=True):
                 values = [None if null else key_, b - a, b - a - len(kept), len(cuts), hashlib.sha256(kept).hexdigest()]
                 if with_kept:
                     values += [[{"begin": s - a, "end": e - a} for s, e in cuts], kept, kept.decode("utf-8", "ignore"), hashlib.sha256(raw[a:b]).hexdigest()]

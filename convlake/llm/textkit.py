@@ -12,7 +12,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-ODD, SEGMENT = 0x9E3779B97F4A7C15, 1 << 21
+ODD, SEGMENT = 0x9E3779B97F4A7C15, 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 

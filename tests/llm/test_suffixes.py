@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from convlake.llm.suffixes import merge, remove_repeats
+from convlake.llm.suffixes import merge, remove_repeats, without_repeats
 
 
 def brute(rows, length):
@@ -75,3 +75,17 @@ def test_merge():
         out = [next(heads[i]) for i in order]
         assert out == sorted(sum(lists, []))
         assert shared[1:] == list(map(common, out, out[1:]))
+
+
+def test_rows_keep_their_columns(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(k, t, i, None if i % 3 else [str(i)]) for i, (k, t) in enumerate(rows)], "doc_id long, text string, n_removed int, tags array<string>").repartition(6)
+    with_kept = remove_repeats(docs).collect()
+    want = sorted(((r.doc_id, r.text_sha256, r.kept_text, r.n_removed) for r in with_kept), key=str)
+    got = without_repeats(docs.withColumnRenamed("n_removed", "number"), removed="gone")
+    assert got.columns == ["doc_id", "text", "number", "tags", "gone"]
+    got = got.collect()
+    texts = {i: t for i, (_, t) in enumerate(rows)}
+    assert sorted(((r.doc_id, hashlib.sha256((texts[r.number] or "").encode()).hexdigest(), r.text or "", r.gone) for r in got), key=str) == want
+    assert all((r.text is None) == (texts[r.number] is None) and (r.tags is None) == (r.number % 3 > 0) for r in got)
+    assert without_repeats(docs.limit(0)).collect() == []
