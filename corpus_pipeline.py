@@ -18,7 +18,7 @@ from convlake.llm.common import clear, ready, settle
 from convlake.llm.mixing import mixed_documents
 from convlake.llm.neardup import near_duplicates
 from convlake.llm.packing import pack_documents
-from convlake.llm.suffixes import remove_repeats
+from convlake.llm.suffixes import without_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,11 +50,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows of one doc_id don't remove from each other.
     """
     ready(spark)
-    found = remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("text_sha256").alias("__sha"), F.col("kept_text").alias("__text")).dropDuplicates(["__doc", "__sha"])
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.sha2("text", 256) == F.col("__sha")), "left").withColumn("text", F.coalesce("__text", "text"))
+    out = without_repeats(docs, removed="__removed")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
