@@ -18,7 +18,7 @@ from convlake.llm.common import clear, settle, with_offsets
 from convlake.llm.textkit import segments
 
 CAPACITY = 2048
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000  # some 60 MB of a worker
 MARK = re.compile(rb"([a-z])([.,])(?![^ \t\n\r\x0b\f])")
 _tokenizers: dict[str, object] = {}
 _known: dict[str, dict[bytes, bytes]] = {}
