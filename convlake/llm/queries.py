@@ -98,6 +98,18 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_payloads(docs, keep_media=False)
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.spotsigs import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.whitening import whitening_report
+
+    return whitening_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_uniform_shards": op1_uniform_shards,
@@ -110,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mix_sources": op7_mix_sources,
         "op8_hyperminhash_neardup": op8_hyperminhash_neardup,
         "op10_flac_media": op10_flac_media,
+        "op11_spotsigs": op11_spotsigs,
+        "op13_tsqr_whitening": op13_tsqr_whitening,
     }
 
 
