@@ -104,6 +104,49 @@ def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from convlake.llm.divergence import divergence_audit
+
+    return divergence_audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM d
+), counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang) AS lang_total, s.v
+  FROM groups g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // (total + 2 * v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * CAST(lang_n + 2 AS HUGEINT)) // (lang_total + 2 * v) AS BIGINT) AS q
+  FROM cells
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from convlake.llm.whitening import whitening_report
 
@@ -123,9 +166,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperminhash_neardup": op8_hyperminhash_neardup,
         "op10_flac_media": op10_flac_media,
         "op11_spotsigs": op11_spotsigs,
+        "op12_source_divergence": op12_source_divergence,
         "op13_tsqr_whitening": op13_tsqr_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_voronoi_topk": OP5_SQL}
+    return {"op5_voronoi_topk": OP5_SQL, "op12_source_divergence": OP12_SQL}
