@@ -81,7 +81,7 @@ def _longs(values: list[int]) -> Column:
 
 
 def _parts(docs: DataFrame, rows_per_part: int, most: int) -> DataFrame:
-    """docs with __part and __cut: stretches of the order (__d falling, __h rising) of about rows_per_part rows, at most `most`.
+    """docs with __part: stretches of the order (__d falling, __h rising) of about rows_per_part rows, at most `most`.
 
     Parts are ranges of __d between percentiles; a __d with more rows than a part stands at the head of its part and is cut into
     ranges of __h. At 16384 parts the marks are 128 KB, and a corpus of 100 TB has parts of 6 GB that sort by spilling.
@@ -98,7 +98,8 @@ def _parts(docs: DataFrame, rows_per_part: int, most: int) -> DataFrame:
     cut = F.lit(LATER)
     for r in full:  # fewer than parts / 2
         cut = F.when(F.col("__d") == r["__d"], F.floor((F.col("__h") / float(1 << 64) + 0.5) * max(1, round(r.n * parts / n))).cast("int")).otherwise(cut)
-    return docs.withColumn("__part", part.cast("int")).withColumn("__cut", cut)
+    # one column: a constant cut beside the part would cost the window its partitioning, and a second shuffle of the texts
+    return docs.withColumn("__part", F.shiftleft(part.cast("long"), 31) + cut)
 
 
 def with_next(docs: DataFrame, key: str, text: str, derive: Callable[[Column], Column], rows_per_part: int = 256, most: int = 16_384) -> DataFrame:
@@ -107,22 +108,22 @@ def with_next(docs: DataFrame, key: str, text: str, derive: Callable[[Column], C
     A null key comes last; rows of one key follow a hash of their text. The rows are shuffled once, dealt by stretches of the order,
     and each looks at the next in its stretch; only the first row of each stretch crosses to the one before.
     """
-    own = clear(docs, "__d", "__h", "__part", "__cut", "__own", "__next_text", "__next_own")
+    own = clear(docs, "__d", "__h", "__part", "__own", "__next_text", "__next_own")
     d, h = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), F.xxhash64(text)
     placed = _parts(own.withColumn("__d", d).withColumn("__h", h), rows_per_part, most)
-    at, order = ["__part", "__cut"], [F.desc("__d"), F.asc("__h")]
-    heads = placed.groupBy(*at).agg(F.max(F.struct(F.col("__d"), F.bitwise_not("__h").alias("__u"))).alias("f"))
-    heads = settle(heads.select(*at, "f.__d", F.bitwise_not("f.__u").alias("__h")))
+    order = [F.desc("__d"), F.asc("__h")]
+    heads = placed.groupBy("__part").agg(F.max(F.struct(F.col("__d"), F.bitwise_not("__h").alias("__u"))).alias("f"))
+    heads = settle(heads.select("__part", "f.__d", F.bitwise_not("f.__u").alias("__h")))
     # the stretches in a ring, a narrow row each
     ends = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    back = F.coalesce(F.lag(F.struct(*at)).over(Window.orderBy(*order)), F.last(F.struct(*at)).over(ends))
+    back = F.coalesce(F.lag("__part").over(Window.orderBy(*order)), F.last("__part").over(ends))
     ring = heads.withColumn("__back", back)
-    edge = placed.select(*at, "__d", "__h", F.col(text).alias("__edge")).join(F.broadcast(ring), [*at, "__d", "__h"])
-    edge = edge.groupBy(F.col("__back.__part").alias("__part"), F.col("__back.__cut").alias("__cut")).agg(F.min("__edge").alias("__edge")).withColumn("__edge_own", derive(F.col("__edge")))
-    mine = placed.repartition(*at).withColumn("__own", derive(F.col(text)))
-    here = Window.partitionBy(*at).orderBy(*order)
+    edge = placed.select("__part", "__d", "__h", F.col(text).alias("__edge")).join(F.broadcast(ring), ["__part", "__d", "__h"])
+    edge = edge.groupBy(F.col("__back").alias("__part")).agg(F.min("__edge").alias("__edge")).withColumn("__edge_own", derive(F.col("__edge")))
+    mine = placed.repartition("__part").withColumn("__own", derive(F.col(text)))
+    here = Window.partitionBy("__part").orderBy(*order)
     ahead = lambda c: F.lead(c).over(here)
-    out = mine.withColumns({"__has": ahead(F.lit(True)), "__next_text": ahead(text), "__next_own": ahead("__own")}).join(edge, at, "left")
+    out = mine.withColumns({"__has": ahead(F.lit(True)), "__next_text": ahead(text), "__next_own": ahead("__own")}).join(edge, "__part", "left")
     pick = lambda c, e: F.when(F.col("__has"), F.col(c)).otherwise(F.col(e))
     out = out.withColumns({"__next_text": pick("__next_text", "__edge"), "__next_own": pick("__next_own", "__edge_own")})
     return out.select(*own.columns, "__own", "__next_text", "__next_own")
