@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,19 +28,25 @@ ACTIONABLE = ["will", "should", "need to", "needs to", "must", "tomorrow", "toda
 ANSWER_ENDS = ["source", "sources", "evidence", "context", "references", "retrieved context"]
 
 SPACE = r"(?U)\s+"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # what SPACE stands for
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row: what stands inside a lambda is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
 def strip(x: Column | str) -> Column:
     """Without white space at either end; null is empty."""
-    return F.regexp_replace(text_or_empty(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text_or_empty(x), F.lit(WHITE))
 
 
 def collapse(x: Column | str) -> Column:
@@ -84,10 +92,15 @@ def cut_overlap(x: Column | str, previous: Column | str, least: int = 8, most: i
 
 def fixed_chunks(x: Column | str, size: int = 900, overlap: int = 150) -> Column:
     """Chunks of `size` characters every size - overlap of the text without white space at its ends, each without white space at its
-    own; blank ones go before the rest are numbered by their place."""
-    text = strip(x)
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda s: strip(F.substr(text, s + 1, F.lit(size)))), lambda t: t != "")
+    own; blank ones go before the rest are numbered by their place.
+
+    One pass parts the text into steps, and a chunk is a step and the beginning of what follows, so time grows with the length.
+    """
+    step = size - overlap
+    reach = -(-size // step)
+    steps = F.regexp_extract_all(strip(x), F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    chunk = lambda s: lambda _, i: strip(F.left(F.array_join(F.slice(s, i + 1, reach), ""), F.lit(size)))
+    return F.filter(let(steps, lambda s: F.transform(s, chunk(s))), lambda t: t != "")
 
 
 # --- fingerprints
@@ -128,11 +141,11 @@ def short_id(*parts: Column | str) -> Column:
 
 
 def action_signals(x: Column | str) -> Column:
-    """The patterns that the text has, in their order. All phrases are looked for in one pass: none is part of another."""
+    """The patterns that the text has, in their order. All phrases are looked for in one pass, as none is part of another."""
     phrases = [p.removeprefix(r"\b").removesuffix(r"\b") for p in ACTION_PATTERNS]
-    found = F.regexp_extract_all(F.lower(text_or_empty(x)), F.lit(r"\b(?:" + "|".join(phrases) + r")\b"), F.lit(0))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(x)), F.lit(r"\b(?:" + "|".join(phrases) + r")\b"), F.lit(0)))
     known = F.array(*[F.struct(F.lit(w).alias("said"), F.lit(p).alias("pattern")) for w, p in zip(phrases, ACTION_PATTERNS, strict=True)])
-    return F.transform(F.filter(known, lambda k: F.array_contains(found, k.said)), lambda k: k.pattern)
+    return let(found, lambda f: F.transform(F.filter(known, lambda k: F.array_contains(f, k.said)), lambda k: k.pattern))
 
 
 def entities(x: Column | str) -> Column:
@@ -145,11 +158,14 @@ def entities(x: Column | str) -> Column:
 
 def any_of(x: Column | str, markers: list[str]) -> Column:
     """Does the lower-cased text contain any of the markers?"""
-    low = F.lower(text_or_empty(x))
-    found = F.lit(False)
-    for m in markers:
-        found = found | F.contains(low, F.lit(m))
-    return found
+
+    def holds(low: Column) -> Column:
+        found = F.lit(False)
+        for m in markers:
+            found = found | F.contains(low, F.lit(m))
+        return found
+
+    return let(F.lower(text_or_empty(x)), holds)
 
 
 def looks_actionable(x: Column | str) -> Column:
