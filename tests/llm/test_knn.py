@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 from convlake.llm import knn
 
@@ -48,7 +49,26 @@ def test_small_tables(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 64 - 32), (0, 2, 1, 64 * 64 - 32)]  # every row is a candidate
 
 
-def test_too_long_vectors(spark):
-    rows = [(0, [1.0, 0.5]), (1, [1e300, 0.0]), (2, [float(1 << 24), 0.0]), (3, [2.0, 1.0]), (20, [-1e18, 0.0])]
-    got = knn.top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert [tuple(r) for r in got] == [(0, 1, 2, 64 << 30), (0, 2, 3, 64 * 128 + 32 * 64)]
+def best(rows, k=20):
+    good = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in good:
+        if q % 20 == 0:
+            scores = ((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(x for x in scores if -(1 << 63) < x[0] <= 1 << 63)[:k], 1)]
+    return sorted(out)
+
+
+def test_long_vectors_take_part(spark):
+    kind = "vec_id long, embedding array<double>"
+    some = [(0, [1.0, 0.5]), (1, [1e8, 0.0]), (2, [1.0, 1.0]), (3, [0.25, 0.0])]
+    got = sorted(map(tuple, knn.top_inner(spark.createDataFrame(some, kind)).collect()))
+    assert got == best(some) and got[0] == (0, 1, 1, 64 * 6_400_000_000)
+    r = random.Random(12)
+    size = lambda: r.choice((1.0, 1.0, 1e4, 1e8, 1e9, 2e10, 1e18, 1e200, 1.7e308))
+    rows = [(i, [r.gauss(0, 1) * size() if r.random() < 0.5 else float(r.randint(-3, 3)) for _ in range(4)]) for i in range(300)]
+    rows = [(i, [min(max(x, -1.7e308), 1.7e308) for x in v]) for i, v in rows] + [(400, [0.0, 0.0, 0.0, 1.0]), (401, [1.7e308, -1.7e308, 0.0, 0.0]), (420, [1.0, 1.0, 0.0, 0.0])]
+    got = sorted(map(tuple, knn.top_inner(spark.createDataFrame(rows, kind), tile=32).collect()))
+    assert got == best(rows)
+    wide = [(i, [1e8 * r.gauss(0, 1) for _ in range(16)]) for i in range(500)]  # scores from 62 bits on
+    assert sorted(map(tuple, knn.top_inner(spark.createDataFrame(wide, kind)).collect())) == best(wide)
