@@ -17,7 +17,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
 SLOTS = 4096  # slots that one row stands for before they are made
 ROUNDS = 8  # of the Feistel network
-DEALT = ["source_key", "epoch", "shard", "first", "slots", "blocks", "last", "words", "source_size"]
+DEALT = ["source_key", "shard", "first", "room", "slots", "cut", "blocks", "source_size"]
 
 
 def targets(sources: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -69,82 +69,121 @@ def stream_key(seed: int, source: int, epoch: int) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed} {source} {epoch}".encode()).digest()[:8])
 
 
-def dealt(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """The draw: (source_key, epoch, shard, first, slots, blocks, last, words, source_size), one row per source, pass and shard.
+def drawn(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Counts by source and shard: each shard has its share of all slots, and fills them by one multinomial draw over the sources, each as
+    likely as it has slots."""
+    total = int(slots.sum())
+    out = np.zeros((len(slots), shards), np.int64)
+    for h in range(shards if total else 0):
+        out[:, h] = np.random.default_rng((seed, h)).multinomial(total // shards + (h < total % shards), slots / total)
+    return out
 
-    A source's target fixes how many slots it has in a pass; the counts by shard are one multinomial draw of that many, each shard
-    as likely, from a generator keyed by the seed, the source and the pass. Slots are numbered through the shards by their running
-    sums: shard h has slots first .. first + slots - 1. `last` is the slot of the short last block, `words` what the pass takes.
+
+def corrected(counts: np.ndarray, room: np.ndarray, want: int) -> np.ndarray:
+    """One source's counts, none above its shard's room, with the least change that brings their sum to `want`: what is lacking or too
+    much is spread evenly over the shards that can give or take."""
+    counts = np.minimum(counts, room)
+    while left := want - int(counts.sum()):
+        free = room - counts if left > 0 else counts
+        at = np.flatnonzero(free)
+        if not len(at):
+            break
+        give = np.minimum(free[at], max(1, abs(left) // len(at)))
+        at, give = (at, give) if give.sum() <= abs(left) else (at[: abs(left)], give[: abs(left)])
+        counts[at] += np.sign(left) * give
+    return counts
+
+
+def places(k: np.ndarray, first: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pass and place of a shard's k-th slots: it goes through its stretch of places once, and then again in the next pass."""
+    return k // room, first + k % room
+
+
+def dealt(sources: DataFrame, block: int, shards: int, seed: int, draw_seed: int | None = None) -> DataFrame:
+    """The draw: (source_key, shard, first, room, slots, cut, blocks, source_size), one row per source and shard.
+
+    A source's blocks have as many places in a pass; a shard owns a stretch of `room` of them from `first` on, in both passes. How
+    many slots a shard takes from each source is drawn; in the last step the counts are corrected to the source's target, and
+    `cut` words are left out of the last slot of one shard, so that targets are met to the word. The draw is made over the summary, a row a source.
     """
+    draw_seed = seed if draw_seed is None else draw_seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for source, size, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks = -(-size // block)
-                for epoch in (0, 1):
-                    words = min(size, wanted - epoch * size)
-                    if words <= 0:
-                        continue
-                    key = stream_key(seed, source, epoch)
-                    last = int(permutation(blocks, key, inverse=True)(np.array([blocks - 1]))[0])
-                    n = -(-words // block)
-                    if last < n:  # the short block is among them
-                        n = -(-(words + blocks * block - size) // block)
-                    counts = np.random.default_rng(key).multinomial(n, np.full(shards, 1 / shards))
-                    first = np.cumsum(counts) - counts
-                    rows += [(source, epoch, h, int(first[h]), int(counts[h]), blocks, last, words, size) for h in range(shards)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(9)], names=DEALT)
+        table = np.concatenate([np.column_stack([c.to_numpy() for c in batch.columns]) for batch in batches] or [np.zeros((0, 3), np.int64)])
+        table = table[np.argsort(table[:, 0])]
+        want = -(-table[:, 2] // block)
+        for (source, size, wanted), counts in zip(table.tolist(), drawn(want, shards, draw_seed), strict=True):
+            blocks = -(-size // block)
+            edge = np.arange(shards + 1) * blocks // shards
+            first, room = edge[:-1], np.diff(edge)
+            lacks = blocks * block - size
+            # the place of the short block in each pass, and the shard and slot that take it
+            short = [int(permutation(blocks, stream_key(seed, source, epoch), inverse=True)(np.array([blocks - 1]))[0]) for epoch in (0, 1)]
+            holder = [(h := int(np.searchsorted(edge, p, "right")) - 1, e * int(room[h]) + p - int(first[h])) for e, p in enumerate(short)]
+            words = lambda c: int(c.sum()) * block - lacks * sum(int(c[h]) > k for h, k in holder)  # noqa: B023, E731
+            slots = -(-wanted // block)
+            counts = corrected(counts, 2 * room, slots)
+            while words(counts) < wanted:  # short blocks are among them
+                slots += -(-(wanted - words(counts)) // block)
+                counts = corrected(counts, 2 * room, slots)
+            cut = np.zeros(shards, np.int64)
+            while over := words(counts) - wanted:
+                h = int(np.flatnonzero(counts)[-1])
+                length = block - (lacks if (h, int(counts[h]) - 1) in holder else 0)
+                if over < length:
+                    cut[h] = over
+                    break
+                counts[h] -= 1
+            same = np.ones(shards, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (source * same, np.arange(shards), first, room, counts, cut, blocks * same, size * same)], names=DEALT)
 
     s = sources.where("source_size > 0 and target > 0").select("source_key", "source_size", F.least(F.round("target").cast("long"), 2 * F.col("source_size")).alias("wanted"))
-    return s.mapInArrow(run, ", ".join(f"{n} long" for n in DEALT))
+    return s.where("wanted > 0").repartition(1).mapInArrow(run, ", ".join(f"{n} long" for n in DEALT))
 
 
 def slots(draw: DataFrame, block: int, seed: int) -> DataFrame:
-    """(source_key, epoch, place, index, length, shard): one row per slot of the draw.
-
-    The slot at a place takes the block at that place of the pass's permutation, whole, but for the last slot, which is cut where
-    the pass's words are reached.
-    """
+    """(source_key, epoch, place, index, length, shard): one row per slot of the draw. The slot at a place takes the block at that
+    place of the pass's permutation."""
     chunk = F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS})"))
-    rows = draw.where("slots > 0").withColumn("chunk", chunk).repartition("source_key", "epoch", "shard", "chunk")
-    rows = rows.select(*DEALT, (F.col("first") + F.col("chunk") * SLOTS).alias("low"), (F.col("first") + F.least("slots", (F.col("chunk") + 1) * SLOTS)).alias("high"))
+    rows = draw.where("slots > 0").withColumn("chunk", chunk).repartition("source_key", "shard", "chunk").select(*DEALT, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, epoch, shard, _, _, blocks, last, words, size, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place = np.arange(low, high)
-                lacks = blocks * block - size
-                before = place * block - np.where(place > last, lacks, 0)
-                length = np.minimum(block - np.where(place == last, lacks, 0), words - before)
-                same = lambda v: pa.array(np.full(len(place), v, np.int64))  # noqa: E731, B023
-                index = permutation(blocks, stream_key(seed, source, epoch))(place)
-                yield pa.RecordBatch.from_arrays([same(source), same(epoch), pa.array(place), pa.array(index), pa.array(length), same(shard).cast(pa.int32())], names=["source_key", "epoch", "place", "index", "length", "shard"])
+            for source, shard, first, room, many, cut, blocks, size, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = np.arange(chunk * SLOTS, min(many, (chunk + 1) * SLOTS))
+                epochs, place = places(k, first, room)
+                for epoch in np.unique(epochs).tolist():
+                    on = epochs == epoch
+                    index = permutation(blocks, stream_key(seed, source, epoch))(place[on])
+                    length = np.where(index == blocks - 1, size - (blocks - 1) * block, block) - np.where(k[on] == many - 1, cut, 0)
+                    same = lambda v: pa.array(np.full(int(on.sum()), v, np.int64))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([same(source), same(epoch), pa.array(place[on]), pa.array(index), pa.array(length), same(shard).cast(pa.int32())], names=["source_key", "epoch", "place", "index", "length", "shard"])
 
     return rows.mapInArrow(run, "source_key long, epoch long, place long, index long, length long, shard int")
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shards: int = 16, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, key: str = "doc_id", block: int = 64, shards: int = 16, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 7, draw_seed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mix the documents' words to target weights. Returns (documents, cuts, shard counts).
 
     documents: key, source, size, source_size, target, taken. cuts: key, source, epoch, first and last word (from 0, last
     exclusive) of each run of words that the mix takes, block index, output shard and slot; their lengths add up to `taken`.
-    shard counts: shard, source, blocks: the multinomial counts.
+    shard counts: shard, source, blocks: how many blocks each shard takes of each source.
 
-    A source's words stand in one row in a hashed order of its documents and are cut into blocks. Its number of slots follows
-    from its target; how many of them each output shard has is a multinomial draw, and slots, numbered through the shards, map to
-    blocks through pseudorandom permutations, one per pass over the source, which the join by index follows. The last slot of a pass
-    is cut where its words are reached, so sources meet targets to the word and no document exceeds twice its size.
+    A source's words stand in one row in a hashed order of its documents and are cut into blocks. Each output shard draws how many
+    slots it fills from each source (multinomial by target) and takes so many from its own stretch of the source's pseudorandom
+    permutation, one per pass, which the join by index follows; so the draw (draw_seed; else seed) decides which blocks are taken. In the last
+    step a source's counts are corrected to its target, and one slot is cut, so that sources meet targets to the word; a shard
+    goes through its stretch twice at most, so no document exceeds twice its size.
 
     Null texts and texts without words have size 0 and take part in nothing; a null source is a source of its own; repeated
     rows are separate documents; an empty table gives empty results. A source of any size is spread by block.
     """
     words = word_count(F.col("text")).alias("size")
     thin = settle(docs.select(F.col(key), F.col("source"), words, F.monotonically_increasing_id().alias("__row")))
-    return mix_sizes(thin, key, block, shards, share, limit, weights, seed)
+    return mix_sizes(thin, key, block, shards, share, limit, weights, seed, draw_seed)
 
 
-def mix_sizes(thin: DataFrame, key: str, block: int, shards: int, share: float, limit: float, weights: tuple[float, ...], seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sizes(thin: DataFrame, key: str, block: int, shards: int, share: float, limit: float, weights: tuple[float, ...], seed: int, draw_seed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.orderBy(F.col("source").asc_nulls_last())
     sources = thin.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("source_rank", F.row_number().over(order) - 1)
     sources = sources.withColumn("source_key", F.col("source_rank").cast("long"))
@@ -155,7 +194,7 @@ def mix_sizes(thin: DataFrame, key: str, block: int, shards: int, share: float,
     own = F.broadcast(own) if few else own
     named = thin.join(own, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     placed = settle(with_offsets(settle(named), ["source_key"], [key, "__row"], "size", "begin"))
-    draw = settle(dealt(sources, block, shards, seed))
+    draw = settle(dealt(sources, block, shards, seed, draw_seed))
     counts = draw.groupBy("shard", "source_key").agg(F.sum("slots").alias("blocks")).where("blocks > 0")
     counts = counts.join(sources.select("source_key", "source"), "source_key").select(F.col("shard").cast("int").alias("shard"), "source", "blocks")
     uses = slots(draw, block, seed)
