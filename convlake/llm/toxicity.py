@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlake.llm.common import clear, ready
+from convlake.llm.common import clear, ready, settle
 from convlake.llm.textkit import LOWER, U, mix, powers, segments, words
 
 BITS = 20
@@ -235,15 +235,19 @@ def summary(p: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rounds: int = ROUNDS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from labels (key, toxic) on docs. At most `sample` documents of either class, none over `sample_bytes` bytes, come to
-    the driver: those with the least hashed keys. Both classes' rows are counted in full, and the drawn ones weighted to their shares."""
+    """A model from labels (key, toxic) on docs. At most `sample` different texts of either class, none over `sample_bytes` bytes, come to
+    the driver: those with the least hashed keys, however many rows a key or a text has. Both classes' rows are counted in full, and
+    the drawn ones weighted to their shares. Null texts, null labels and labels without a document are left out; without any row of a
+    class, or any row at all, the model knows no other."""
     known = labels.where("toxic is not null").groupBy(key).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    rows = docs.select(key, "text").where(F.octet_length("text") <= sample_bytes).join(known, key)
-    narrow = rows.select(key, "toxic", F.xxhash64(F.lit(3), key).alias("h"))
-    picked = [narrow.where(f"toxic = {y}").orderBy("h", key).limit(sample) for y in (0, 1)]
-    totals = {r["toxic"]: r["count"] for r in narrow.groupBy("toxic").count().collect()}
-    chosen = F.broadcast(picked[0].unionByName(picked[1]).select(key, "toxic").distinct())
-    got = docs.select(key, "text").where(F.octet_length("text") <= sample_bytes).join(chosen, key).select(key, "text", "toxic").toPandas().sort_values([key, "text"])
+    short = docs.select(key, "text", F.xxhash64("text").alias("of")).where(F.octet_length("text") <= sample_bytes)
+    # a narrow row for each labelled text, with its number of rows
+    narrow = settle(short.select(key, "of").join(known, key).groupBy(key, "of", "toxic").agg(F.count("*").alias("n")))
+    order = [F.xxhash64(F.lit(3), key), key, "of"]
+    picked = [narrow.where(f"toxic = {y}").orderBy(*order).limit(sample) for y in (0, 1)]
+    totals = {r.toxic: r.n for r in narrow.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    chosen = F.broadcast(picked[0].unionByName(picked[1]).select(key, "of", "toxic"))
+    got = short.join(chosen, [key, "of"]).groupBy(key, "of").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).toPandas().sort_values([key, "text"])
     return fit(got["text"].tolist(), [bool(y) for y in got["toxic"]], rounds, totals)
 
 
