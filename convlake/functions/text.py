@@ -176,7 +176,8 @@ def looks_actionable(x: Column | str) -> Column:
 
 
 def resolver_text(x: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text_or_empty(x)), r"[^a-z0-9\s]+", " "), r"\s+", " "))
+    folded = F.replace(F.lower(text_or_empty(x)), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^a-z0-9\s]+", " "), r"\s+", " "))
 
 
 def resolver_words(x: Column | str) -> Column:
