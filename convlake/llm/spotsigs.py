@@ -80,17 +80,18 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values]).cast("array<bigint>")
 
 
-def _parts(docs: DataFrame, rows_per_part: int, most: int) -> DataFrame:
-    """docs with __part: stretches of the order (__d falling, __h rising) of about rows_per_part rows, at most `most`.
+def _parts(narrow: DataFrame, rows_per_part: int, most: int) -> Callable[[DataFrame], DataFrame]:
+    """What adds __part to rows with __d and __h: stretches of the order (__d falling, __h rising) of about rows_per_part rows, at most `most`.
 
     Parts are ranges of __d between percentiles; a __d with more rows than a part stands at the head of its part and is cut into
-    ranges of __h. At 16384 parts the marks are 128 KB, and a corpus of 100 TB has parts of 6 GB that sort by spilling.
+    ranges of __h. At 16384 parts the marks are 128 KB, and a corpus of 100 TB has parts of 6 GB that sort by spilling. narrow has
+    the same __d, and is read three times.
     """
-    n, low, high = docs.agg(F.count("*"), F.min("__d"), F.max("__d")).first()
+    n, low, high = narrow.agg(F.count("*"), F.min("__d"), F.max("__d")).first()
     parts = max(2, min(most, n // rows_per_part))
-    marks = docs.agg(F.percentile_approx("__d", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if n else [0]
+    marks = narrow.agg(F.percentile_approx("__d", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if n else [0]
     marks = sorted({*marks, low, high} if n else {0}, reverse=True)
-    full = docs.where(F.col("__d").isin(marks)).groupBy("__d").agg(F.count("*").alias("n")).where(F.col("n") > 2 * n / parts).collect()
+    full = narrow.where(F.col("__d").isin(marks)).groupBy("__d").agg(F.count("*").alias("n")).where(F.col("n") > 2 * n / parts).collect()
     step = math.isqrt(len(marks))
     reach = lambda values: F.size(F.filter(values, lambda b: b >= F.col("__d")))
     fine = F.array(*[_longs(marks[i : i + step]) for i in range(0, len(marks), step)])
@@ -99,26 +100,29 @@ def _parts(docs: DataFrame, rows_per_part: int, most: int) -> DataFrame:
     for r in full:  # fewer than parts / 2
         cut = F.when(F.col("__d") == r["__d"], F.floor((F.col("__h") / float(1 << 64) + 0.5) * max(1, round(r.n * parts / n))).cast("int")).otherwise(cut)
     # one column: a constant cut beside the part would cost the window its partitioning, and a second shuffle of the texts
-    return docs.withColumn("__part", F.shiftleft(part.cast("long"), 31) + cut)
+    return lambda rows: rows.withColumn("__part", F.shiftleft(part.cast("long"), 31) + cut)
 
 
 def with_next(docs: DataFrame, key: str, text: str, derive: Callable[[Column], Column], rows_per_part: int = 256, most: int = 16_384) -> DataFrame:
     """docs with __own = derive(text), and __next_text and __next_own: those of the next row by falling key, the first after the last.
 
     A null key comes last; rows of one key follow a hash of their text. The rows are shuffled once, dealt by stretches of the order,
-    and each looks at the next in its stretch; only the first row of each stretch crosses to the one before.
+    and each looks at the next in its stretch; only the first row of each stretch crosses to the one before. Where stretches
+    begin follows from keys and hashes, which are written once.
     """
     own = clear(docs, "__d", "__h", "__part", "__own", "__next_text", "__next_own")
     d, h = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), F.xxhash64(text)
-    placed = _parts(own.withColumn("__d", d).withColumn("__h", h), rows_per_part, most)
-    order = [F.desc("__d"), F.asc("__h")]
-    heads = placed.groupBy("__part").agg(F.max(F.struct(F.col("__d"), F.bitwise_not("__h").alias("__u"))).alias("f"))
+    own = own.withColumn("__d", d).withColumn("__h", h)
+    narrow = settle(own.select("__d", "__h"))
+    dealt = _parts(narrow, rows_per_part, most)
+    placed, order = dealt(own), [F.desc("__d"), F.asc("__h")]
+    heads = dealt(narrow).groupBy("__part").agg(F.max(F.struct(F.col("__d"), F.bitwise_not("__h").alias("__u"))).alias("f"))
     heads = settle(heads.select("__part", "f.__d", F.bitwise_not("f.__u").alias("__h")))
     # the stretches in a ring, a narrow row each
     ends = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     back = F.coalesce(F.lag("__part").over(Window.orderBy(*order)), F.last("__part").over(ends))
-    ring = heads.withColumn("__back", back)
-    edge = placed.select("__part", "__d", "__h", F.col(text).alias("__edge")).join(F.broadcast(ring), ["__part", "__d", "__h"])
+    ring = heads.withColumn("__back", back).drop("__part")
+    edge = own.select("__d", "__h", F.col(text).alias("__edge")).join(F.broadcast(ring), ["__d", "__h"])
     edge = edge.groupBy(F.col("__back").alias("__part")).agg(F.min("__edge").alias("__edge")).withColumn("__edge_own", derive(F.col("__edge")))
     mine = placed.repartition("__part").withColumn("__own", derive(F.col(text)))
     here = Window.partitionBy("__part").orderBy(*order)
@@ -126,7 +130,7 @@ def with_next(docs: DataFrame, key: str, text: str, derive: Callable[[Column], C
     out = mine.withColumns({"__has": ahead(F.lit(True)), "__next_text": ahead(text), "__next_own": ahead("__own")}).join(edge, "__part", "left")
     pick = lambda c, e: F.when(F.col("__has"), F.col(c)).otherwise(F.col(e))
     out = out.withColumns({"__next_text": pick("__next_text", "__edge"), "__next_own": pick("__next_own", "__edge_own")})
-    return out.select(*own.columns, "__own", "__next_text", "__next_own")
+    return out.drop("__d", "__h", "__part", "__has", "__edge", "__edge_own")
 
 
 def fingerprint_report(docs: DataFrame, key: str = "doc_id", text: str = "text", anchors: list[str] = ANCHORS, chain: int = 2) -> DataFrame:

@@ -74,7 +74,7 @@ def test_rows_of_one_key_and_small_tables(spark):
     hashes = {hashlib.sha256(e.encode()).hexdigest() for e in edited}
     assert sum(x.edited_sha256 not in hashes for x in inside) <= 1  # all but the last are followed by a row of their key
     keyed = make(rows).selectExpr("coalesce(doc_id, -1) as __d", "xxhash64(text) as __h")
-    sizes = sorted(x["count"] for x in _parts(keyed, 64, 4096).groupBy("__part").count().collect())
+    sizes = sorted(x["count"] for x in _parts(keyed, 64, 4096)(keyed).groupBy("__part").count().collect())
     assert sizes[-2] < 200  # but for the equal rows, no stretch has many
 
 
