@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,25 @@ def ready(spark: SparkSession) -> SparkSession:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return spark
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file or folder, in whatever store Spark reads the path from?"""
+    store, at = _path(spark, path)
+    return store.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file that this package wrote."""
+    store, at = _path(spark, path)
+    store.delete(at, True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the checkpoint folder, which the driver and all executors share."""
+    return f"{ready(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
