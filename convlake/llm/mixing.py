@@ -16,6 +16,7 @@ from convlake.llm.textkit import U, mix
 WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
 SLOTS = 4096  # slots that one row stands for before they are made
+PART_SLOTS = 1 << 20  # slots that one task makes
 ROUNDS = 8  # of the Feistel network
 DEALT = ["source_key", "shard", "first", "room", "slots", "cut", "blocks", "source_size"]
 
@@ -145,7 +146,10 @@ def slots(draw: DataFrame, block: int, seed: int) -> DataFrame:
     """(source_key, epoch, place, index, length, shard): one row per slot of the draw. The slot at a place takes the block at that
     place of the pass's permutation."""
     chunk = F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS})"))
-    rows = draw.where("slots > 0").withColumn("chunk", chunk).repartition("source_key", "shard", "chunk").select(*DEALT, "chunk")
+    # a number of partitions, as few small rows make many slots, which would else be put together in one task
+    many = draw.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    parts = max(int(draw.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // PART_SLOTS)
+    rows = draw.where("slots > 0").withColumn("chunk", chunk).repartition(parts, "source_key", "shard", "chunk").select(*DEALT, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

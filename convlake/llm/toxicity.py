@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convlake.llm.common import clear, ready, settle
 from convlake.llm.textkit import LOWER, U, mix, powers, segments, words
@@ -234,11 +235,9 @@ def summary(p: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, n
     return np.log(top / (1 - top)), np.log1p(np.bincount(owner, p, texts))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rounds: int = ROUNDS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from labels (key, toxic) on docs. At most `sample` different texts of either class, none over `sample_bytes` bytes, come to
-    the driver: those with the least hashed keys, however many rows a key or a text has. Both classes' rows are counted in full, and
-    the drawn ones weighted to their shares. Null texts, null labels and labels without a document are left out; without any row of a
-    class, or any row at all, the model knows no other."""
+def drawn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """(key, of, text, toxic) of at most `sample` different texts of either class, none over `sample_bytes` bytes: those with the least
+    hashed keys, however many rows a key or a text has; and the number of rows of each class that they were drawn from."""
     known = labels.where("toxic is not null").groupBy(key).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     short = docs.select(key, "text", F.xxhash64("text").alias("of")).where(F.octet_length("text") <= sample_bytes)
     # a narrow row for each labelled text, with its number of rows
@@ -247,8 +246,27 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rounds: int =
     picked = [narrow.where(f"toxic = {y}").orderBy(*order).limit(sample) for y in (0, 1)]
     totals = {r.toxic: r.n for r in narrow.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     chosen = F.broadcast(picked[0].unionByName(picked[1]).select(key, "of", "toxic"))
-    got = short.join(chosen, [key, "of"]).groupBy(key, "of").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).toPandas().sort_values([key, "text"])
-    return fit(got["text"].tolist(), [bool(y) for y in got["toxic"]], rounds, totals)
+    return short.join(chosen, [key, "of"]).groupBy(key, "of").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), totals
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rounds: int = ROUNDS, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from labels (key, toxic) on docs, fitted by one task on the texts that are drawn, weighted to their classes' shares;
+    only the model comes to the driver. Null texts, null labels and labels without a document are left out; without any row of
+    a class, or any row at all, the model knows no other."""
+    got, totals = drawn(docs, labels, key, sample, sample_bytes)
+    schema = to_arrow_schema(got.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema=schema).sort_by([(key, "ascending"), ("text", "ascending")])
+        texts, toxic = rows.column("text").to_pylist(), [bool(y) for y in rows.column("toxic").to_pylist()]
+        del rows
+        m = fit(texts, toxic, rounds, totals)
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, float).tobytes()], pa.binary()) for x in (m.weights, m.step, m.start, m.fit)], names=["weights", "step", "start", "fit"])
+
+    m = got.repartition(1).mapInArrow(run, "weights binary, step binary, start binary, fit binary").first()
+    if m is None:  # no row, no task
+        return fit([], [], rounds, totals)
+    return Model(*(np.frombuffer(x) for x in (m.weights, m.step, m.start)), tuple(np.frombuffer(m.fit).tolist()))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", threshold: float = 0.5, with_spans: bool = True) -> DataFrame:

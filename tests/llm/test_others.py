@@ -192,14 +192,13 @@ def test_language_identification(spark):
     assert identify(spark.createDataFrame([], "page_id long, url string, html string"), docs).collect() == []
 
 
-def test_toxicity_draw_keeps_its_bound(spark, monkeypatch):
+def test_toxicity_draw_keeps_its_bound(spark):
     rows = [(1, f"plain words {i} here") for i in range(900)] + [(2, "vile words here")] * 900 + [(i, f"more text {i}") for i in range(3, 300)] + [(400, None), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (400, 1), (401, 1), (None, 0)] + [(i, int(i % 3 == 0)) for i in range(3, 300)], "doc_id long, toxic int")
-    seen = {}
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, rounds, totals: seen.update(texts=texts, toxic=toxic, totals=totals))
-    toxicity.train(docs, labels, sample=50)
-    assert Counter(seen["toxic"]) == {True: 50, False: 50} and len(set(seen["texts"])) == 100
-    assert seen["totals"] == {0: 900 + 198, 1: 900 + 99}
-    toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert seen["texts"] == []
+    got, totals = toxicity.drawn(docs, labels, sample=50)
+    got = got.collect()
+    assert Counter(x.toxic for x in got) == {0: 50, 1: 50} and len({x.text for x in got}) == 100
+    assert totals == {0: 900 + 198, 1: 900 + 99}
+    none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {x.predicted for x in toxicity.score(docs.limit(3), none).collect()} <= {0, 1}
