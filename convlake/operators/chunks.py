@@ -129,6 +129,34 @@ def missing_sequences(chunks: DataFrame, key: str = "conversation_id") -> DataFr
     return inner.unionByName(tail).select(key, F.explode(F.sequence("low", "high")).alias("sequence_number"))
 
 
+def hole_ranges(chunks: DataFrame, key: str = "conversation_id", conversations: DataFrame | None = None) -> DataFrame:
+    """(key, kind, low, high): the stretches of numbers that windows go over, as ranges, which are never spelt out.
+
+    sequence_missing: numbers 0 .. expected_last without a chunk, all of them where a conversation (key, expected_last) has no chunk
+    at all. stt_failed: neighbouring chunks that failed for good. empty_transcript: what can be skipped before the first useful chunk,
+    from 0 on without a gap. Of chunks with one number the first kind counts that any of them has.
+    """
+    rows = classified(chunks)
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    rows = rows.groupBy(key, F.col("sequence_number").cast("long").alias("n")).agg(flag(F.col("terminal")).alias("failed"), flag(F.col("useful")).alias("useful"), flag(F.col("skippable")).alias("skippable"), F.max("expected_last").cast("long").alias("last"))
+    by = Window.partitionBy(key).orderBy("n")
+    before, after = F.coalesce(F.lag("n").over(by), F.lit(-1)), F.lead("n").over(by)
+    rows = rows.withColumn("before", before).withColumn("after", after)
+    gap = lambda low, high, when: rows.where(when).select(key, F.lit("sequence_missing").alias("kind"), low.alias("low"), high.alias("high"))
+    out = gap(F.col("before") + 1, F.col("n") - 1, F.col("n") > F.col("before") + 1)
+    out = out.unionByName(gap(F.col("n") + 1, F.col("last"), F.col("after").isNull() & (F.col("last") > F.col("n"))))
+    if conversations is not None:
+        none = conversations.where("expected_last >= 0").join(chunks.select(key).distinct(), key, "left_anti")
+        out = out.unionByName(none.select(key, F.lit("sequence_missing").alias("kind"), F.lit(0).cast("long").alias("low"), F.col("expected_last").cast("long").alias("high")))
+    # islands: numbers less their rank are equal along a stretch
+    failed = rows.where("failed = 1").withColumn("island", F.col("n") - F.row_number().over(by)).groupBy(key, "island").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    out = out.unionByName(failed.select(key, F.lit("stt_failed").alias("kind"), "low", "high"))
+    stop = (F.col("useful") == 1) | (F.col("skippable") == 0) | (F.col("n") != F.col("before") + 1)
+    open_ = F.max(stop.cast("int")).over(by)
+    leading = rows.withColumn("open", open_).where("open = 0").groupBy(key).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return out.unionByName(leading.select(key, F.lit("empty_transcript").alias("kind"), "low", "high"))
+
+
 def accounting(chunks: DataFrame, key: str = "conversation_id", missing_timeout: Column | None = None) -> DataFrame:
     """One row for each conversation: what became of all the chunks it expects."""
     timeout = F.lit(False) if missing_timeout is None else missing_timeout

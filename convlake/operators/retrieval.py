@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convlake.functions.repair import repair_text
 from convlake.functions.text import fixed_chunks, lexical_overlap, short_id, strip
+from convlake.session import ready
 
 PARENT = 0.92
 LEXICAL = 0.04
-QUERY_BYTES = 1 << 26  # of query vectors that may be broadcast at once
+TILE = 1 << 13  # rows of either side that meet in one task
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,27 +28,77 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, rank, id, score): for each query the k vectors with the highest cosine, ties to the smaller id.
-
-    The queries go to all tasks that read the vectors, in hashed blocks of about QUERY_BYTES, each of which reads them once; with
-    `keys` (say, the user) a query meets only vectors of its own. Each task keeps k rows a query before the shuffle (a window group limit).
+def unit_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows divided by their length (zero vectors stay zero), shorter ones filled up with zeros, and which of them are whole:
+    neither null nor with a null or non-finite component."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(lists)
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
+    flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan")), float) if n else np.zeros(0)
+    owner, place = np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    rows = np.zeros((n, int(size.max(initial=0))))
+    rows[owner, place] = flat
+    good = ~np.asarray(lists.is_null(), bool) & np.isfinite(rows).all(1) if n else np.zeros(0, bool)
+    length = np.sqrt((rows * rows).sum(1))
+    return rows / np.where(length > 0, length, 1)[:, None], good
+
+
+def best_of(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of each query's k best rows by (score to six digits, id): one matrix product, and only rows that
+    reach the k-th best are put in order."""
+    width = max(q.shape[1], v.shape[1])
+    score = np.pad(q, ((0, 0), (0, width - q.shape[1]))) @ np.pad(v, ((0, 0), (0, width - v.shape[1]))).T
+    score = np.round(score, 6) + 0.0
+    fits = score >= np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else np.ones(score.shape, bool)
+    row, at = np.nonzero(fits)
+    order = np.lexsort((ids[at], -score[row, at], row))
+    row, at = row[order], at[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], at[first], score[row[first], at[first]]
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 8, keys: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """(keys, query_id, rank, id, score): for each query the k vectors with the highest cosine, to six digits, ties to the smaller id.
+
+    With `keys` (say, user and space) a query meets only vectors of its own. One plan whatever there are: the queries and the vectors of a key
+    are dealt by hash into tiles of about `tile` rows, every tile of queries meets every tile of vectors in a task of its own as a
+    product of two blocks, and k rows a query and task go on to the ranking. A key with few rows is one task; a frequent one is many. Vectors
+    that are null or have null or non-finite components take no part; a vector without length has the score 0.
     """
-    n, wide = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    blocks = max(1, -(-n * wide * 8 // QUERY_BYTES))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [_top_k(queries.where(block == i) if blocks > 1 else queries, vectors, k, keys) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _top_k(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
-    q = F.broadcast(queries.select(*keys, "query_id", F.col("vector").alias("q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("qn")))
-    v = vectors.withColumn("vn", F.sqrt(dot(F.col("vector"), F.col("vector"))))
-    pairs = v.join(q, list(keys)) if keys else v.join(q, F.lit(True))
-    size = F.col("qn") * F.col("vn")
-    pairs = pairs.withColumn("score", F.round(F.when(size > 0, dot(F.col("vector"), F.col("q")) / size).otherwise(0.0), 6)).drop("q", "vector", "qn", "vn")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    name = lambda df, side: df.select(*keys, F.col("query_id" if side == "q" else "id").alias(f"{side}_id"), F.col("vector").cast("array<double>").alias(f"{side}_vector"))
+    q, v = name(queries, "q"), name(vectors, "v")
+    if not keys:
+        q, v = q.withColumn("__all", F.lit(0)), v.withColumn("__all", F.lit(0))
+    by = list(keys) or ["__all"]
+    tiles = lambda df, out: df.groupBy(*by).agg(F.ceil(F.count("*") / tile).cast("int").alias(out))
+    counts = tiles(q, "q_tiles").join(tiles(v, "v_tiles"), by)  # only keys that both sides have
+    own = lambda n, i: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(counts, by).withColumn("q_tile", own("q_tiles", "q_id")).withColumn("v_tile", every("v_tiles")).drop("q_tiles", "v_tiles")
+    v = v.join(counts, by).withColumn("v_tile", own("v_tiles", "v_id")).withColumn("q_tile", every("q_tiles")).drop("q_tiles", "v_tiles")
+    group = [*by, "q_tile", "v_tile"]
+    v = v.select(*[F.col(c).alias(f"v_{c}") for c in group], "v_id", "v_vector")
+    schema = T.StructType([*(queries.schema[c] for c in keys), T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    names = schema.names
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            (x, has), (y, good) = unit_rows(left.column("q_vector")), unit_rows(right.column("v_vector"))
+            left, right, x, y = left.filter(pa.array(has)), right.filter(pa.array(good)), x[has], y[good]
+            ids = right.column("v_id").combine_chunks()
+            order = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+            for low in range(0, len(x) if len(y) else 0, 256):
+                row, at, score = best_of(x[low : low + 256], y, order, k)
+                pick = pa.array(row + low)
+                out.append(pa.table([*(left.column(c).take(pick) for c in keys), left.column("q_id").take(pick), ids.take(pa.array(at)), pa.array(score)], names=names))
+        return pa.concat_tables(out) if out else arrow.empty_table()
+
+    arrow = to_arrow_schema(schema)
+    ready(queries.sparkSession)
+    found = q.groupBy(*group).cogroup(v.groupBy(*[f"v_{c}" for c in group])).applyInArrow(solve, schema)
+    rank = Window.partitionBy(*keys, "query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(*keys, "query_id", "rank", "id", "score")
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, width: int = 1) -> DataFrame:

@@ -4,14 +4,19 @@ where nothing else is said."""
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from convlake.operators.folds import ordered_fold
+from convlake.session import ready
 from convlake.sources.tables import ROUTES
+from convlake.streaming.windows import ROCKS
 
 MAX_ATTEMPTS = 5
 ENVELOPE = "event_id string, event_type string, correlation_id string, causation_id string, user_id string, space_id string, conversation_id string, event_version int, attempt int, payload string, created_at timestamp"
@@ -22,8 +27,14 @@ def route(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in ROUTES.items()])
 
 
-def routed(events: DataFrame) -> DataFrame:
-    return events.withColumn("stream", route(F.col("event_type"))).withColumn("accepted", F.col("stream").isNotNull())
+def routed(events: DataFrame, target: str | None = None) -> DataFrame:
+    """stream, and whether the event is accepted. With a `target` column, an event that names a stream goes there, whatever its type, if it
+    is one of the known streams, and is rejected if it isn't."""
+    stream = route(F.col("event_type"))
+    if target:
+        named = F.nullif(F.trim(target), F.lit(""))
+        stream = F.when(named.isNull(), stream).when(named.isin(*dict.fromkeys(ROUTES.values())), named)
+    return events.withColumn("stream", stream).withColumn("accepted", F.col("stream").isNotNull())
 
 
 def accept_once(events: DataFrame, key: str = "idempotency_key", at: str = "created_at", within: str = "1 day") -> DataFrame:
@@ -75,37 +86,87 @@ def inactive_sessions(events: DataFrame, key: str, at: str = "created_at", gap:
     return out.select(key, F.col("w.start").alias("begin"), "last_at", "events")
 
 
-class _Quota:
-    def __init__(self, key: str, row: dict, rpm: int, rpd: int, tpm: int, tpd: int):
-        self.key, self.limits = key, (rpm, rpd, tpm, tpd)
-        self.recent: deque[tuple[int, int]] = deque()
-        self.day, self.day_requests, self.day_tokens, self.minute_tokens = None, 0, 0, 0
-
-    def add(self, row: dict) -> list[dict]:
-        now, tokens = row["at"], row["tokens"]
-        if self.day != now // 86_400:
-            self.day, self.day_requests, self.day_tokens, self.minute_tokens = now // 86_400, 0, 0, 0
-            self.recent.clear()  # the minute too begins anew with the day
-        while self.recent and self.recent[0][0] < now - 60:
-            self.minute_tokens -= self.recent.popleft()[1]
+DAY = 86_400
+
+
+class DayQuota:
+    """What one provider has admitted on one UTC day: the day's sums, and the requests of the last minute."""
+
+    def __init__(self, rpm: int, rpd: int, tpm: int, tpd: int, requests: int = 0, tokens: int = 0, recent: list[tuple[int, int]] | None = None):
+        self.limits = (rpm, rpd, tpm, tpd)
+        self.requests, self.tokens = requests, tokens
+        self.recent = deque(recent or [])
+        self.minute = sum(t for _, t in self.recent)
+
+    def admit(self, at: int, tokens: int) -> bool:
+        while self.recent and self.recent[0][0] < at - 60:
+            self.minute -= self.recent.popleft()[1]
         rpm, rpd, tpm, tpd = self.limits
-        ok = len(self.recent) < rpm and self.day_requests < rpd and self.minute_tokens + tokens <= tpm and self.day_tokens + tokens <= tpd
+        ok = len(self.recent) < rpm and self.requests < rpd and self.minute + tokens <= tpm and self.tokens + tokens <= tpd
         if ok:
-            self.recent.append((now, tokens))
-            self.minute_tokens += tokens
-            self.day_requests += 1
-            self.day_tokens += tokens
-        return [{self.key: row[self.key], "request_id": row["request_id"], "admitted": ok}]
+            self.recent.append((at, tokens))
+            self.minute, self.requests, self.tokens = self.minute + tokens, self.requests + 1, self.tokens + tokens
+        return ok
+
+
+class _Quota:
+    def __init__(self, key: str, limits: tuple[int, ...]):
+        self.key, self.quota = key, DayQuota(*limits)
+
+    def add_many(self, rows: pa.RecordBatch) -> list[dict]:
+        keys, ids, times, tokens = (rows.column(c).to_pylist() for c in (self.key, "request_id", "at", "tokens"))
+        return [{self.key: k, "request_id": i, "admitted": self.quota.admit(t, n)} for k, i, t, n in zip(keys, ids, times, tokens, strict=True)]
 
     def finish(self) -> list[dict]:
         return []
 
 
+def _by_day(requests: DataFrame, key: str) -> DataFrame:
+    return requests.select(key, "request_id", F.col("at").cast("long").alias("at"), F.col("tokens").cast("long").alias("tokens"), F.floor(F.col("at") / DAY).cast("long").alias("day"))
+
+
 def admitted(requests: DataFrame, key: str, rpm: int = 12, rpd: int = 900, tpm: int = 10**12, tpd: int = 10**12) -> DataFrame:
     """(key, request_id, admitted): each request in order of (at, request_id) against sliding-minute and UTC-day quotas of requests
-    and tokens; with a new day the minute is empty too. What is rejected uses up nothing. at: whole seconds. A key keeps a minute's requests, at most rpm, in memory."""
+    and tokens. What is rejected uses up nothing. at: whole seconds.
+
+    A new day empties the day's sums and the minute as well, so each key and day is a group of its own, and a provider is as many
+    tasks as there are days; a group keeps a minute's requests, at most rpm, in memory.
+    """
     kind = requests.schema[key].dataType.simpleString()
-    return ordered_fold(requests.select(key, "request_id", "at", "tokens"), [key], ["at", "request_id"], lambda row: _Quota(key, row, rpm, rpd, tpm, tpd), f"{key} {kind}, request_id long, admitted boolean")
+    return ordered_fold(_by_day(requests, key), [key, "day"], ["at", "request_id"], lambda _: _Quota(key, (rpm, rpd, tpm, tpd)), f"{key} {kind}, request_id long, admitted boolean")
+
+
+class StreamQuota(StatefulProcessor):
+    """The same fold as state of a stream: a value for the day, a list for the minute; both go some time after the day's last request."""
+
+    def __init__(self, columns: list[str], limits: tuple[int, ...], kept_ms: int):
+        self.columns, self.limits, self.kept_ms = columns, limits, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.day = handle.getValueState("day", "requests long, tokens long", self.kept_ms)
+        self.minute = handle.getListState("minute", "at long, tokens long", self.kept_ms)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        sums = self.day.get()
+        quota = DayQuota(*self.limits, *(sums or (0, 0)), [tuple(x) for x in self.minute.get()] if sums else [])
+        frame = pd.concat(list(rows)).sort_values(["at", "request_id"])
+        out = [(key[0], i, quota.admit(int(t), int(n))) for i, t, n in zip(frame["request_id"], frame["at"], frame["tokens"], strict=True)]
+        self.day.update((quota.requests, quota.tokens))
+        if quota.recent:
+            self.minute.put(list(quota.recent))
+        yield pd.DataFrame(out, columns=self.columns)
+
+
+def admitted_stream(requests: DataFrame, key: str, rpm: int = 12, rpd: int = 900, tpm: int = 10**12, tpd: int = 10**12, kept_seconds: float = 2 * DAY) -> DataFrame:
+    """admitted() on a stream: requests are taken in order within a micro-batch, and batches as they come."""
+    spark = ready(requests.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = T.StructType([requests.schema[key], T.StructField("request_id", T.LongType()), T.StructField("admitted", T.BooleanType())])
+    processor = StreamQuota(schema.names, (rpm, rpd, tpm, tpd), int(kept_seconds * 1000))
+    return _by_day(requests, key).groupBy(key, "day").transformWithStateInPandas(processor, schema, "append", "ProcessingTime")
 
 
 def offered_load(requests: DataFrame, key: str) -> DataFrame:
@@ -136,15 +197,3 @@ def write_envelopes(events: DataFrame, folder: str, checkpoint: str, available_n
     """A sink of one JSON field a line."""
     out = events.select(F.to_json(F.struct(*[c for c in events.columns if c != "raw"])).alias("value")).writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
-
-
-def write_routes(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch split by `route` over its sinks, which must bear a batch being written again."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        for name, sink in sinks.items():
-            sink(batch.where(F.col("route") == name), number)
-        batch.unpersist()
-
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
