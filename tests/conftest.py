@@ -1,5 +1,6 @@
 import os
 import sys
+import time
 
 import pytest
 from pyspark.sql import SparkSession
@@ -23,3 +24,14 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def drain(query, rows, seconds=100):
+    """Let a stream take this many rows, and stop it: one whose state has a clock goes on without data and never ends by itself."""
+    until = time.time() + seconds
+    try:
+        while time.time() < until and query.isActive and sum(p["numInputRows"] for p in query.recentProgress) < rows:
+            time.sleep(0.3)
+        assert query.exception() is None and sum(p["numInputRows"] for p in query.recentProgress) == rows
+    finally:
+        query.stop()

@@ -5,16 +5,17 @@ import pytest
 
 from convlake import rule_queries as rq
 from convlake import session_queries as sq
+from convlake import store_queries as tq
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("query", sq.QUERIES + rq.QUERIES, ids=lambda f: f.__name__)
+@pytest.mark.parametrize("query", sq.QUERIES + rq.QUERIES + tq.QUERIES, ids=lambda f: f.__name__)
 def test_against_sql(spark, query):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{SF}/{f}')")
-    want = con.execute((sq.SQL | rq.SQL)[query.__name__])
+    want = con.execute((sq.SQL | rq.SQL | tq.SQL)[query.__name__])
     columns = [c[0] for c in want.description]
     got = query(spark, SF)
     assert sorted(got.columns) == sorted(columns)
