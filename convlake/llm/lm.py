@@ -83,14 +83,17 @@ def rows_of(ctx: np.ndarray, k: int, group: np.ndarray) -> tuple[np.ndarray, np.
 
 def softmax_parts(weights: np.ndarray, bias: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities over groups, and over the classes of the token's own group."""
-    out = []
+    out, one_row, ones = [], np.empty((len(group), WIDE), weights.dtype), np.ones(WIDE, weights.dtype)
     for level in (0, 1):
-        z = np.repeat(bias[:1], len(group), 0) if level == 0 else bias[1 + group]
+        z = np.repeat(bias[:1], len(group), 0) if level == 0 else np.take(bias, 1 + group, axis=0)
         for r in rows:
-            z += weights[r[level]]
-        z -= z.max(1, keepdims=True)
+            z += np.take(weights, r[level], axis=0, out=one_row, mode="clip")
+        most = z
+        while most.shape[1] > 1:  # the row's greatest, by halves
+            most = np.maximum(most[:, : most.shape[1] // 2], most[:, most.shape[1] // 2 :])
+        z -= most
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ ones)[:, None]
         out.append(z)
     return out[0], out[1]
 
@@ -152,11 +155,14 @@ def striped(texts: DataFrame, model: Model) -> np.ndarray:
                     low, high = (0, 1 << GROUP_BITS) if level == 0 else (1 << GROUP_BITS, (1 << GROUP_BITS) + (1 << CLASS_BITS))
                     table = sums[low * WIDE : high * WIDE].reshape(-1, WIDE)
                     biases = sums.reshape(-1, WIDE)[total - 1 - WIDE :]
+                    columns, made = np.ascontiguousarray(p.T, float), np.zeros((WIDE, high - low))
+                    for r in rows:
+                        at = r[level] - low
+                        for j in range(WIDE):
+                            made[j] += np.bincount(at, columns[j], high - low)
+                    table += made.T
                     for j in range(WIDE):
-                        column = np.ascontiguousarray(p[:, j], float)
-                        for r in rows:
-                            table[:, j] += np.bincount(r[level] - low, column, high - low)
-                        biases[0 if level == 0 else slice(1, None), j] += column.sum() if level == 0 else np.bincount(group, column, WIDE)
+                        biases[0 if level == 0 else slice(1, None), j] += columns[j].sum() if level == 0 else np.bincount(group, columns[j], WIDE)
         stripes = [sums[i : i + STRIPE * WIDE].astype(np.float32).tobytes() for i in range(0, len(sums), STRIPE * WIDE)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(stripes)), pa.int32()), pa.array(stripes, pa.binary())], names=["stripe", "sums"])
 
