@@ -155,7 +155,7 @@ SELECT *, meaningful - represented AS unrepresented,
     CASE WHEN meaningful - represented >= greatest(3, meaningful * 4 // 10) THEN 'unrepresented_artifacts' END) AS reasons,
   least(CASE WHEN meaningful > 0 THEN represented / meaningful ELSE 1.0 END, greatest(0.0, 1 - weak / greatest(windows, 1))) AS score FROM n""",
     "weak_windows": f"""WITH {ARTIFACTS}, w AS (SELECT conversation_id, window_index, sum(length(title)) AS token_count, count_if(id % 3 = 0) AS non_empty_chunk_count,
-  max(CASE WHEN id % 5 = 0 THEN title ELSE '' END) AS text, count_if(id % 7 = 0) AS extracted FROM a GROUP BY 1, 2)
+  max(CASE WHEN id % 5 = 0 THEN title ELSE '' END) AS text, count_if(id % 7 = 0 AND conversation_id % 3 = 0) AS extracted FROM a GROUP BY 1, 2)
 SELECT conversation_id, window_index, CAST(token_count AS BIGINT) AS token_count FROM w ANTI JOIN (SELECT * FROM a WHERE id % 40 = 0) z USING (conversation_id, window_index)
 WHERE extracted = 0 AND (non_empty_chunk_count > 0 OR {strip('text')} <> '')""",
     "meeting_memory": f"""WITH {ARTIFACTS}, m AS (SELECT * FROM a WHERE status <> 'rejected' QUALIFY row_number() OVER (PARTITION BY conversation_id, artifact_type ORDER BY position) <= 5)
@@ -241,8 +241,8 @@ UNION ALL SELECT id, user_id, fingerprint, 2, 'staged' FROM f""",
     "lambda p: (event_id // (8 * CASE p WHEN 'gemini' THEN 1 WHEN 'groq' THEN 2 WHEN 'mistral' THEN 4 ELSE 8 END)) % 2 = 1), ','), '') AS providers FROM events",
     "storage_errors": f"""WITH e AS (SELECT event_id, event_id % 4 AS k, {one_of([*PERMANENT_CODES, *TEMPORARY_CODES, 'Other', ''], '(event_id // 4) % 10')} AS code, [400, 403, 404, 409, 500, 503][(event_id // 40) % 6 + 1] AS s FROM events)
 SELECT event_id, CASE WHEN k = 0 THEN 'permanent' WHEN k <> 2 THEN 'temporary' WHEN code IN {among(PERMANENT_CODES)} THEN 'permanent' WHEN code IN {among(TEMPORARY_CODES)} OR s >= 500 THEN 'temporary' WHEN s < 409 THEN 'permanent' ELSE 'temporary' END AS class FROM e""",
-    "space_selection": rf"""WITH c AS (SELECT conv_id, turn, left(text, 40) || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' in space ' || turn WHEN 2 THEN ' for Workspace ' || turn ELSE ' of PROJECT ' || turn END || ' please' AS x,
-  CASE turn % 3 WHEN 0 THEN CAST(turn AS VARCHAR) WHEN 1 THEN 'Space ' || turn ELSE left(text, 10) END AS r FROM conversations)
+    "space_selection": rf"""WITH c AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' in space ' || turn WHEN 2 THEN ' for Workspace ' || turn ELSE ' of PROJECT ' || turn END || ' please' AS x,
+  CASE turn % 3 WHEN 0 THEN CAST(turn AS VARCHAR) WHEN 1 THEN 'Space ' || turn ELSE text END AS r FROM conversations)
 SELECT conv_id, turn, coalesce(nullif(regexp_extract(x, '(?i)\bspace\s+(\d+)\b', 1), ''), nullif(regexp_extract(x, '(?i)\bworkspace\s+(\d+)\b', 1), ''), nullif(regexp_extract(x, '(?i)\bproject\s+(\d+)\b', 1), '')) AS space,
   trim(regexp_replace(regexp_replace(x, {q('(?i)' + SPACE_PHRASE)}, '', 'g'), '\s+', ' ', 'g')) AS question, regexp_matches(lower(trim(r)), '^[0-9]+$') OR regexp_matches(lower(trim(r)), {q(SPACE_REPLY)}) AS is_reply FROM c""",
     "chosen_options": """WITH o AS (SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, lower(n_name) AS label, 'v' || n_nationkey AS value FROM nation),
@@ -251,7 +251,9 @@ SELECT c.region, c_custkey, value AS option FROM c LEFT JOIN o ON c.region = o.r
 }
 
 # The same for every id divisible by 20, and chunks spread over the whole document.
-SQL["vector_searches"] = SQL["top_vectors"].replace("a.id % 50 = 0", "a.id % 20 = 0")
-SQL["searched_context"] = SQL["retrieved_context"].replace("a.id % 50 = 0", "a.id % 20 = 0").replace(
+SQL["vector_searches"] = """WITH n AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(x, x)) AS l FROM embeddings),
+s AS (SELECT a.label AS label, a.id AS query_id, b.id AS id, round(CASE WHEN a.l * b.l > 0 THEN list_dot_product(a.x, b.x) / (a.l * b.l) ELSE 0 END, 6) AS score FROM n a JOIN n b USING (label) WHERE a.id % 20 = 0)
+SELECT label, query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s QUALIFY rank <= 8"""
+SQL["searched_context"] = SQL["retrieved_context"].replace(
     "CAST(id % 3 AS INTEGER) AS chunk_index, score FROM top)", "CAST(id % len(ps) AS INTEGER) AS chunk_index, score FROM top JOIN d ON doc_id = id WHERE len(ps) > 0)"
 )

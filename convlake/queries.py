@@ -128,7 +128,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 def weak_windows(spark: SparkSession, d: str) -> DataFrame:
     a = src.artifacts(spark, d)
     some = F.max(F.when(F.col("id") % 5 == 0, F.col("title")).otherwise("")).alias("text")
-    w = a.groupBy("conversation_id", "window_index").agg(F.sum(F.length("title")).alias("token_count"), F.count_if(F.col("id") % 3 == 0).alias("non_empty_chunk_count"), some, F.count_if(F.col("id") % 7 == 0).alias("extracted"))
+    w = a.groupBy("conversation_id", "window_index").agg(F.sum(F.length("title")).alias("token_count"), F.count_if(F.col("id") % 3 == 0).alias("non_empty_chunk_count"), some, F.count_if((F.col("id") % 7 == 0) & (F.col("conversation_id") % 3 == 0)).alias("extracted"))
     return art.weak_windows(w, a.where("id % 40 = 0")).select("conversation_id", "window_index", "token_count")
 
 
@@ -165,11 +165,11 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
-    """The first words of each turn held against the next turn."""
+    """Each turn held against the next one."""
     c = src.table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("following"))
     pairs = c.join(nxt, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", text.evidence_found(F.left("text", F.lit(60)), "following").alias("found"), text.lexical_overlap("text", "following").alias("overlap"), F.round(text.title_jaccard("text", "following"), 6).alias("jaccard"))
+    return pairs.select("conv_id", "turn", text.evidence_found("text", "following").alias("found"), text.lexical_overlap("text", "following").alias("overlap"), F.round(text.title_jaccard("text", "following"), 6).alias("jaccard"))
 
 
 def top_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,9 @@ def _searches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_searches(spark: SparkSession, d: str) -> DataFrame:
-    return _searches(spark, d)
+    """The nearest vectors of one's own label: a search that is pruned by a key."""
+    e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return retrieval.top_k(e.where("id % 20 = 0").select("label", F.col("id").alias("query_id"), "vector"), e, keys=("label",))
 
 
 def searched_context(spark: SparkSession, d: str) -> DataFrame:
@@ -430,8 +432,8 @@ def storage_errors(spark: SparkSession, d: str) -> DataFrame:
 def space_selection(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("turn").cast("string")
     named = _pick(["", " in space ", " for Workspace ", " of PROJECT "], F.col("turn") % 4)
-    question = F.concat(F.left("text", F.lit(40)), named, F.when(named != "", n).otherwise(""), F.lit(" please"))
-    reply = F.when(F.col("turn") % 3 == 0, n).when(F.col("turn") % 3 == 1, F.concat(F.lit("Space "), n)).otherwise(F.left("text", F.lit(10)))
+    question = F.concat(F.col("text"), named, F.when(named != "", n).otherwise(""), F.lit(" please"))
+    reply = F.when(F.col("turn") % 3 == 0, n).when(F.col("turn") % 3 == 1, F.concat(F.lit("Space "), n)).otherwise(F.col("text"))
     return src.table(spark, d, "conversations").select("conv_id", "turn", routing.inline_space(question).alias("space"), routing.without_inline_space(question).alias("question"), routing.is_option_reply(reply).alias("is_reply"))
 
 

@@ -1,4 +1,6 @@
 import os
+import re
+import time
 
 import duckdb
 import pytest
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+NO_ROWS = {"inactive_recordings"}  # on the smallest tables
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     tidy = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
@@ -28,7 +33,8 @@ def test_against_sql(spark, name):
     columns = [c[0] for c in want.description]
     got = queries.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
-    assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
+    mine = rows_of(got.columns, got.collect())
+    assert mine == rows_of(columns, want.fetchall()) and (mine or name in NO_ROWS)
 
 
 def chunk_rows(texts, status="completed", duration=30_000):
@@ -111,12 +117,11 @@ def test_overlap_cut_column_and_fold_agree(spark):
     assert got == [windows.without_overlap(a, b or "") for a, b in pairs]
 
 
-def test_searches_in_blocks_of_queries(spark, monkeypatch):
+def test_searches_in_blocks_of_queries(spark):
     e = spark.range(90).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i)).alias("vector"))
     q = e.select(F.col("id").alias("query_id"), "vector")
     want = sorted(tuple(r) for r in retrieval.top_k(q, e, 3).select("query_id", "rank", "id", "score").collect())
-    monkeypatch.setattr(retrieval, "QUERY_BYTES", 2000)
-    got = sorted(tuple(r) for r in retrieval.top_k(q, e, 3).select("query_id", "rank", "id", "score").collect())
+    got = sorted(tuple(r) for r in retrieval.top_k(q, e, 3, tile=17).select("query_id", "rank", "id", "score").collect())
     assert got == want and len(got) == 270
 
 
@@ -214,3 +219,22 @@ def test_stream_of_envelopes(spark, tmp_path):
     ev.write_envelopes(got, str(out), str(tmp_path / "check")).awaitTermination(60)
     lines = sorted(r.value for r in spark.read.text(str(out)).collect())
     assert len(lines) == 2 and '"stream":"stt"' in lines[0] and '"accepted":false' in lines[1]
+
+
+def test_chunks_and_signals_take_time_by_length(spark):
+    """A text four times as long may take six times as long; the chunks are those of plain slices, and Hindi phrases are found."""
+    text_ = "हमें कल पूरा काम करना है, फॉलो अप और please follow up. " * 60
+    got = spark.createDataFrame([(text_,)], "t string").select(text.fixed_chunks("t").alias("c"), text.action_signals("t").alias("s")).first()
+    whole = text_.strip()
+    want = [whole[i : i + 900].strip() for i in range(0, len(whole), 750)]
+    assert got.c == [w for w in want if w]
+    # as regular expressions of text have it: a vowel sign is no word character, so that two of the Hindi phrases end at no boundary
+    assert got.s == [p for p in text.ACTION_PATTERNS if re.search(p, text_.lower())] and {r"\bकल\b", r"\bफॉलो अप\b"} < set(got.s)
+    took = []
+    for n in (1, 4):
+        df = spark.createDataFrame([("word and more words, " * 60_000 * n,)] * 4, "t string").select(F.size(text.fixed_chunks("t")).alias("n"), F.size(text.action_signals("t")))
+        df.collect()
+        began = time.perf_counter()
+        df.collect()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 6 * took[0] + 0.5, took
