@@ -7,7 +7,6 @@ run alone.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from convlake.llm.mixing import mixed_documents
 from convlake.llm.neardup import near_duplicates
 from convlake.llm.packing import pack_documents
 from convlake.llm.suffixes import without_repeats
+from convlake.session import remove, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -80,10 +80,13 @@ ORACLE_SQL = None  # learnt scores, whole-suffix matches and hashed draws are be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each written as Parquet to the shared checkpoint folder and read again by the next."""
-    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
+    """All stages on `documents`, each written as Parquet to the shared checkpoint folder and read again by the next. A stage's rows go once
+    the next one's are written; the last folder stays, as the result reads it."""
+    docs, done = ready(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = shared_folder(spark, "stages")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            remove(spark, f"{folder}/{done}")
+        docs, done = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
