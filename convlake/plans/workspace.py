@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from convlake.functions.text import fallback_label, first_filled
 
+# The columns that may hold a space's label, in order.
+LABELS = ["spaceName", "spacename", "space_name", "name", "title", "label", "workspaceName", "workspace_name"]
 ACTIVE = ["pending", "in_progress", "blocked", "needs_confirmation"]
 
 
@@ -51,8 +53,8 @@ def space_stats(tasks: DataFrame) -> DataFrame:
 
 
 def spaces(found: DataFrame, labels: DataFrame, most: int = 100) -> DataFrame:
-    """Spaces with their labels, by label and id; a space without one is shown under the end of its id, after it was sorted."""
-    named = found.join(labels.select("space_id", first_filled("name", "title").alias("label")), "space_id", "left")
+    """Spaces with their labels, the first filled of the columns in LABELS that `labels` has, by label and id; a space without one is shown under the end of its id, after it was sorted."""
+    named = found.join(labels.select("space_id", first_filled(*[c for c in LABELS if c in labels.columns]).alias("label")), "space_id", "left")
     ordered = named.orderBy(F.lower(F.coalesce("label", F.lit(""))), "space_id").limit(most)
     return ordered.withColumn("label", F.coalesce("label", F.concat(F.lit("Space "), fallback_label(F.col("space_id").cast("string")))))
 

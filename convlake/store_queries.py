@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convlake.functions import keys
 from convlake.operators import chunks as ch
 from convlake.oracle import CHUNKS
 from convlake.oracle import SQL as ENGINE
@@ -114,6 +115,16 @@ def direct_answers(spark: SparkSession, d: str) -> DataFrame:
     return answers.direct_answers(*_spaces(spark, d))
 
 
+def audio_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of uploads and chunks from customers, with odd names and endings, and whether keys that may lie elsewhere are in scope."""
+    i = F.col("c_custkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (i % n).cast("int"))
+    user, space, name = F.concat(F.lit("user #"), i.cast("string")), pick(["a/b", "", "..x--", "s=1"], 4), pick(["dir/part 1.WebM", ".hidden", "..", "/", "x.tar.gz", "ümlaut?.m4a"], 6)
+    key = keys.chunk_key(F.lit("/audio/"), user, space, i.cast("string"), i * 1_000_003, F.col("c_mktsegment"), pick([".WAV", "mp 3", "?", " .m4a "], 4))
+    asked = F.when(i % 5 == 0, F.concat(F.lit("/audio/"), key)).when(i % 5 == 1, F.concat(key, F.lit("/../x"))).when(i % 5 == 2, F.replace(key, F.lit("/"), F.lit("\\"))).otherwise(key)
+    return src.table(spark, d, "customer").select("c_custkey", key.alias("chunk_key"), keys.upload_key(F.lit("audio"), user, space, pick(["", "s 1"], 2), i.cast("string"), name).alias("upload_key"), keys.valid_key(asked).alias("valid_key"), keys.in_scope(asked, F.lit("audio"), user, space, i.cast("string")).alias("in_scope"))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -198,7 +209,18 @@ SELECT question_id, user_id, space_id, nullif(concat_ws(chr(10) || chr(10),
     ELSE {_sections(f"'I found ' || len({_some('task', 'any')}) || ' task(s) in this space. Unfinished: ' || len({_some('task', 'unfinished')}) || '.'", TASKS, NO_TASKS)} END END,
   CASE WHEN n % 4 = 0 THEN {_sections(f"'I found ' || len({_some('note', 'any')}) || ' published note(s) and ' || len({_some('staged_note', 'any')}) || ' staged note(s):'", NOTES, NO_NOTES)} END), '') AS answer FROM a"""
 
+PART = "coalesce(nullif(trim(regexp_replace(coalesce(nullif({}, ''), 'unknown'), '[^A-Za-z0-9._=-]+', '-', 'g'), '.-/'), ''), 'unknown')"
+KEYS = rf"""WITH a AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS i, 'user #' || c_custkey AS u, ['a/b', '', '..x--', 's=1'][c_custkey % 4 + 1] AS s, ['part 1.WebM', '.hidden', '..', '', 'x.tar.gz', 'ümlaut?.m4a'][c_custkey % 6 + 1] AS f,
+  ['wav', 'mp3', NULL, 'm4a'][c_custkey % 4 + 1] AS e, c_mktsegment AS m, CASE WHEN c_custkey % 2 = 0 THEN 'no-session' ELSE 's 1' END AS n FROM customer),
+b AS (SELECT *, regexp_extract(f, '^.+(\.[^.]+)$', 1) AS x, 'audio/' || {PART.format('u')} || '/' || {PART.format('s')} || '/' || i || '/' AS own FROM a),
+k AS (SELECT *, own || lpad(CAST(c_custkey * 1000003 AS VARCHAR), CAST(greatest(8, length(CAST(c_custkey * 1000003 AS VARCHAR))) AS INTEGER), '0') || '-' || {PART.format('m')} || '.' || e AS key FROM b),
+v AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN 'audio/' || key WHEN c_custkey % 5 = 1 THEN NULL ELSE key END AS valid FROM k)
+SELECT c_custkey, key AS chunk_key, 'audio/' || {PART.format('u')} || '/' || {PART.format('s')} || '/' || {PART.format('n')} || '/' || i || '/' || CASE WHEN trim(f) IN ('', '.', '..') THEN 'audio'
+  ELSE coalesce(nullif(trim(regexp_replace(left(f, length(f) - length(x)), '[^A-Za-z0-9._-]+', '-', 'g'), '.-_'), ''), 'audio') || left(regexp_replace(x, '[^A-Za-z0-9.]+', '', 'g'), 16) END AS upload_key,
+  valid AS valid_key, coalesce(starts_with(valid, own), FALSE) AS in_scope FROM v"""
+
 SQL = {
+    "audio_keys": KEYS,
     "stored_upserts": ENGINE["upserted_orders"],
     "replaced_partitions": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0",
     "chunk_ranges": f"WITH {CHUNKS} SELECT conversation_id, sequence_number, 'chunk_' || sequence_number AS chunk_id, CAST(stt_attempts AS INTEGER) AS stt_attempts FROM k WHERE sequence_number BETWEEN 2 AND 6 AND stt_status = 'completed'",
@@ -218,4 +240,4 @@ SELECT conversation_id, count(DISTINCT n) FILTER (kind = 'received') AS received
 FROM (SELECT conversation_id, n, kind, before FROM p UNION ALL SELECT conversation_id, n, kind, NULL FROM e WHERE kind = 'received') GROUP BY 1""",
     "direct_answers": ANSWERS,
 }
-QUERIES = [stored_upserts, replaced_partitions, chunk_ranges, unprocessed_chunks, stored_points, hole_ranges, guarded_counters, direct_answers]
+QUERIES = [audio_keys, stored_upserts, replaced_partitions, chunk_ranges, unprocessed_chunks, stored_points, hole_ranges, guarded_counters, direct_answers]
