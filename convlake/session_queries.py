@@ -154,7 +154,7 @@ n AS (SELECT conversation_id, max(expected_last) + 1 AS expected_sequences, coun
   count_if(useful AND processing_window_id IS NOT NULL) AS valid_windowed, count_if(useful AND exclusion_reason IS NOT NULL) AS valid_excluded,
   count_if(useful AND processing_window_id IS NULL AND exclusion_reason IS NULL) AS valid_unwindowed, count_if(terminal) AS terminal_failed FROM cl GROUP BY 1),
 w AS (SELECT conversation_id, count(*) AS windows_created, count_if(status = 'completed') AS windows_completed, count_if(status = 'pending') AS windows_pending, count_if(status = 'processing') AS windows_processing,
-  count_if(status = 'failed') AS windows_failed, count_if(status <> 'completed') AS incomplete_windows, count_if(status = 'completed' AND NOT saved) AS artifact_persistence_gaps FROM windows GROUP BY 1)
+  count_if(status = 'failed') AS windows_failed, count_if(status <> 'completed') AS incomplete_windows, count_if(coalesce(status = 'completed' AND NOT saved, FALSE)) AS artifact_persistence_gaps FROM windows GROUP BY 1)
 SELECT conversation_id, expected_sequences, present + CASE WHEN late THEN expected_sequences - present ELSE 0 END AS accounted_sequences, empty_transcripts, failed_transcripts, valid_transcripts, valid_windowed, valid_unwindowed,
   windows_created, windows_completed, windows_pending, windows_processing, windows_failed, pending_transcripts + failed_transcripts - terminal_failed + CASE WHEN late THEN 0 ELSE expected_sequences - present END AS unresolved_expected,
   expected_sequences - present AS missing, terminal_failed + CASE WHEN late THEN expected_sequences - present ELSE 0 END AS permanent_failures, incomplete_windows, artifact_persistence_gaps, pending_transcripts, valid_excluded

@@ -22,3 +22,15 @@ def test_against_sql(spark, query):
     rows = lambda cols, rs: sorted((tuple(str(r[cols.index(c)]) for c in sorted(cols)) for r in rs))
     mine, theirs = rows(got.columns, map(tuple, got.collect())), rows(columns, want.fetchall())
     assert mine == theirs and mine
+
+
+def test_windows_of_unknown_state_are_no_gaps(spark, tmp_path):
+    """Conversation 70: its only window that could be a gap doesn't say whether its artifacts were saved."""
+    spark.sql("select 70L as conv_id, 0L as turn, 'user' as role, 'a b c' as text").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(sq.SQL["session_accounting"])
+    columns = [c[0] for c in want.description]
+    (row,) = want.fetchall()
+    assert row[columns.index("artifact_persistence_gaps")] == 0
+    assert sq.session_accounting(spark, str(tmp_path)).select(*columns).collect() == [row]
