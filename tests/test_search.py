@@ -3,6 +3,7 @@
 import math
 import random
 
+from convlake import queries
 from convlake.functions.text import STOPWORDS
 from convlake.operators import artifacts as art
 from convlake.operators import retrieval
@@ -49,3 +50,12 @@ def test_a_word_in_every_title(spark):
             assert found[i] == (-best[1] if best[1] is not None else None, round(best[0], 9)), i
     pairs = art.title_candidates(new, old, hot=20).count()
     assert pairs < 40 * 1000  # a pair for every two titles would be some 700,000
+
+
+def test_searches_meet_every_vector(spark, tmp_path):
+    """Of 60 vectors, each with a label of its own, a query's best are those of all labels."""
+    e = spark.range(60).selectExpr("id as vec_id", "cast(id as int) as label", "array(cast(sin(id) as float), cast(cos(id) as float)) as embedding")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.vector_searches(spark, str(tmp_path)).collect()
+    assert sorted((x.query_id, x["rank"]) for x in found) == [(q, n) for q in (0, 20, 40) for n in range(1, 9)]
+    assert {x.id for x in found if x.query_id == 0} == set(sorted(range(60), key=lambda i: -math.cos(i))[:8])
