@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlake.session import ready
@@ -14,6 +16,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what the rounds so far have left: Spark drops broadcasts, shuffle files and checkpoints when the driver collects its
+    garbage, which in a row of many short queries may be long after the last use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(df: DataFrame, *names: str) -> DataFrame:
     """Without the columns whose names an operator adds itself: its own columns replace them."""
     own = {n.lower() for n in names}
@@ -56,8 +65,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         e = settle(large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
         # settled: each node has one parent and no parent has a parent
         roles = e.select(F.col("a").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")).union(e.select("b", F.lit(0), F.lit(1)))
-        if not roles.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p")).where("c > 1 or (c > 0 and p > 0)").limit(1).count():
+        if roles.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p")).where("c > 1 or (c > 0 and p > 0)").isEmpty():
             break
+        release(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlake.llm.common import clear, components, settle
+from convlake.llm.common import clear, components, release, settle
 from convlake.llm.textkit import SEGMENT, U, mix, segments, shingles, span_hashes, text_bytes, words
 
 BUCKETS_LOG = 8
@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     by_key = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
     label = None
     for turn in range(ROUNDS + 1):
+        release(docs.sparkSession)
         now = member.withColumn("component", F.col("node"))
         if label is not None:
             now = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -318,7 +319,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             # what is left are the buckets whose members are still apart
             sums = now.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("k"))
             now = settle(now.join(sums.where("k > 1").select("band", "most"), "band"))
-            if not now.limit(1).count():
+            if now.isEmpty():
                 break
         if turn < ROUNDS:
             mixed = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
@@ -336,10 +337,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         pairs = settle(pairs)
         if turn < ROUNDS:  # the last round's join has made this test
             pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), ends(pairs))), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
+        release(docs.sparkSession)
         texts = settle(among(by_key, ends(pairs)).withColumn("text", F.coalesce("text", F.lit(""))))
         both = beside(pairs, texts, F.octet_length("text") + 16, ("t",))
         links = settle(confirmed(both, size, percent).distinct())
-        if not links.limit(1).count():
+        if links.isEmpty():
             continue
         if label is None:
             label = settle(components(links))

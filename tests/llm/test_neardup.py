@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from convlake.llm.neardup import near_duplicates
 
@@ -87,3 +88,19 @@ def test_large_sets_go_by_registers(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 8)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, 4, 80)
+
+
+def test_rounds_leave_no_shuffles(spark):
+    """What a run has left when it returns are the shuffles of its last steps, not those of all its rounds."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(3))], "doc_id long, text string")
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    first, before = spark.sparkContext._jsc.sc().newShuffleId(), tracker.shuffleStatuses().size()
+    found = near_duplicates(docs)
+    made = spark.sparkContext._jsc.sc().newShuffleId() - first
+    until = time.time() + 10
+    while (left := tracker.shuffleStatuses().size() - before) > made // 2 and time.time() < until:
+        time.sleep(0.2)
+    assert made > 20 and left <= made // 2, (made, left)
+    assert found.count() == docs.count()
