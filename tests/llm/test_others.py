@@ -4,10 +4,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convlake.llm import flac, toxicity
+from convlake.llm import flac, packing, toxicity
 from convlake.llm.langid import identify
 from convlake.llm.lm import score_corpus
 from convlake.llm.media import store_payloads
@@ -202,3 +203,60 @@ def test_toxicity_draw_keeps_its_bound(spark):
     assert totals == {0: 900 + 198, 1: 900 + 99}
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {x.predicted for x in toxicity.score(docs.limit(3), none).collect()} <= {0, 1}
+
+
+def whole_ids(path, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+
+
+def ids_by_run(path, texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, bounds = packing.document_ids(path, data, np.cumsum([0, *(len(x.encode()) for x in texts)]))
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_packed_ids_of_odd_words(monkeypatch):
+    r = random.Random(4)
+    bits = ["the", "Ab", "é", "É", "ÿß", "×", "÷", "é", "≠", "̸", "́", "İ", "ﬁ", "ª", "日本", "٣", "7", "42", "'", "'s", "'LL", "'re", ".", ",", "$$$", "&", "<", "|"]
+    bits += ["<|", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "🙂", "\x00", "\x01", "\x1c", "\x7f", "\x85", "\xa0", " ", "　", " ", " ", "\t", "\n", "\x0b", "\r\f"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(4000)] + ["", "", "x" * 5000, "é." * 3000, "w " * 3000]
+    path = packing.tokenizer_path()
+    want = whole_ids(path, texts)
+    for words, stretch in ((300_000, 1 << 20), (50, 64)):
+        monkeypatch.setattr(packing, "CACHED_WORDS", words)
+        monkeypatch.setattr(packing, "STRETCH", stretch)
+        monkeypatch.setattr(packing, "_encoders", {})
+        for _ in range(2):
+            assert ids_by_run(path, texts) == want
+        assert len(packing._encoders[path].known) <= words
+        assert ids_by_run(path, []) == [] and ids_by_run(path, ["", " \n"]) == [[0], [0]]
+
+
+def test_packing_encodes_a_word_once_and_letters_without_the_normalizer(monkeypatch):
+    monkeypatch.setattr(packing, "_encoders", {})
+    path, given = packing.tokenizer_path(), []
+    ids = packing.Encoder.ids
+
+    def counted(self, tokenizer, texts):
+        given.append((tokenizer is self.whole, sorted(" ".join(texts).split())))
+        return ids(self, tokenizer, texts)
+
+    monkeypatch.setattr(packing.Encoder, "ids", counted)
+    texts = ["Plage, plage. plage$$$ plage$$$x", "château château!! CHÂTEAU plage7", "plage", "château."] * 50
+    assert ids_by_run(path, texts) == whole_ids(path, texts)
+    assert given == [(False, ["château", "plage"]), (True, sorted(["!!", "$$$", "$$$x", ",", ".", "7", "chÂteau"]))]
+    ids_by_run(path, texts)
+    assert len(given) == 2
+
+
+def test_packing_with_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"<unk>": 1, "One": 2, "one": 3, "two.": 4, "two": 5, ".": 6}, unk_token="<unk>"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(f"{tmp_path}/words.json")
+    texts = ["One two.", "", "one two .", "ONE"]
+    assert ids_by_run(f"{tmp_path}/words.json", texts) == whole_ids(f"{tmp_path}/words.json", texts) == [[2, 4, 0], [0], [3, 5, 6, 0], [1, 0]]
