@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convlake.session import ready
 
+TASK_ROWS = 20_000  # rows of a few numbers that are one task's work
 
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there: lineage ends, rows are fixed."""
@@ -23,6 +24,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fitted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A settled table in one partition for each TASK_ROWS of its rows, if it has more: a small table of many partitions costs a task, and
+    the driver's memory, for each of them at every step, and what lies in one partition needs no exchange. rows: their number, if known."""
+    n = df.count() if rows is None else rows
+    return df.coalesce(max(1, -(-n // TASK_ROWS)))
+
+
 def clear(df: DataFrame, *names: str) -> DataFrame:
     """Without the columns whose names an operator adds itself: its own columns replace them."""
     own = {n.lower() for n in names}
@@ -54,17 +62,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); component is the smallest node reachable.
 
     Alternating large and small stars; every round is a join and an aggregation on nodes, and nothing comes to the driver but
-    counts. Hubs are split by adaptive skew joins.
+    counts. Hubs are split by adaptive skew joins. A round's edges lie in as many partitions as the first ones need, since a round
+    makes at most two of one.
     """
     e = settle(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
+    n = 2 * e.count()
+    e = fitted(e, n)
     for _ in range(most):
-        both = e.union(e.select("b", "a")).toDF("u", "v")
+        both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = settle(large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
+        e = settle(fitted(large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct(), n))
         # settled: each node has one parent and no parent has a parent
-        roles = e.select(F.col("a").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")).union(e.select("b", F.lit(0), F.lit(1)))
+        roles = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")), F.struct(F.col("b").alias("n"), F.lit(0).alias("c"), F.lit(1).alias("p")))).alias("r")).select("r.*")
         if roles.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p")).where("c > 1 or (c > 0 and p > 0)").isEmpty():
             break
         release(edges.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlake.llm.common import clear, components, release, settle
+from convlake.llm.common import clear, components, fitted, release, settle
 from convlake.llm.textkit import SEGMENT, U, mix, segments, shingles, span_hashes, text_bytes, words
 
 BUCKETS_LOG = 8
@@ -28,6 +28,7 @@ SURE = 4.0  # deviations below the threshold from which on registers rule a pair
 SMALL = 512  # sets of so many shingles or fewer are held against each other whole, their hashes cut to 16 bits
 NEARBY = 1_000_000  # keys that may be broadcast
 NEARBY_BYTES = 1 << 25  # and bytes of what goes with them
+BROADCAST_TASK = 1 << 22  # bytes that a task sends of rows to be broadcast
 SKETCH = "n_shingles long, sign_a long, sign_b long, raw array<long>, dense array<long>"
 _FROM = (mix(np.arange(1, TRIES * BUCKETS + 1, dtype=np.uint64)) >> U(64 - BUCKETS_LOG)).astype(np.int64).reshape(TRIES, BUCKETS)
 _SHIFT = np.arange(ROWS) * BITS
@@ -154,7 +155,7 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -187,6 +188,7 @@ def beside(pairs: DataFrame, rows: DataFrame, size: Column, names: tuple[str, ..
     total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     small = total <= NEARBY_BYTES
     if small:
+        rows = rows.coalesce(max(1, -(-total // BROADCAST_TASK)))
         pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     for end in "ab":
         own = rows.toDF(end, *[n + end for n in names])
@@ -318,7 +320,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if turn:
             # what is left are the buckets whose members are still apart
             sums = now.groupBy("band", "component").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("k"))
-            now = settle(now.join(sums.where("k > 1").select("band", "most"), "band"))
+            now = fitted(settle(now.join(sums.where("k > 1").select("band", "most"), "band")))
             if now.isEmpty():
                 break
         if turn < ROUNDS:
@@ -334,23 +336,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             one = F.expr("x.band = y.band and x.component <> y.component and (y.component = y.most or x.node < y.node)")
             met = x.join(y, one & sized("x", "y", percent) & first_met("x", "y") & may_link("x", "y", percent))
             pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = settle(pairs)
+        pairs = fitted(settle(pairs))
         if turn < ROUNDS:  # the last round's join has made this test
-            pairs = settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), ends(pairs))), F.lit(8 * (BANDS + 4)), ("n", "r")), percent))
+            pairs = fitted(settle(likely(beside(pairs, settle(among(nodes.select("node", "n", "raw"), ends(pairs))), F.lit(8 * (BANDS + 4)), ("n", "r")), percent)))
         release(docs.sparkSession)
         texts = settle(among(by_key, ends(pairs)).withColumn("text", F.coalesce("text", F.lit(""))))
         both = beside(pairs, texts, F.octet_length("text") + 16, ("t",))
-        links = settle(confirmed(both, size, percent).distinct())
+        links = fitted(settle(confirmed(both, size, percent)))
         if links.isEmpty():
             continue
         if label is None:
-            label = settle(components(links))
+            label = components(links)
             continue
         old = label
         links = links.join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         merged = components(links).withColumnRenamed("component", "to")
         moved = label.join(merged.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        label = settle(moved.unionByName(merged.join(label.select("node"), "node", "left_anti").withColumnRenamed("to", "component")))
+        label = fitted(settle(moved.unionByName(merged.join(label.select("node"), "node", "left_anti").withColumnRenamed("to", "component"))))
     return labelled(made, classes, label, sign, key)
 
 

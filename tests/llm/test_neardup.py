@@ -104,3 +104,23 @@ def test_rounds_leave_no_shuffles(spark):
         time.sleep(0.2)
     assert made > 20 and left <= made // 2, (made, left)
     assert found.count() == docs.count()
+
+
+def test_small_tables_take_few_tasks(spark):
+    """Links and pairs are far fewer than documents: their steps take tasks by their rows, not one for each of the session's partitions."""
+    docs = spark.createDataFrame(corpus(3), "doc_id long, text string")
+    sc, tracker, held = spark.sparkContext, spark.sparkContext.statusTracker(), {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few tasks", "")
+        got = {r.doc_id: tuple(r)[1:] for r in near_duplicates(docs).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks <= 130 * 61, tasks
+    assert got == brute(corpus(3), 5, 80)
