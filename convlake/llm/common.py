@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +20,33 @@ def settle(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of what the rounds so far have left: Spark drops broadcasts, shuffle files and checkpoints when the driver collects its
-    garbage, which in a row of many short queries may be long after the last use."""
+    garbage, which in a row of many short queries may be long after the last use. Nor does memory that the driver freed outside its heap
+    go back to the system by itself."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Give back what the driver's JVM freed outside its heap, which the C library keeps for each of the JVM's many threads: the JVM's own
+    command System.trim_native_heap. A JVM without it keeps that memory."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, *items):
+        out = new(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    named = jvm.java.lang.Class.forName
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    kinds = map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+    try:
+        invoke.invoke(server, array(jvm.java.lang.Object, commands, "systemTrimNativeHeap", None, None))
+    except Py4JJavaError:  # no such command
+        pass
 
 
 def fitted(df: DataFrame, rows: int | None = None) -> DataFrame:

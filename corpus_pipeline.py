@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake.llm import toxicity
-from convlake.llm.common import clear, ready, settle
+from convlake.llm.common import clear, ready, release, settle
 from convlake.llm.mixing import mixed_documents
 from convlake.llm.neardup import near_duplicates
 from convlake.llm.packing import pack_documents
@@ -23,9 +23,14 @@ from convlake.session import remove, shared_folder
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def begin(spark: SparkSession) -> None:
+    """What the stages before have left on the driver goes first: all run in one session."""
+    release(ready(spark))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the conditional random field, learnt from `labels`, doesn't find toxic; null or empty texts stay."""
-    ready(spark)
+    begin(spark)
     own = docs.select("doc_id", "text")
     labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = toxicity.train(own, labels)
@@ -37,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8 or more): the one with the smallest doc_id. Documents
     without words, and rows without a doc_id, are in no group and stay; of rows with one doc_id, those kept all stay."""
-    ready(spark)
+    begin(spark)
     found = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -49,7 +54,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Where a cut falls within a character, what is left of that character goes too; n_chars follows the text. Null texts stay null;
     rows of one doc_id don't remove from each other.
     """
-    ready(spark)
+    begin(spark)
     out = without_repeats(docs, removed="__removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -58,13 +63,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words of all sources mixed to their target weights, up to twice; one row for each pass over a document."""
-    ready(spark)
+    begin(spark)
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 tokens, best fit."""
-    ready(spark)
+    begin(spark)
     return pack_documents(docs.select("doc_id", "text"), with_ids=False)
 
 

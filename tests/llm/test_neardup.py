@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+from convlake.llm.common import release
 from convlake.llm.neardup import near_duplicates
 
 
@@ -124,3 +125,27 @@ def test_small_tables_take_few_tasks(spark):
     tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
     assert 0 < tasks <= 130 * 61, tasks
     assert got == brute(corpus(3), 5, 80)
+
+
+def test_release_gives_native_memory_back(spark):
+    """What the driver's JVM frees outside its heap goes back to the system, though what is still used lies around it."""
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def used():
+        with open(status) as f:
+            return int(re.search(r"Anonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    release(spark)
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(50_000) for _ in range(5000)]  # 240 MB
+    for _ in range(3):  # the heap shrinks first, so that it doesn't count below
+        jvm.System.gc()
+        time.sleep(0.3)
+    full, kept = used(), buffers[::50]
+    del buffers
+    until = time.time() + 15
+    while (left := used()) > full - 150 and time.time() < until:
+        release(spark)
+        time.sleep(0.3)
+    assert left <= full - 150, (full, left)
+    assert len(kept) == 100
