@@ -3,8 +3,9 @@
 A text has one suffix for every byte, far too many to exchange. Of the positions in each window of `length` bytes one is an anchor:
 the place of the least hashed K-gram (leftmost if several). Equal windows have their anchor at the same place, so any string of
 `length` bytes that two documents share has an anchor in both, with equal bytes on either side. Only anchors' suffixes are sorted,
-each with as many bytes on either side as the windows that it is the anchor of, and of these only those whose K-gram occurs more
-than once anywhere.
+each with as many bytes on either side as the windows that it is the anchor of. An anchor's windows are of two sides, those that begin
+at most `middle` bytes before it and the others: all windows of a side share about two thirds of their bytes, so an anchor goes about
+for a side only if these bytes occur more than once anywhere.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from convlake.llm.textkit import U, mix, segments
 
 K = 16
 BLOCK = 1 << 23  # bytes of text in a block
-SCAN = 1 << 20
+PLACE = (1 << 15) - 1
+SCAN = PLACE - 255  # starts at a time: few enough that what is computed of them stays in the processor's cache, and a place takes 15 bits
 SLICE = 1 << 14  # positions whose surroundings are put together at a time
 PRINT_BITS = 40
-CROWDED = 400  # different surroundings of a K-gram from which on its windows go about singly
+CROWDED = 400  # different surroundings of a side's bytes from which on its windows go about singly
 LAST = (1 << 63) - 1  # a null key comes after all others
 _STEP = 0x9E3779B97F4A7C15
 
@@ -60,47 +62,53 @@ def unplanes(raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def grams(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the K bytes from each position (or each of `at`); data must go on for K bytes."""
-    if at is not None:
-        h = np.zeros(len(at), np.uint64)
-        for i in range(K):
-            h = h * U(_STEP) + data[at + i].astype(np.uint64)
-        return mix(h)
-    # runs of 1, 2, 4, ... bytes, put together to K
-    h, size, power = data.astype(np.uint64), 1, _STEP
-    out, done = np.zeros(len(data) + 1, np.uint64), 0
-    while True:
-        if K & size:
-            n = len(data) - done - size + 1
-            out, done = out[:n] * U(power) + h[done : done + n], done + size
-        if size * 2 > K:
-            return mix(out)
-        h = h[: len(h) - size] * U(power) + h[size:]
-        size, power = size * 2, power * power % (1 << 64)
+def grams(data: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the K bytes from each position, put together from runs of 1, 2, 4, ... bytes."""
+    h, size, power = data.astype(np.uint32), 1, _STEP & 0xFFFFFFFF
+    while size < K:
+        h = h[:-size] * np.uint32(power) + h[size:]
+        size, power = size * 2, power * power % (1 << 32)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(12)
+    h *= np.uint32(0x297A2D39)
+    return h
+
+
+def pieces(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the `size` bytes from each position, 8 at least, which are read 8 at a time."""
+    longs = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    h = np.zeros(len(at), np.uint64)
+    for i in (*range(0, size - 8, 8), size - 8):
+        h = mix(h * U(_STEP) + longs[at + i])
+    return h
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors in order, and the first and the last start of the windows within one text that have each as their anchor."""
-    n, span = len(data), length - K + 1
+    n, span, none = len(data), length - K + 1, np.empty(0, np.int64)
     if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    v = (grams(data) >> U(24) << U(24)) | np.arange(n - K + 1, dtype=np.uint64)
+        return none, none, none
+    v = grams(data)
+    v &= np.uint32(0xFFFFFFFF ^ PLACE)
+    v |= np.arange(len(v), dtype=np.uint32)
     width = 1
     while width * 2 <= span:
         v = np.minimum(v[: len(v) - width], v[width:])
         width *= 2
     if width < span:
         v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
-    long = offsets[1:] - offsets[:-1]
-    cut = np.minimum(long, length - 1)
-    edge = np.zeros(n + 2, np.int32)
-    np.add.at(edge, offsets[1:] - cut, 1)
-    np.add.at(edge, offsets[1:], -1)
-    start = np.flatnonzero(np.cumsum(edge[: len(v)]) == 0)  # of windows that end within their text
-    at = (v[start] & U(0xFFFFFF)).astype(np.int64)  # never falls from one window to the next
-    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
-    return at[new], start[new], start[np.r_[new[1:], len(at)] - 1] if len(at) else new
+    v &= np.uint32(PLACE)  # never falls from one window to the next
+    new = np.empty(len(v) + 1, bool)
+    new[0] = new[-1] = True
+    np.not_equal(v[1:], v[:-1], out=new[1:-1])
+    ends = offsets[1:] - (length - 1)  # after the last window of each text
+    new[offsets[:-1][offsets[:-1] < len(v)]] = True
+    new[ends[ends > 0]] = True
+    cuts = np.flatnonzero(new)
+    first, after = cuts[:-1], cuts[1:]
+    ok = np.flatnonzero(first < ends[np.searchsorted(offsets, first, "right") - 1])  # windows that end within their text
+    return v[first[ok]].astype(np.int64), first[ok], after[ok] - 1
 
 
 def all_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,23 +147,31 @@ def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame
 
 
 class Block:
-    """A block's row, unpacked."""
+    """A block's row, unpacked. `anchors` are those of the first side and then those of the second, each with the bytes on either side that
+    the side's windows take."""
 
     def __init__(self, keys: bytes, data: bytes, length: int):
         self.keys = np.frombuffer(keys, np.int64)
         self.offsets, self.data, self.nulls = expand(data, "<i8", "u1", "?")
         # found again wherever a block is read: that takes less than carrying them
-        self.anchors, first, last = all_anchors(self.data, self.offsets, length)
-        self.left, self.right = (self.anchors - first).astype(np.uint8), (last + length - self.anchors).astype(np.uint8)
-        self.length = length
+        at, first, last = all_anchors(self.data, self.offsets, length)
+        left, right = at - first, last + length - at
+        self.length, self.middle = length, (length - K) // 2
+        one, two = right >= length - self.middle, left > self.middle
+        self.anchors, self.ones = np.r_[at[one], at[two]], int(one.sum())
+        self.left = np.r_[np.minimum(left[one], self.middle), left[two]].astype(np.uint8)
+        self.right = np.r_[right[one], np.minimum(right[two], length - self.middle - 1)].astype(np.uint8)
         self.padded = np.r_[np.zeros(length, np.uint8), self.data, np.zeros(2 * length, np.uint8)]
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, "right") - 1
 
     def prints(self) -> np.ndarray:
-        """Of each anchor's K-gram. Hashed once more: anchors are the least of their windows' hashes, so those crowd at the low end."""
-        return mix(grams(self.padded, self.anchors + self.length) ^ U(_STEP)) >> U(64 - PRINT_BITS)
+        """Of the bytes that all of a side's windows share: from the anchor on, or those before it and its K-gram."""
+        at, before = self.anchors + self.length, self.middle + 1
+        one = pieces(self.padded, at[: self.ones], self.length - self.middle)
+        two = pieces(self.padded, at[self.ones :] - before, before + K)
+        return np.r_[one, mix(two ^ U(_STEP))] >> U(64 - PRINT_BITS)
 
     def around(self, at: np.ndarray, right: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
         """Rows of the bytes from each position and, after `length` places, of those before it, nearest first; each byte plus one, and 0
@@ -174,13 +190,14 @@ class Block:
                 rows[:, self.length :] *= column_back < left[low : low + SLICE, None]
         return out
 
-    def surroundings(self) -> np.ndarray:
-        """A hash of the bytes around each anchor."""
-        h = np.zeros(len(self.anchors), np.uint64)
+    def surroundings(self, which: np.ndarray) -> np.ndarray:
+        """A hash of the bytes around each of these anchors."""
+        h = np.zeros(len(which), np.uint64)
         back = self.length - K
         wide = -(-(self.length + back) // 8) * 8
         for low in range(0, len(h), SLICE):
-            rows = self.around(self.anchors[low : low + SLICE], self.right[low : low + SLICE], self.left[low : low + SLICE])
+            some = which[low : low + SLICE]
+            rows = self.around(self.anchors[some], self.right[some], self.left[some])
             longs = np.pad(rows, ((0, 0), (0, wide - rows.shape[1]))).view("<u8")
             own = h[low : low + SLICE]
             for i in range(longs.shape[1]):
@@ -189,14 +206,15 @@ class Block:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct prints, how many surroundings each has (at least; by hash), and whether it occurs more than once."""
-        prints, h = self.prints(), self.surroundings()
+        prints = self.prints()
         order = np.argsort(prints)
-        prints, h = prints[order], h[order]
+        prints = prints[order]
         new = np.r_[True, prints[1:] != prints[:-1]] if len(prints) else np.empty(0, bool)
         again = np.flatnonzero(~new | np.r_[~new[1:], False]) if len(prints) else np.empty(0, np.int64)
-        turn = again[np.lexsort((h[again], prints[again]))]  # only prints that occur again need their surroundings in order
-        h[again] = h[turn]
-        other = new | np.r_[True, h[1:] != h[:-1]] if len(prints) else new
+        h = self.surroundings(order[again])  # only prints that occur again may have several
+        h = h[np.lexsort((h, prints[again]))]
+        other = new.copy()
+        other[again] |= np.r_[True, h[1:] != h[:-1]] if len(again) else False
         first = np.flatnonzero(new)
         return prints[first], np.add.reduceat(other.astype(np.int64), first) if len(first) else first, np.diff(np.r_[first, len(prints)]) > 1
 
@@ -252,9 +270,11 @@ def common_prints(rows: DataFrame, ranges: int, crowded: int = CROWDED) -> DataF
 @dataclass
 class Suffixes:
     """A block's suffixes that occur again, in order: by part, then bytes. Equal surroundings are one suffix, which stands for the
-    positions at[first] .. at[first + members - 1] and has the least key among them."""
+    positions at[first] .. at[first + members - 1] and has the least key among them; right and left are its bytes on either side."""
 
     rows: np.ndarray
+    right: np.ndarray
+    left: np.ndarray
     part: np.ndarray
     least: np.ndarray
     first: np.ndarray
@@ -274,7 +294,8 @@ def own_suffixes(block: Block, flags: list[tuple[int, bytes]], parts: int) -> Su
         spread[turn] = flag[np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])]
     one, crowd = spread == 1, spread == 2
     at = block.anchors[one]
-    rows, part = block.around(at, block.right[one], block.left[one]), (prints[one] % U(parts)).astype(np.int64)
+    right, left = block.right[one], block.left[one]
+    rows, part = block.around(at, right, left), (prints[one] % U(parts)).astype(np.int64)
     if crowd.any():
         many = block.left[crowd].astype(np.int64) + block.right[crowd] - length + 1  # windows of each anchor, from its first on
         begin = block.anchors[crowd] - block.left[crowd]
@@ -285,16 +306,17 @@ def own_suffixes(block: Block, flags: list[tuple[int, bytes]], parts: int) -> Su
             h *= U(_STEP)
             h += windows[:, i]
         at = np.r_[at, starts]
+        right, left = np.r_[right, np.full(len(starts), length, np.uint8)], np.r_[left, np.zeros(len(starts), np.uint8)]
         rows = np.concatenate([rows, np.pad(windows, ((0, 0), (0, back)))])
         part = np.r_[part, (mix(h) % U(parts)).astype(np.int64)]
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable") if len(rows) else np.empty(0, np.int64)
     order = order[np.argsort(part[order], kind="stable")]
-    at, rows, part = at[order], rows[order], part[order]
+    at, rows, right, left, part = at[order], rows[order], right[order], left[order], part[order]
     new = np.r_[True, (rows[1:] != rows[:-1]).any(1) | (part[1:] != part[:-1])] if len(rows) else np.empty(0, bool)
     first = np.flatnonzero(new)
     keys = block.keys[block.text_of(at)]
     least = np.minimum.reduceat(keys, first) if len(first) else keys
-    return Suffixes(rows[first], part[first], least, first, np.diff(np.r_[first, len(at)]), at)
+    return Suffixes(rows[first], right[first], left[first], part[first], least, first, np.diff(np.r_[first, len(at)]), at)
 
 
 def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) -> DataFrame:
@@ -307,17 +329,20 @@ def suffix_runs(table: DataFrame, flags: DataFrame, parts: int, length: int) ->
             block = Block(left.column("keys")[0].as_py(), left.column("data")[0].as_py(), length)
             found = own_suffixes(block, list(zip(right.column("range").to_pylist(), right.column("flags").to_pylist(), strict=True)), parts)
             cuts = np.searchsorted(found.part, np.arange(parts + 1))
-            for p in np.unique(found.part).tolist():
-                own, keys = found.rows[cuts[p] : cuts[p + 1]], found.least[cuts[p] : cuts[p + 1]]
-                suffix, before = own[:, :length], own[:, length:]
-                differs = suffix[1:] != suffix[:-1]
-                shared = np.r_[0, np.where(differs.any(1), differs.argmax(1), length)]
-                right_n, left_n = (suffix > 0).sum(1), (before > 0).sum(1)
-                shared = np.minimum(shared, right_n)
-                column = np.arange(length)
-                rest = suffix[(column >= shared[:, None]) & (column < right_n[:, None])]
-                out[0].append(p), out[1].append(number), out[2].append(int(cuts[p]))
-                out[3].append(squeeze(shared.astype(np.uint8), right_n.astype(np.uint8), left_n.astype(np.uint8), rest, before[before > 0], planes(keys.view("<u4")), level=3))
+            suffix, before = found.rows[:, :length], found.rows[:, length:]
+            differs = suffix[1:] != suffix[:-1]
+            shared = np.r_[0, np.where(differs.any(1), differs.argmax(1), length)][: len(suffix)]
+            shared = np.minimum(shared, found.right).astype(np.uint8)
+            shared[cuts[:-1][cuts[:-1] < cuts[1:]]] = 0  # a run's first
+            column = np.arange(length, dtype=np.uint8)
+            rest, before = suffix[(column >= shared[:, None]) & (column < found.right[:, None])], before[before > 0]
+            to_rest = np.r_[0, np.cumsum(found.right - shared, dtype=np.int64)].tolist()
+            to_before = np.r_[0, np.cumsum(found.left, dtype=np.int64)].tolist()
+            cuts = cuts.tolist()
+            for p, (a, b) in enumerate(itertools.pairwise(cuts)):
+                if a < b:
+                    out[0].append(p), out[1].append(number), out[2].append(a)
+                    out[3].append(squeeze(shared[a:b], found.right[a:b], found.left[a:b], rest[to_rest[a] : to_rest[b]], before[to_before[a] : to_before[b]], planes(found.least[a:b].view("<u4")), level=3))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["part", "block", "base", "run"])
 
     return table.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, "part int, block long, base long, run binary")
@@ -327,14 +352,17 @@ def merge(runs: list[tuple[list[int], list[int], bytes]]) -> tuple[list[int], li
     """Merge sorted front-coded runs (shared prefix with the suffix before, length, the bytes after the prefix) by a tree of losers.
 
     Returns for each suffix in order its run, and its common prefix with the suffix before. Each run's head knows its common prefix
-    with the last winner; the longer one wins unseen, and only heads that agree on it are compared, from there on. Only heads are
-    decoded.
+    with the last winner; the longer one wins unseen, and only heads that agree on it are compared: as whole numbers, of which the
+    highest bit that differs tells the common prefix. Only heads are decoded.
     """
     many = len(runs)
     leaves = 1
     while leaves < many:
         leaves *= 2
-    heads: list[bytes] = [raw[: sizes[0]] for _, sizes, raw in runs] + [b""] * (leaves - many)
+    wide = max((max(sizes) for _, sizes, _ in runs), default=0)
+    bits = 8 * wide
+    heads: list[bytes] = [raw[: sizes[0]] for _, sizes, raw in runs]
+    values = [int.from_bytes(x.ljust(wide, b"\0")) for x in heads]
     known = [0] * many + [-1] * (leaves - many)
     place, read, losers = [0] * many, [sizes[0] for _, sizes, _ in runs], [0] * leaves
 
@@ -344,14 +372,12 @@ def merge(runs: list[tuple[list[int], list[int], bytes]]) -> tuple[list[int], li
             return a, b
         if i < known[b] or i < 0:
             return b, a
-        x, y = heads[a], heads[b]
+        x, y = values[a], values[b]
         if x == y:
-            known[b] = len(x)
+            known[b] = len(heads[b])
             return a, b
-        end = min(len(x), len(y))
-        apart = int.from_bytes(x[i:end]) ^ int.from_bytes(y[i:end])
-        i = end - (apart.bit_length() + 7) // 8
-        if x[i:] < y[i:]:
+        i = (bits - (x ^ y).bit_length()) >> 3
+        if x < y:
             known[b] = i
             return a, b
         known[a] = i
@@ -371,22 +397,77 @@ def merge(runs: list[tuple[list[int], list[int], bytes]]) -> tuple[list[int], li
             start = read[best]
             s = known[best] = prefix[i]
             end = read[best] = start + sizes[i] - s
-            heads[best] = heads[best][:s] + raw[start:end]
+            heads[best] = x = heads[best][:s] + raw[start:end]
+            values[best] = int.from_bytes(x.ljust(wide, b"\0"))
         else:
-            known[best] = -1
+            s = known[best] = -1
         node = (best + leaves) >> 1
         while node:
             other = losers[node]
-            if known[best] > known[other]:
-                pass
-            elif known[best] < known[other]:
-                losers[node], best = best, other
-            else:
-                best, losers[node] = play(best, other)
+            i = known[other]
+            if s < i:
+                losers[node], best, s = best, other, i
+            elif s == i >= 0:  # play(best, other), without the call
+                x, y = values[best], values[other]
+                if x == y:
+                    known[other] = len(heads[other])
+                else:
+                    i = (bits - (x ^ y).bit_length()) >> 3
+                    if x < y:
+                        known[other] = i
+                    else:
+                        known[best] = i
+                        losers[node], best = best, other
             node >>= 1
     return order, shared
 
 
+def decoded(shared: np.ndarray, right: np.ndarray, rest: np.ndarray, length: int) -> np.ndarray:
+    """Front-coded suffixes as rows of `length` bytes, 0 after their end."""
+    column = np.arange(length, dtype=np.uint8)
+    rows = np.zeros((len(shared), length), np.uint8)
+    rows[(column >= shared[:, None]) & (column < right[:, None])] = rest
+    rows, n = np.ascontiguousarray(rows.T), np.arange(len(shared))
+    for i in range(int(shared.max(initial=0))):
+        rows[i] = rows[i][np.maximum.accumulate(np.where(shared <= i, n, 0))]  # a prefix stands where it was last written out
+    return np.ascontiguousarray(rows.T)
+
+
+def sorted_suffixes(shared: np.ndarray, right: np.ndarray, rest: np.ndarray, base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs put together, of which each begins at a place of `base`: the places of all suffixes in order, and each one's common prefix
+    with the one before. Equal suffixes are merged as one, which stands in the first of their runs."""
+    rows = decoded(shared, right, rest, length)
+    wide = np.pad(rows, ((0, 0), (0, -length % 8))).view("<u8")
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(wide.shape[1]):
+        h = mix(h * U(_STEP) + wide[:, i])
+    turn = np.argsort(h, kind="stable")
+    new = np.r_[True, (h[turn[1:]] != h[turn[:-1]]) | (wide[turn[1:]] != wide[turn[:-1]]).any(1)]
+    begin = np.flatnonzero(new)
+    many = np.diff(np.r_[begin, len(turn)])
+    single = np.sort(turn[begin])  # the first of its equals
+    own = np.empty(len(rows), np.int64)
+    own[turn[begin]] = np.arange(len(begin))
+    # what the remaining ones of a run share is the least that those between them did
+    prefix = np.minimum.reduceat(shared[: single[-1] + 1], np.r_[0, single[:-1] + 1])
+    column = np.arange(length, dtype=np.uint8)
+    left = rows[single]
+    sizes = right[single]
+    raw = left[(column >= prefix[:, None]) & (column < sizes[:, None])].tobytes()
+    to_raw = np.r_[0, np.cumsum(sizes - prefix, dtype=np.int64)].tolist()
+    cuts = np.unique(np.searchsorted(single, base)).tolist()
+    prefix, sizes = prefix.tolist(), sizes.tolist()
+    order, common = merge([(prefix[a:b], sizes[a:b], raw[to_raw[a] : to_raw[b]]) for a, b in itertools.pairwise(cuts)])
+    at = np.empty(len(order), np.int64)
+    at[np.argsort(np.array(order, np.int64), kind="stable")] = single
+    own = own[at]
+    each = many[own]
+    to = np.cumsum(each) - each
+    out = np.repeat(right[at].astype(np.int64), each)
+    out[to] = common
+    return turn[np.repeat(begin[own] - to, each) + np.arange(len(turn))], out
+
+
 def first_keys(shared: np.ndarray, right: np.ndarray, left: np.ndarray, before: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
     """For sorted suffixes and each number of bytes before them (a column each): the least key among all that have the same window.
 
@@ -421,35 +502,30 @@ def merged(runs: DataFrame, length: int) -> DataFrame:
     back = length - K
 
     def run(table: pa.Table) -> pa.Table:
-        lists, columns = [], ([], [], [], [])
+        found: tuple[list, ...] = ([], [], [], [], [], [])
         for blob in table.column("run").to_pylist():
-            shared, right, left, rest, before, keys = expand(blob, "u1", "u1", "u1", "u1", "u1", "u1")
-            keys = unplanes(keys).view("<i8")
-            lists.append((shared.tolist(), right.tolist(), rest.tobytes()))
-            wide = np.zeros((len(keys), back), np.uint8)
-            wide[np.arange(back) < left[:, None]] = before
-            for column, value in zip(columns, (right, left, wide, keys), strict=True):
+            for column, value in zip(found, expand(blob, "u1", "u1", "u1", "u1", "u1", "u1"), strict=True):
                 column.append(value)
-        order, shared = merge(lists)
-        base = np.cumsum([0, *(len(sizes) for _, sizes, _ in lists)])
-        order = np.array(order, np.int64)
-        turn = np.argsort(order, kind="stable")
-        rank = np.empty(len(order), np.int64)  # place in the sorted order -> place in the runs put together
-        rank[turn] = np.arange(len(order))
-        right, left, before, keys = (np.concatenate(c)[rank] for c in columns)
-        least = first_keys(np.array(shared, np.int64), right, left, before, keys, length)
+        base = np.cumsum([0, *map(len, found[0])])
+        keys = np.concatenate([unplanes(x).view("<i8") for x in found[5]])
+        shared, right, left, rest = (np.concatenate(x) for x in found[:4])
+        before = np.zeros((len(keys), back), np.uint8)
+        before[np.arange(back, dtype=np.uint8) < left[:, None]] = np.concatenate(found[4])
+        rank, shared = sorted_suffixes(shared, right, rest, base, length)
+        least = first_keys(shared, right[rank], left[rank], before[rank], keys[rank], length)
         back_to = np.empty_like(rank)
         back_to[rank] = np.arange(len(rank))
-        least, keys = least[back_to], keys[back_to]
-        blobs = []
+        least = least[back_to]
+        better, step = least < keys[:, None], least[:, 1:] != least[:, :-1]
+        begins, ends = better.copy(), better
+        begins[:, 1:] &= step
+        ends[:, :-1] &= step
+        row, low = np.nonzero(begins)
+        high = np.nonzero(ends)[1]
+        key, cuts, blobs = least[row, low], np.searchsorted(row, base), []
         for i, start in enumerate(table.column("base").to_pylist()):
-            own, key = least[base[i] : base[i + 1]], keys[base[i] : base[i + 1]]
-            better = own < key[:, None]
-            begins = better & np.c_[np.ones(len(own), bool), own[:, 1:] != own[:, :-1]]
-            ends = better & np.c_[own[:, 1:] != own[:, :-1], np.ones(len(own), bool)]
-            row, low = np.nonzero(begins)
-            high = np.nonzero(ends)[1]
-            blobs.append(squeeze((row + start).astype("<u4"), low.astype(np.uint8), high.astype(np.uint8), own[row, low]))
+            a, b = cuts[i], cuts[i + 1]
+            blobs.append(squeeze((row[a:b] + (start - base[i])).astype("<u4"), low[a:b].astype(np.uint8), high[a:b].astype(np.uint8), key[a:b]))
         return pa.table({"block": table.column("block"), "found": pa.array(blobs, pa.binary())})
 
     return runs.groupBy("part").applyInArrow(run, "block long, found binary")
@@ -473,14 +549,12 @@ def spans_of(block: Block, own: Suffixes, found: list[bytes]) -> tuple[np.ndarra
         count, at, first = own.members, own.at, own.first
         text = block.text_of(at)
         keys = block.keys[text]
-        right, left = (own.rows[:, :length] > 0).sum(1), (own.rows[:, length:] > 0).sum(1)
         # all windows about a suffix go by the least key in this block, and some by an earlier one elsewhere
-        here = ((np.arange(len(count)), np.maximum(0, length - right), left, own.least),)
-        others = ((r.astype(np.int64), a.astype(np.int64), b.astype(np.int64), k) for r, a, b, k in (expand(f, "<u4", "u1", "u1", "<i8") for f in found))
+        here = (np.arange(len(count), dtype=np.uint32), length - own.right, own.left, own.least)
+        records = [np.concatenate(x) for x in zip(here, *(expand(f, "<u4", "u1", "u1", "<i8") for f in found), strict=True)]
         new: list[tuple[np.ndarray, ...]] = []
-        for record, low, high, key in itertools.chain(here, others):
-            some = low <= high
-            record, low, high, key = record[some], low[some], high[some], key[some]
+        for start in range(0, len(records[0]), SLICE):
+            record, low, high, key = (x[start : start + SLICE].astype(np.int64) for x in records)
             each = count[record]
             who = np.repeat(first[record] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
             later = keys[who] > np.repeat(key, each)

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from convlake.llm.suffixes import merge, remove_repeats, without_repeats
+import numpy as np
+
+from convlake.llm.common import settle
+from convlake.llm.suffixes import blocks, common_prints, expand, merge, print_rows, remove_repeats, sorted_suffixes, without_repeats
 
 
 def brute(rows, length):
@@ -89,3 +92,37 @@ def test_rows_keep_their_columns(spark):
     assert sorted(((r.doc_id, hashlib.sha256((texts[r.number] or "").encode()).hexdigest(), r.text or "", r.gone) for r in got), key=str) == want
     assert all((r.text is None) == (texts[r.number] is None) and (r.tags is None) == (r.number % 3 > 0) for r in got)
     assert without_repeats(docs.limit(0)).collect() == []
+
+
+def test_only_long_repeats_go_about(spark):
+    # phrases of 30 bytes come again and again, but hardly two in the same order
+    r = random.Random(5)
+    phrases = ["".join(r.choice("abcdefgh ") for _ in range(30)) for _ in range(200)]
+    rows = [(i, "".join(r.choices(phrases, k=20))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = settle(blocks(docs, "doc_id", "text", []))
+    flags = np.concatenate([expand(x.flags, "u1")[0] for x in common_prints(print_rows(table, 16, 50), 16).collect()])
+    assert len(flags) > 1000 and (flags > 0).mean() < 0.1
+    assert sorted(map(tuple, remove_repeats(docs, with_kept=False).collect()), key=str) == brute(rows, 50)
+
+
+def test_lengths(spark):
+    rows = corpus(6)[:150]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for length in (17, 18, 51, 255):
+        for crowded in (2, 400):
+            assert sorted(map(tuple, remove_repeats(docs, length=length, with_kept=False, crowded=crowded).collect()), key=str) == brute(rows, length)
+
+
+def test_equal_suffixes_are_one():
+    r = random.Random(7)
+    common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    for many in (1, 2, 9):
+        lists = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(1, 8))) for _ in range(r.randint(1, 30))) for _ in range(many)]
+        flat = sum(lists, [])
+        shared = np.array([n for x in lists for n in (0, *map(common, x, x[1:]))], np.uint8)
+        rest = np.frombuffer(b"".join(x[n:] for x, n in zip(flat, shared.tolist())), np.uint8)
+        order, found = sorted_suffixes(shared, np.array(list(map(len, flat)), np.uint8), rest, np.cumsum([0, *map(len, lists)]), 17)
+        out = [flat[i] for i in order]
+        assert sorted(order.tolist()) == list(range(len(flat))) and out == sorted(flat)
+        assert found[1:].tolist() == list(map(common, out, out[1:]))
